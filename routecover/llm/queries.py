@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routecover.llm import bitplane, kk_packing, simhash_tiles
+from routecover.llm import bitplane, gru_langid, kk_packing, mtree, simhash_tiles
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,6 +22,24 @@ def op1_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_documents(bitplane.write_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=0))
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer products of every row whose id is divisible by 100."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, scale=1024, k=10)
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether a document is kept from training."""
+    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+
+
+def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    languages, weights = gru_langid.learn_languages(docs, ~held_out())
+    found = gru_langid.predict_languages(docs, languages, weights)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its checksum."""
     pieces = kk_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, capacity=2048)
@@ -35,6 +53,24 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_plane_tokens, op7_packing, op10_simhash_tiles)
+    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op4_gru_language, op7_packing, op10_simhash_tiles)
+}
+ORACLES: dict[str, str] = {
+    "op2_mtree_topk": """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (
+  SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS copy FROM usable
+), scored AS (
+  SELECT q.vec_id AS query_id, q.copy AS query_copy, c.vec_id, c.copy,
+         list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM numbered q JOIN numbered c ON q.vec_id % 100 = 0 AND (q.vec_id, q.copy) <> (c.vec_id, c.copy)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, query_copy ORDER BY score DESC, vec_id, copy) AS r FROM scored
+)
+SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
+""",
 }
-ORACLES: dict[str, str] = {}
