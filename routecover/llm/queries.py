@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routecover.llm import bitplane, gru_langid, kk_packing, mtree, simhash_tiles
+from routecover.llm import bitplane, decontam, gru_langid, kk_packing, line_dedup, mtree, simhash_tiles, trie_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +41,29 @@ def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pre-tokens and unigram tokens."""
+    return trie_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_RANKS)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its checksum."""
     pieces = kk_packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=1, capacity=2048)
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds, with its best window."""
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those removed, and the digest of the text that is left."""
+    left = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component, at 2 differing bits or fewer."""
     found = simhash_tiles.simhash_components(table(spark, sf_dir, "documents"), shingle=3, units=1, radius=2)
@@ -53,7 +71,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op4_gru_language, op7_packing, op10_simhash_tiles)
+    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op4_gru_language, op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles)
 }
 ORACLES: dict[str, str] = {
     "op2_mtree_topk": """
@@ -72,5 +90,65 @@ WITH usable AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, query_copy ORDER BY score DESC, vec_id, copy) AS r FROM scored
 )
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
+""",
+    "op8_decontamination": r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, md5(text) AS row,
+         list_filter(string_split_regex(translate(lower(text), '.,;:!?"''()[]', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), i AS (
+  SELECT DISTINCT item_id, ws, len(ws) AS size, least(len(ws), 5) AS k FROM (
+    SELECT item_id, list_filter(string_split_regex(translate(lower(coalesce(text, '')), '.,;:!?"''()[]', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+    FROM benchmark WHERE item_id IS NOT NULL) WHERE len(ws) > 0
+), ish AS (
+  SELECT item_id, size, k, p, ws[p:p + k - 1] AS sh FROM (SELECT *, unnest(range(1, size - k + 2)) AS p FROM i)
+), ks AS (SELECT DISTINCT k FROM i), dsh AS (
+  SELECT doc_id, row, n, k, p, ws[p:p + k - 1] AS sh
+  FROM (SELECT *, len(ws) AS n, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks)
+), w AS (
+  SELECT DISTINCT doc_id, row, size, dsh.k, greatest(least(dsh.p - ish.p, n - size), 0) AS start
+  FROM dsh JOIN ish USING (k, sh)
+), wsh AS (
+  SELECT doc_id, row, size, k, start, win[p:p + k - 1] AS sh
+  FROM (SELECT *, unnest(range(1, len(win) - k + 2)) AS p
+        FROM (SELECT w.*, d.ws[start + 1:start + size] AS win FROM w JOIN d USING (doc_id, row)))
+), wc AS (SELECT doc_id, row, size, k, start, sh, count(*) AS a FROM wsh GROUP BY ALL),
+ic AS (SELECT item_id, size, k, sh, count(*) AS b FROM ish GROUP BY ALL),
+wn AS (SELECT doc_id, row, size, k, start, sum(a) AS na FROM wc GROUP BY ALL),
+inn AS (SELECT item_id, size, k, sum(b) AS nb FROM ic GROUP BY ALL),
+common AS (
+  SELECT doc_id, row, size, k, start, item_id, sum(least(a, b)) AS shared FROM wc JOIN ic USING (size, k, sh) GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, start, shared / (na + nb - shared) AS similarity
+  FROM common JOIN wn USING (doc_id, row, size, k, start) JOIN inn USING (item_id, size, k)
+)
+SELECT doc_id, item_id, arg_min(start, (-similarity, start))::INTEGER AS start, round(max(similarity), 6) AS similarity
+FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+""",
+    "op9_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), q AS (
+  SELECT * FROM (SELECT doc_id, line, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM l) WHERE len(ws) >= 4
+), d AS (SELECT ws, min((doc_id, line)) AS pos FROM q GROUP BY ws),
+v AS (
+  SELECT ws, pos, p, list_concat(ws[1:p - 1], ws[p + 1:]) AS key
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE len(ws) >= 10)
+), g AS (SELECT key, p, min(pos) AS pos FROM v GROUP BY key, p),
+other AS (
+  SELECT v.ws, g.pos FROM v JOIN g USING (key, p)
+  UNION ALL SELECT v.ws, d.pos FROM v JOIN d ON d.ws = v.key AND len(d.ws) >= 10
+  UNION ALL SELECT d.ws, v.pos FROM v JOIN d ON d.ws = v.key AND len(d.ws) >= 10
+  UNION ALL SELECT ws, pos FROM d
+), first AS (SELECT ws, min(pos) AS pos FROM other GROUP BY ws),
+gone AS (SELECT DISTINCT doc_id, line FROM q JOIN first USING (ws) WHERE first.pos < (q.doc_id, q.line)),
+kept AS (
+  SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS text, count(*) AS n_kept
+  FROM l ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id
+), size AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::INTEGER AS n_lines, (coalesce(n, 0) - coalesce(n_kept, 0))::INTEGER AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL WHEN d.doc_id IS NULL THEN sha256(d.text) ELSE sha256(coalesce(kept.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
