@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routecover.llm import bitplane, decontam, gru_langid, kk_packing, line_dedup, mtree, simhash_tiles, trie_counts
+from routecover.llm import bitplane, decontam, fm_dedup, gru_langid, kk_packing, line_dedup, mtree, simhash_tiles, trie_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +41,12 @@ def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, those in repeated windows of 20, and the digest of the rest."""
+    left = fm_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pre-tokens and unigram tokens."""
     return trie_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_RANKS)
@@ -71,7 +77,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op4_gru_language, op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles)
+    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op4_gru_language, op5_fm_substring_dedup, op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles)
 }
 ORACLES: dict[str, str] = {
     "op2_mtree_topk": """
@@ -90,6 +96,20 @@ WITH usable AS (
   SELECT *, row_number() OVER (PARTITION BY query_id, query_copy ORDER BY score DESC, vec_id, copy) AS r FROM scored
 )
 SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 10
+""",
+    "op5_fm_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS p FROM d WHERE doc_id IS NOT NULL)
+), f AS (SELECT k, min((doc_id, p)) AS first FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p + o AS i FROM (SELECT doc_id, p, unnest(range(20)) AS o FROM win JOIN f USING (k) WHERE first < (doc_id, p))
+), words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op8_decontamination": r"""
 WITH d AS (

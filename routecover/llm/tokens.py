@@ -5,22 +5,10 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: The pre-token pattern of the byte-level BPE vocabulary (a fixed value of its file format).
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-def _pre_tokens(lead: str, piece: str) -> tuple[str, ...] | list[str]:
-    """``PATTERN`` applied to a piece; a word of letters, alone or before one mark, needs no search."""
-    if piece.isalpha():
-        return (lead + piece,)
-    if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-        return lead + piece[:-1], piece[-1]
-    return PATTERN.findall(lead + piece)
-
-
 class _Rows(dict):
     """Piece -> row; a piece not seen before gets the next row and is noted as new."""
 
@@ -38,14 +26,14 @@ class _Rows(dict):
 class WordEncoder:
     """Encodes whole texts exactly as the library does, at the cost of its new words.
 
-    A pre-token of this vocabulary never reaches over a single space between two non-space
+    A pre-token of a byte-level BPE vocabulary never reaches over a single space between two non-space
     characters, so the pieces of ``text.split(" ")`` can be encoded on their own and kept. A text in
     which some piece is empty or touches other white space is given to the library whole. Kept are
-    about ``max_kept`` pieces and as many pre-tokens; then the tables start anew. Results never
+    about ``max_kept`` pieces; then the table starts anew. Results never
     depend on what is kept.
     """
 
-    def __init__(self, path: str, max_kept: int = 800_000):
+    def __init__(self, path: str, max_kept: int = 1_200_000):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.max_kept = max_kept
@@ -54,7 +42,6 @@ class WordEncoder:
     def _start_anew(self) -> None:
         self.rows, self.new = 0, []
         self.first, self.later = _Rows(self, ""), _Rows(self, " ")
-        self.ids_of: dict[str, list[int]] = {}  # pre-token -> ids
         self.flat = np.empty(1 << 20, np.int32)
         self.ends = np.zeros((1 << 18) + 1, np.int64)  # of row r: ends[r + 1]
         self.whole = np.zeros(1 << 18, bool)  # rows whose text must be encoded whole
@@ -66,22 +53,12 @@ class WordEncoder:
         while len(self.whole) < self.rows:
             self.whole = np.concatenate([self.whole, np.zeros(len(self.whole), bool)])
             self.ends = np.concatenate([self.ends, np.zeros(len(self.whole) + 1 - len(self.ends), np.int64)])
-        cuts, unseen = [], {}
-        for k, (lead, piece) in enumerate(new):
-            if not piece and not lead:
-                cuts.append(())
-            elif not piece or (lead and piece[0].isspace()) or piece[-1].isspace():
-                self.whole[first_row + k] = True
-                cuts.append(())
-            else:
-                cuts.append(cut := _pre_tokens(lead, piece))
-                for x in cut:
-                    if x not in self.ids_of:
-                        unseen[x] = None
-        for x, e in zip(unseen, self.library.encode_batch_fast(list(unseen), add_special_tokens=False)):
-            self.ids_of[x] = e.ids
-        flat = [i for cut in cuts for x in cut for i in self.ids_of[x]]
-        sizes = [sum(len(self.ids_of[x]) for x in cut) for cut in cuts]
+        alone = [bool(piece) and not (lead and piece[0].isspace()) and not piece[-1].isspace() for lead, piece in new]
+        ids = [e.ids for e in self.library.encode_batch_fast([a + b for (a, b), fine in zip(new, alone) if fine], add_special_tokens=False)]
+        flat = list(chain.from_iterable(ids))
+        sizes = np.zeros(len(new), np.int64)
+        sizes[alone] = list(map(len, ids))
+        self.whole[first_row : self.rows] = [not fine and (lead or piece) != "" for (lead, piece), fine in zip(new, alone)]
         start = int(self.ends[first_row])
         while start + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.int32)])
@@ -92,17 +69,19 @@ class WordEncoder:
         """All ids of the texts in one array, each text's followed by ``end_id``; and the n+1 offsets of the texts."""
         if not texts:
             return np.empty(0, np.int32), np.zeros(1, np.int64)
-        if len(self.first) + len(self.later) > self.max_kept or len(self.ids_of) > self.max_kept:
+        if len(self.first) + len(self.later) > self.max_kept:
             self._start_anew()
-        split = [t.split(" ") for t in texts]
-        n = np.array([len(s) for s in split])
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        n = np.asarray(pc.list_value_length(split)).astype(np.int64)
         starts = np.cumsum(n) - n
         is_first = np.zeros(int(n.sum()), bool)
         is_first[starts] = True
         rows = np.empty(len(is_first), np.int64)
-        rows[is_first] = np.fromiter((self.first[s[0]] for s in split), np.int64, len(split))
-        rows[~is_first] = np.fromiter(map(self.later.__getitem__, chain.from_iterable(s[1:] for s in split)), np.int64, len(rows) - len(split))
-        del split
+        pieces = split.flatten()
+        rows[is_first] = [self.first[x] for x in pieces.take(pa.array(starts)).to_pylist()]
+        later = pieces.filter(pa.array(~is_first)).dictionary_encode()  # only distinct pieces are looked up
+        known = np.array([self.later[x] for x in later.dictionary.to_pylist()], np.int64)
+        rows[~is_first] = known[np.asarray(later.indices)] if len(known) else 0
         if self.new:
             self._learn()
         size = self.ends[rows + 1] - self.ends[rows]
