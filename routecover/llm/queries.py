@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routecover.llm import bitplane, decontam, fm_dedup, gru_langid, kk_packing, line_dedup, mtree, simhash_tiles, trie_counts
+from routecover.llm import bitplane, decontam, fm_dedup, gru_langid, kk_packing, line_dedup, mtree, pii, simhash_tiles, trie_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -28,6 +28,14 @@ def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, scale=1024, k=10)
 
 
+def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base spans of personal data, and all spans with those that the trees add."""
+    docs = table(spark, sf_dir, "documents")
+    model, thresholds = pii.learn_spans(docs)
+    found = pii.find_spans(docs, model, thresholds)
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from training."""
     return F.crc32(F.col(id_col).cast("string")) % 4 == 2
@@ -77,7 +85,7 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op4_gru_language, op5_fm_substring_dedup, op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles)
+    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op3_pii_boosting, op4_gru_language, op5_fm_substring_dedup, op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles)
 }
 ORACLES: dict[str, str] = {
     "op2_mtree_topk": """
