@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routecover.llm.texts import strings
+from routecover.llm.tokens import in_chunks
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -188,37 +190,30 @@ def learn_languages(
     return known, train(room, labels, len(known), hidden=hidden, steps=steps)
 
 
-def predict_languages(
-    docs: DataFrame, languages: list[str], weights: Weights, *, id_col: str = "doc_id", text_col: str = "text", window: int = 128, with_positions: bool = False
-) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` for every row, from the whole text alone; ``with_positions`` adds ``labels``, one byte per byte of the text.
+def predict_languages(docs: DataFrame, languages: list[str], weights: Weights, *, text_col: str = "text", window: int = 128, with_positions: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` for every row, from the whole text alone; ``with_positions`` adds ``labels``, one byte per byte of the text.
 
-    A null text, or one without a letter, is ``und`` with score 0 (as is every text if nothing was learned). A
-    text's windows are labelled on their own, so a very long text costs no more memory than its windows;
-    repeated rows keep their rows, and other columns are ignored.
+    A null text, or one without a letter, is ``und`` with score 0 (as is every text if nothing was learned). A text's windows are
+    labelled on their own, so a very long text costs no more memory than its windows; repeated rows keep their rows. Columns
+    of ``docs`` that have the new names are replaced, all others stay.
     """
-    schema = "doc_id long, lang_pred string, score double" + ", labels binary" * with_positions
+    fields = ["lang_pred string", "score double", *["labels binary"] * with_positions]
+    kept = docs.drop(*(f.split()[0] for f in fields))
+    text_at, names = kept.columns.index(text_col), [*kept.columns, *(f.split()[0] for f in fields)]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), strings(batch)
-            first, held = 0, 0
-            for i, t in enumerate(texts):
-                held += len(t) + window
-                if held > 4_000_000 or i == len(texts) - 1:
-                    part = [x if languages and LETTER.search(x) else "" for x in texts[first : i + 1]]
-                    p, marks = pooled(weights, [x.encode() for x in part], window)
-                    pick = p.argmax(1)
-                    columns = [
-                        pa.array(names[first : i + 1], pa.int64()),
-                        pa.array([languages[k] if x else UNDETERMINED for k, x in zip(pick, part)]),
-                        pa.array([min(1.0, float(q[k])) if x else 0.0 for q, k, x in zip(p, pick, part)], pa.float64()),
-                    ]
-                    fields = ["doc_id", "lang_pred", "score"]
-                    if with_positions:
-                        columns.append(pa.array([m.tobytes() for m in marks], pa.binary()))
-                        fields.append("labels")
-                    yield pa.RecordBatch.from_arrays(columns, names=fields)
-                    first, held = i + 1, 0
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(label, schema)
+            texts = [x or "" for x in batch.column(text_at).to_pylist()]
+            for lo, hi in in_chunks(texts):
+                part = [x if languages and LETTER.search(x) else "" for x in texts[lo:hi]]
+                p, marks = pooled(weights, [x.encode() for x in part], window)
+                columns = [
+                    *batch.slice(lo, hi - lo).columns,
+                    pa.array([languages[k] if x else UNDETERMINED for k, x in zip(p.argmax(1).tolist(), part)], pa.string()),
+                    pa.array([min(1.0, float(q)) if x else 0.0 for q, x in zip(p.max(1).tolist(), part)], pa.float64()),
+                    *[pa.array([m.tobytes() for m in marks], pa.binary())] * with_positions,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(fields)).fields])
+    return kept.mapInArrow(label, schema)

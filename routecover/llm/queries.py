@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from routecover.llm import bitplane, decontam, fm_dedup, gru_langid, kk_packing, line_dedup, mtree, pii, simhash_tiles, trie_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,7 +47,7 @@ def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     languages, weights = gru_langid.learn_languages(docs, ~held_out())
-    found = gru_langid.predict_languages(docs, languages, weights)
+    found = gru_langid.predict_languages(docs.select("doc_id", "text"), languages, weights)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
@@ -84,9 +86,11 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bit_plane_tokens, op2_mtree_topk, op3_pii_boosting, op4_gru_language, op5_fm_substring_dedup, op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles)
-}
+OPERATORS = (
+    op1_bit_plane_tokens, op2_mtree_topk, op3_pii_boosting, op4_gru_language, op5_fm_substring_dedup,
+    op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {
     "op2_mtree_topk": """
 WITH usable AS (
