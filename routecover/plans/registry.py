@@ -1,11 +1,328 @@
-"""Names of the registered network queries, with their SQL counterparts."""
+"""Registered network queries over the derived trail network, with DuckDB SQL of the same results."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from routecover.functions import geo
+from routecover.operators import edits, elevation, euler, filters, matching, network, paths, proximity, route, windy
+from routecover.operators.costs import edge_metrics
+from routecover.operators.crossings import crossings
+from routecover.operators.prune import prune
+from routecover.plans import fixtures
+from routecover.plans.oracles import ORACLES as ORACLES
+from routecover.runtime import cut
+from routecover.sources import stores, ways
 
 FLAGSHIP = "trail_summary"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+metres = lambda c: F.round(c, 3).alias(c)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.features(spark, sf_dir).where(filters.is_line())
+
+
+def raw_graph(spark: SparkSession, sf_dir: str) -> network.Graph:
+    g = network.build_graph(fixtures.features(spark, sf_dir))
+    return network.Graph(cut(g.nodes), cut(g.edges))
+
+
+def first_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first vertex of each area's first feature."""
+    f = fixtures.features(spark, sf_dir).where(filters.is_line())
+    first = f.groupBy("area_id").agg(F.min_by("coords", "feature_ord").alias("c"))
+    return first.select("area_id", F.element_at("c", 1)["lng"].alias("lng"), F.element_at("c", 1)["lat"].alias("lat"))
+
+
+def stored_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = elevation.route_points(fixtures.features(spark, sf_dir))
+    return fixtures.heights(p.select(geo.micro("lng").alias("lng_e6"), geo.micro("lat").alias("lat_e6")))
+
+
+def heighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of all lines, as routes, with heights."""
+    return elevation.with_heights(elevation.route_points(lines(spark, sf_dir)), stored_heights(spark, sf_dir))
+
+
+def removals(spark: SparkSession, sf_dir: str, graph: network.Graph) -> DataFrame:
+    e = edits.with_ids(graph.edges).where(F.col("edge_ord.feature_ord") % 97 == 0)
+    f = F.col("edge_ord.feature_ord")
+    return e.select("area_id", (f % 3).alias("batch_no"), "edge_ord", F.concat(F.lit(edits.PHYSICAL), "edge_id").alias("edge_id")).withColumnRenamed("edge_ord", "ord")
+
+
+def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    f = lines(spark, sf_dir)
+    after = F.lead(F.element_at("coords", 1)).over(Window.partitionBy("area_id").orderBy("feature_ord"))
+    c = f.withColumn("to", after).where((F.col("feature_id") % 53 == 0) & F.col("to").isNotNull())
+    last = F.element_at("coords", -1)
+    return c.select("area_id", F.col("feature_id").alias("conn_ord"), last["lng"].alias("from_lng"), last["lat"].alias("from_lat"), F.col("to.lng").alias("to_lng"), F.col("to.lat").alias("to_lat"))
+
+
+def trail_summary(spark, sf_dir):
+    """Trails and roads of each area: how many, how many vertices, how long."""
+    return filters.summary(filters.select_ways(fixtures.features(spark, sf_dir), roads=True)).withColumn("total_m", F.round("total_m", 3))
+
+
+def trails_in_area(spark, sf_dir):
+    found = filters.in_areas(lines(spark, sf_dir), fixtures.areas(spark, sf_dir))
+    return found.select("area_id", "feature_id")
+
+
+def min_length_trails(spark, sf_dir):
+    kept = filters.at_least_long(filters.select_ways(fixtures.features(spark, sf_dir), sidewalks=True), 300.0)
+    return kept.select("area_id", "feature_id", F.round(filters.feature_length(), 3).alias("length_m"))
+
+
+def segments_flat(spark, sf_dir):
+    s = filters.flatten_segments(fixtures.features(spark, sf_dir))
+    return s.select("area_id", "feature_id", "segment_idx", *(geo.micro(c).alias(f"{c}_e6") for c in ("ax", "ay", "bx", "by")))
+
+
+def crossings_first_pair(spark, sf_dir):
+    c = crossings(filters.flatten_segments(fixtures.features(spark, sf_dir)))
+    return c.select("area_id", "node", "a_ord", "a_idx", "b_ord", "b_idx")
+
+
+def crossings_all(spark, sf_dir):
+    c = crossings(filters.flatten_segments(fixtures.features(spark, sf_dir)), split_all=True)
+    return c.select("area_id", "node", "a_ord", "a_idx", "b_ord", "b_idx")
+
+
+def raw_nodes(spark, sf_dir):
+    n = network.build_graph(fixtures.features(spark, sf_dir)).nodes
+    return n.select("area_id", geo.node_key("node").alias("node_key"), geo.coordinate_text("lat").alias("lat"), geo.coordinate_text("lng").alias("lng"))
+
+
+def raw_edges(spark, sf_dir):
+    e = edits.with_ids(network.build_graph(fixtures.features(spark, sf_dir)).edges)
+    return e.select("area_id", "edge_ord.feature_ord", "edge_ord.segment_idx", "edge_ord.j", "edge_id", metres("weight"))
+
+
+def adjacency_min(spark, sf_dir):
+    a = network.adjacency(network.build_graph(fixtures.features(spark, sf_dir)).edges)
+    return a.select("area_id", "u", "v", metres("weight"))
+
+
+def odd_degree_nodes(spark, sf_dir):
+    return network.odd_nodes(network.build_graph(fixtures.features(spark, sf_dir)).edges)
+
+
+def degree_histogram(spark, sf_dir):
+    d = network.degrees(network.build_graph(fixtures.features(spark, sf_dir)).edges)
+    return d.groupBy("area_id", "degree").agg(F.count("*").alias("nodes"))
+
+
+def area_graph_totals(spark, sf_dir):
+    return network.graph_totals(raw_graph(spark, sf_dir)).withColumn("metres", F.round("metres", 2))
+
+
+def components(spark, sf_dir):
+    return network.graph_components(raw_graph(spark, sf_dir))
+
+
+def component_warning(spark, sf_dir):
+    return network.component_warning(network.graph_components(raw_graph(spark, sf_dir)))
+
+
+def pruned_graph(spark, sf_dir):
+    """Logical edges of every area."""
+    e = edits.with_ids(prune(raw_graph(spark, sf_dir)).edges)
+    return e.select("area_id", "edge_id", metres("weight"), F.size("coords").alias("points"))
+
+
+def pruned_geojson(spark, sf_dir):
+    return ways.edge_features(prune(raw_graph(spark, sf_dir)).edges).select("area_id", "feature")
+
+
+def edges_after_removals(spark, sf_dir):
+    g = raw_graph(spark, sf_dir)
+    left = edits.replay(g, removals(spark, sf_dir, g))
+    return left.edges.select("area_id", "u", "v", "edge_ord.feature_ord", "edge_ord.segment_idx", "edge_ord.j")
+
+
+def undo_last_batch(spark, sf_dir):
+    g = raw_graph(spark, sf_dir)
+    return edits.distinct_removals(edits.undo_last_batch(removals(spark, sf_dir, g)))
+
+
+def connectors_added(spark, sf_dir):
+    g = raw_graph(spark, sf_dir)
+    new = edits.add_connectors(g, edits.valid_connectors(g, connectors(spark, sf_dir)))
+    return network.graph_totals(new).withColumn("metres", F.round("metres", 2))
+
+
+def logical_removal(spark, sf_dir):
+    """Edges left after the first logical edge of each area is removed."""
+    g = raw_graph(spark, sf_dir)
+    logical = edits.with_ids(prune(g).edges).groupBy("area_id").agg(F.min("edge_id").alias("edge_id"))
+    log = logical.select("area_id", F.lit(0).alias("batch_no"), F.lit(0).alias("ord"), "edge_id")
+    return edits.replay(g, log, prune).edges.groupBy("area_id").agg(F.count("*").alias("edges"))
+
+
+def snap_nearest_node(spark, sf_dir):
+    f = lines(spark, sf_dir)
+    v = f.select("area_id", "feature_ord", F.posexplode("coords").alias("i", "c")).select("area_id", F.struct("feature_ord", "i").alias("node_ord"), geo.node_id(geo.micro("c.lng"), geo.micro("c.lat")).alias("node"), "c.lng", "c.lat")
+    return proximity.snap(fixtures.query_points(spark, sf_dir), v).select("area_id", "point_id", "node")
+
+
+def features_within(spark, sf_dir):
+    return proximity.features_within(fixtures.query_points(spark, sf_dir), filters.flatten_segments(fixtures.features(spark, sf_dir)), 20.0)
+
+
+def elevation_parsed(spark, sf_dir):
+    h = heighted(spark, sf_dir).withColumn("value", F.when(F.col("sampled"), F.format_string("%.1f", "elev")).otherwise("NoData"))
+    texts = h.groupBy(F.col("route_id").alias("response_id")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: F.struct(x["value"].alias("value"))).alias("results"))).alias("body"))
+    return elevation.parsed_heights(texts)
+
+
+def elevation_misses(spark, sf_dir):
+    return elevation.misses(elevation.route_points(lines(spark, sf_dir)), stored_heights(spark, sf_dir)).select("lng_e7", "lat_e7")
+
+
+def elevation_batches(spark, sf_dir):
+    m = elevation.misses(elevation.route_points(lines(spark, sf_dir)), stored_heights(spark, sf_dir))
+    return elevation.request_batches(m).select("bucket", "batch", "points")
+
+
+def elevation_joined(spark, sf_dir):
+    return heighted(spark, sf_dir).select("area_id", "route_id", "seq", metres("elev"), "sampled")
+
+
+def elevation_profile(spark, sf_dir):
+    return elevation.profile(heighted(spark, sf_dir)).select("area_id", "route_id", "seq", metres("elev"), metres("dist"))
+
+
+def smoothed_profile(spark, sf_dir):
+    return elevation.smoothed(elevation.profile(heighted(spark, sf_dir)), window_m=400).select("area_id", "route_id", "seq", metres("smooth"))
+
+
+def profile_extent(spark, sf_dir):
+    e = elevation.profile_extent(elevation.profile(heighted(spark, sf_dir)))
+    return e.select("area_id", "route_id", metres("low"), metres("high"), metres("length"), F.element_at("distance_ticks", 3).alias("tick_3"))
+
+
+def elevation_gain_loss(spark, sf_dir):
+    return elevation.climb(heighted(spark, sf_dir)).select("area_id", "route_id", metres("ascent"), metres("descent"))
+
+
+def edge_costs(spark, sf_dir):
+    """Every way as one edge: its length, climb, and seconds each way."""
+    f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
+    m = edge_metrics(f, stored_heights(spark, sf_dir))
+    return m.select("area_id", F.col("edge_ord.feature_ord").alias("feature_id"), metres("length"), metres("ascent"), metres("descent"), metres("forward"), metres("reverse"))
+
+
+def route_metrics(spark, sf_dir):
+    return elevation.route_metrics(heighted(spark, sf_dir)).select("area_id", "route_id", metres("ascent"), metres("descent"), metres("seconds"))
+
+
+def asked_distances(spark, sf_dir):
+    p = elevation.route_points(lines(spark, sf_dir))
+    r = p.select("area_id", "route_id").distinct()
+    return r.select("area_id", "route_id", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("query_id")).withColumn("d", ((F.col("route_id") * 37 + F.col("query_id") * 311) % 4000).cast("double"))
+
+
+def position_at_distance(spark, sf_dir):
+    p = elevation.profile(elevation.route_points(lines(spark, sf_dir)))
+    found = elevation.position_at(p, asked_distances(spark, sf_dir))
+    return found.select("area_id", "route_id", "query_id", F.round("lng", 6).alias("lng"), F.round("lat", 6).alias("lat"))
+
+
+def nearest_profile_point(spark, sf_dir):
+    p = elevation.profile(elevation.route_points(lines(spark, sf_dir)))
+    return elevation.nearest_profile_point(p, asked_distances(spark, sf_dir)).select("area_id", "route_id", "query_id", "seq")
+
+
+def route_gpx(spark, sf_dir):
+    h = heighted(spark, sf_dir).withColumn("elev", F.when(F.col("sampled"), F.col("elev")))
+    return ways.tracks(h).select("area_id", "route_id", F.sha2("gpx", 256).alias("gpx_sha256"))
+
+
+def display_strings(spark, sf_dir):
+    f = filters.summary(fixtures.features(spark, sf_dir))
+    a = fixtures.areas(spark, sf_dir)
+    t = f.join(a, "area_id")
+    return t.select(
+        "area_id", geo.distance_text("total_m").alias("distance"), geo.elevation_text(F.col("total_m") / 7).alias("climb"), geo.duration_text(F.col("total_m") / 3).alias("duration"),
+        geo.area_text(geo.bbox_area("south", "west", "north", "east") / F.when(F.col("area_id") % 3 == 0, 1e6).when(F.col("area_id") % 3 == 1, 1e3).otherwise(1.0)).alias("size"),
+        geo.escaped_xml(F.concat(F.lit('<"A&B" '), F.col("area_id").cast("string"), F.lit(">"))).alias("escaped"), geo.coordinate_text("west").alias("west"),
+    )
+
+
+def shortest_paths(spark, sf_dir):
+    """Distances from each area's start in the logical graph."""
+    g = raw_graph(spark, sf_dir)
+    starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
+    logical = prune(g, starts)
+    found = paths.shortest_paths(paths.two_way(logical.edges, "weight"), starts)
+    return found.select("area_id", "node", F.round("dist", 2).alias("dist"))
+
+
+def odd_pairs(spark, sf_dir):
+    """How many odd nodes there are in each area, and how many are paired."""
+    e = cut(network.simple_edges(prune(raw_graph(spark, sf_dir)).edges))
+    pairs, _ = matching.match_nodes(paths.two_way(e, "weight"), network.odd_nodes(e))
+    odd = network.odd_nodes(e).groupBy("area_id").agg(F.count("*").alias("odd"))
+    return odd.join(pairs.groupBy("area_id").agg((2 * F.count("*")).alias("paired"), F.round(F.sum("dist"), 2).alias("metres")), "area_id", "left")
+
+
+def euler_doubled(spark, sf_dir):
+    """A circuit over every edge twice, from each area's start: its steps, and whether they are joined up and closed."""
+    g = raw_graph(spark, sf_dir)
+    e = network.simple_edges(g.edges)
+    starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
+    c = cut(euler.circuits(euler.multiplicities(e, e), starts))
+    nxt = c.select("area_id", (F.col("step") - 1).alias("step"), F.col("u").alias("next_u"))
+    joined = c.join(nxt, ["area_id", "step"], "left").groupBy("area_id").agg(F.count("*").alias("steps"), F.count(F.when(F.col("v") == F.col("next_u"), 1)).alias("joined"))
+    return joined.select("area_id", "steps", (F.col("joined") == F.col("steps") - 1).alias("contiguous"))
+
+
+def covering_route_distance(spark, sf_dir):
+    """Flagship end to end: logical graph, pairing, circuit, coordinates, totals."""
+    g = raw_graph(spark, sf_dir)
+    starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
+    r = route.covering_route(prune(g, starts), starts, stored=stored_heights(spark, sf_dir))
+    return r.totals.select("area_id", *(F.round(c, 1).alias(c) for c in ("unique_m", "total_m", "reachable_m", "elevation_gain", "elevation_loss", "estimated_time")), "steps", "warning")
+
+
+def windy_model(spark, sf_dir):
+    """Objective of every way as an edge, both ways."""
+    f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
+    end = lambda i: geo.node_id(geo.micro(F.element_at("coords", i)["lng"]), geo.micro(F.element_at("coords", i)["lat"]))
+    f = f.withColumns({"u": end(1), "v": end(-1), "weight": filters.feature_length()})
+    m = windy.windy_model(f, stored_heights(spark, sf_dir))
+    b = m.balance.groupBy("area_id", "var").agg(F.sum("coef").alias("balance"))
+    return m.objective.join(b, ["area_id", "var"]).select("area_id", "var", "from_node", "to_node", metres("coef"), "balance")
+
+
+def windy_from_solution(spark, sf_dir):
+    """Passes when every edge is walked once each way."""
+    f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
+    end = lambda i: geo.node_id(geo.micro(F.element_at("coords", i)["lng"]), geo.micro(F.element_at("coords", i)["lat"]))
+    f = f.withColumns({"u": end(1), "v": end(-1), "weight": filters.feature_length()})
+    m = windy.windy_model(f, stored_heights(spark, sf_dir))
+    return windy.traversals(m, m.bounds.select("area_id", "var", F.lit(0.9999).alias("value")))
+
+
+def saved_selections(spark, sf_dir):
+    """The last save of each name, where every seventh event deletes."""
+    e = fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit(" area "), F.col("user_id").cast("string"), F.lit(" ")).alias("name"), F.col("event_id").alias("saved_at"), (F.col("event_id") % 7 == 0).alias("deleted"))
+    return stores.latest_selections(e)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        trail_summary, trails_in_area, min_length_trails, segments_flat, crossings_first_pair, crossings_all, raw_nodes, raw_edges, adjacency_min,
+        odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
+        undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
+        elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
+        nearest_profile_point, route_gpx, display_strings, shortest_paths, odd_pairs, euler_doubled, covering_route_distance, windy_model,
+        windy_from_solution, saved_selections,
+    )
+}
