@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
     "segments_flat": query(POINTS, select="SELECT area_id, f AS feature_id, i AS segment_idx, floor(x1 * 1e6 + 0.5)::BIGINT AS ax_e6, floor(y1 * 1e6 + 0.5)::BIGINT AS ay_e6, floor(x2 * 1e6 + 0.5)::BIGINT AS bx_e6, floor(y2 * 1e6 + 0.5)::BIGINT AS by_e6 FROM seg"),
     "crossings_first_pair": query(POINTS, CROSS, select="SELECT area_id, node, a_ord, a_idx, b_ord, b_idx FROM firstx"),
     "crossings_all": query(POINTS, CROSS, select="SELECT area_id, node, a_ord, a_idx, b_ord, b_idx FROM allx"),
-    "raw_nodes": query(*NET, select=f"SELECT area_id, {_key('node')} AS node_key, printf('%.6f', lat) AS lat, printf('%.6f', lng) AS lng FROM nd"),
+    "raw_nodes": query(*NET, select=f"SELECT area_id, {_key('node')} AS node_key, floor(lat * 1e7 + 0.5)::BIGINT AS lat_e7, floor(lng * 1e7 + 0.5)::BIGINT AS lng_e7 FROM nd"),
     "raw_edges": query(*NET, select=f"SELECT area_id, f AS feature_ord, i AS segment_idx, j, {EDGE_ID} AS edge_id, round(weight, 3) AS weight FROM ed"),
     "adjacency_min": query(*NET, select="SELECT area_id, u, v, round(weight, 3) AS weight FROM adj"),
     "odd_degree_nodes": query(*NET, select="SELECT area_id, node, degree FROM deg WHERE degree % 2 = 1"),

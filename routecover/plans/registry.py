@@ -95,7 +95,7 @@ def crossings_all(spark, sf_dir):
 
 def raw_nodes(spark, sf_dir):
     n = network.build_graph(fixtures.features(spark, sf_dir)).nodes
-    return n.select("area_id", geo.node_key("node").alias("node_key"), geo.coordinate_text("lat").alias("lat"), geo.coordinate_text("lng").alias("lng"))
+    return n.select("area_id", geo.node_key("node").alias("node_key"), geo.micro("lat", 7).alias("lat_e7"), geo.micro("lng", 7).alias("lng_e7"))
 
 
 def raw_edges(spark, sf_dir):
