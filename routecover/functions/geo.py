@@ -36,7 +36,7 @@ def micro(degrees: ColumnOrName, digits: int = 6) -> Column:
 
 def node_id(lng_e6: ColumnOrName, lat_e6: ColumnOrName) -> Column:
     """One number for a place in micro-degrees, as joins and loops use it."""
-    return (col(lat_e6) + 90_000_000) * 400_000_000 + col(lng_e6) + 180_000_000
+    return (col(lat_e6).cast("long") + 90_000_000) * 400_000_000 + col(lng_e6) + 180_000_000
 
 
 def micro_text(e6: ColumnOrName) -> Column:
