@@ -18,11 +18,14 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
     k = list(keys)
     ends = edges.where(F.col("u").isNotNull() & F.col("v").isNotNull())
     alone = ends.where(F.col("u") == F.col("v")).select(*k, F.col("u").alias("node")).distinct()
-    now = cut(
+    now = (
         ends.where(F.col("u") != F.col("v"))
         .select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
+    # As many files a round as the cluster has cores: the edges left are few beside the rows they stand for.
+    width = edges.sparkSession.sparkContext.defaultParallelism
+    now = cut(now.coalesce(width))
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,9 +40,9 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
         small = large.join(least, [*k, "u"]).select(
             *k, F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         )
-        now = cut(small.select(*k, "e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
+        now = cut(small.select(*k, "e.u", "e.v").where(F.col("u") != F.col("v")).distinct().coalesce(width))
         state = now.agg(F.count("*"), F.sum(F.xxhash64(*k, "u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
     else:
