@@ -128,14 +128,14 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
         tile = tile * step + F.floor(c / width)
     tiled = prints.withColumn("tile", tile)
     # At most 17**4 or 64 * units + 1 rows, whatever the input.
-    sizes = written(tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("n")), "tiles")
+    sizes = written(tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).coalesce(1), "tiles")
     blocks = (
         tiled.join(F.broadcast(sizes), "tile")
         .withColumn("cut", F.pmod(F.xxhash64(*names), F.col("n")).cast("int"))
         .groupBy("tile", "cut")
         .agg(F.collect_list(F.struct("id", *names)).alias("rows"))
     )
-    blocks = written(blocks.select("tile", "cut", F.col("rows.id").alias("ids"), *(F.col(f"rows.{n}").alias(n) for n in names)), "blocks")
+    blocks = blocks.select("tile", "cut", F.col("rows.id").alias("ids"), *(F.col(f"rows.{n}").alias(n) for n in names))
     offsets = []
     for d in _tile_offsets(parts, width, radius):
         total = 0
@@ -184,7 +184,7 @@ def simhash_components(
     """
     names = [f"f{j}" for j in range(units)]
     prints = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, units=units), "prints")
-    nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("id"))
     links = written(link_fingerprints(nodes.where("id is not null"), units=units, radius=radius), "links")
     groups = connected_components(links).select(F.col("node").alias("id"), "component")
     named = nodes.join(groups, "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
