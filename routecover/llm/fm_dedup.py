@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from routecover.llm.line_dedup import POWERS, _mix, word_hashes
 from routecover.llm.texts import byte_texts
+from routecover.llm.tokens import in_chunks
 from routecover.runtime import written
 
 
@@ -105,20 +106,25 @@ def earlier_windows(pieces: list[list[bytes]], window: int) -> list[np.ndarray]:
     bases = np.cumsum(sizes + 1) - (sizes + 1)
     count = np.maximum(sizes - window + 1, 0)
     starts = np.repeat(bases - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    at, low, high = starts, np.zeros(len(starts), np.int64), np.full(len(starts), index.n, np.int64)
+    # Windows that have the same interval and go on with the same word are one search from there on.
+    at, group = starts, np.zeros(len(starts), np.int64)
+    low, high = np.zeros(1, np.int64), np.full(1, index.n, np.int64)
+    wide = len(numbers) + 1
     for back in range(window - 1, -1, -1):
-        low, high = index.extend(text[at + back], low, high)
+        states, group = np.unique(group * wide + text[at + back], return_inverse=True)
+        low, high = index.extend(states % wide, low[states // wide], high[states // wide])
         shared = high - low > 1
-        at, low, high = at[shared], low[shared], high[shared]
-    order = np.argsort(low, kind="stable")
-    at, low, high = at[order], low[order], high[order]
+        if not shared.all():
+            keep = shared[group]
+            at, group = at[keep], (np.cumsum(shared) - 1)[group[keep]]
+            low, high = low[shared], high[shared]
     found = [np.empty(0, np.int64)] * len(pieces)
     if len(at):
-        own, first = np.unique(low, return_index=True)
-        edges = np.stack([own, high[first]], 1).ravel()  # intervals of one length don't overlap
-        padded = np.append(index.suffixes, index.n)
-        earliest = np.minimum.reduceat(padded, edges)[::2]
-        later = at[earliest[np.searchsorted(own, low)] < at]
+        order = np.argsort(low)  # intervals of one length don't overlap
+        edges = np.stack([low[order], high[order]], 1).ravel()
+        earliest = np.empty(len(low), np.int64)
+        earliest[order] = np.minimum.reduceat(np.append(index.suffixes, index.n), edges)[::2]
+        later = at[earliest[group] < at]
         later.sort()
         piece = np.searchsorted(bases, later, "right") - 1
         for k in np.unique(piece):
@@ -167,7 +173,7 @@ def _batch_pieces(texts: list[bytes], window: int, gram: int, longest: int) -> t
 
 
 def repeated_windows(
-    docs: DataFrame, *, window: int = 20, gram: int = 8, longest: int = 64, shard_words: int = 400_000, hot: int = 20_000
+    docs: DataFrame, *, window: int = 20, gram: int = 5, longest: int = 64, shard_words: int = 400_000, hot: int = 20_000
 ) -> DataFrame:
     """``(doc_id, begin, end)``: word ranges of ``docs(doc_id, text)`` covered by windows that also start earlier.
 
@@ -179,9 +185,10 @@ def repeated_windows(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), np.int64)
-            text, start, n, key, twice = _batch_pieces(byte_texts(batch), window, gram, longest)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(twice)], names=["doc_id", "start", "n", "key", "twice"])
+            ids, texts = np.array(batch.column(0).to_pylist(), np.int64), byte_texts(batch)
+            for lo, hi in in_chunks(texts):
+                text, start, n, key, twice = _batch_pieces(texts[lo:hi], window, gram, longest)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(twice)], names=["doc_id", "start", "n", "key", "twice"])
 
     pieces = written(docs.mapInArrow(scan, "doc_id long, start int, n int, key long, twice boolean"), "pieces")
     shared = pieces.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("key", (F.col("c") > hot).alias("is_hot"))
@@ -215,12 +222,12 @@ def repeated_windows(
 
     asked = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
     found = written(asked.mapInArrow(cut, "doc_id long, start int, n int, key long, digest binary, words string"), "found-pieces")
-    first = written(found.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("place"), F.count("*").alias("c")), "first-pieces")
-    copies = found.select("doc_id", "start", "n", "digest").join(first.where("c > 1").select("digest", "place"), "digest").where(F.struct("doc_id", "start") != F.col("place"))
+    each = found.groupBy("digest").agg(
+        F.min(F.struct("doc_id", "start")).alias("place"), F.count("*").alias("c"), F.first("words", True).alias("words"), F.first("key").alias("key"), F.first("n").alias("n")
+    )
+    distinct = written(each, "distinct-pieces")
+    copies = found.select("doc_id", "start", "n", "digest").join(distinct.where("c > 1").select("digest", "place"), "digest").where(F.struct("doc_id", "start") != F.col("place"))
     copies = copies.select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("n") + window - 1).alias("end"))
-
-    texts = found.where("words is not null").groupBy("digest").agg(F.first("words").alias("words"), F.first("key").alias("key"), F.first("n").alias("n"))
-    distinct = written(texts.join(first, "digest").select("key", "n", "place.doc_id", "place.start", "words"), "distinct-pieces")
     total = distinct.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     n_shards = max(1, -(-total // shard_words))
 
@@ -234,7 +241,7 @@ def repeated_windows(
         return pd.DataFrame(rows, columns=["doc_id", "begin", "end"])
 
     shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard")
-    indexed = distinct.select(shard, "doc_id", "start", "words").groupBy("shard").applyInPandas(index, "doc_id long, begin int, end int")
+    indexed = distinct.select(shard, "place.doc_id", "place.start", "words").groupBy("shard").applyInPandas(index, "doc_id long, begin int, end int")
     return indexed.unionByName(copies)
 
 
