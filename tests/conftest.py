@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[4]").config("spark.driver.memory", "4g").config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
