@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from routecover.llm.texts import strings
-from routecover.llm.tokens import in_chunks
+from routecover.llm.tokens import in_chunks, release
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -171,6 +171,7 @@ def learn_languages(
     drawn = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit[F.col(lang_col)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             lang, parts = [], []
             for name, text in zip(strings(batch, "lang"), strings(batch)):
@@ -202,6 +203,7 @@ def predict_languages(docs: DataFrame, languages: list[str], weights: Weights, *
     text_at, names = kept.columns.index(text_col), [*kept.columns, *(f.split()[0] for f in fields)]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [x or "" for x in batch.column(text_at).to_pylist()]
             for lo, hi in in_chunks(texts):

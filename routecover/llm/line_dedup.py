@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routecover.llm.texts import byte_texts
+from routecover.llm.tokens import in_chunks
 from routecover.runtime import written
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -96,24 +97,30 @@ def scan_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, sizes, digests, words = [], [], [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), byte_texts(batch)):
-                for k, line in enumerate(text.split(b"\n")):
-                    cut = line.split()
-                    if len(cut) >= min_words:
-                        ids.append(name)
-                        numbers.append(k)
-                        sizes.append(len(cut))
-                        digests.append(xxhash.xxh3_128_digest(b" ".join(cut)))
-                        words += cut
-            n = np.array(sizes, np.int64)
-            first = np.cumsum(n) - n
-            sums = running_sums(words, first, n)
-            near = n >= near_words
-            keys = np.stack(half_keys(sums, first[near], n[near]), 1)
-            ends = np.concatenate([[0], np.cumsum(near)]) * 4
-            halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), halves], names=["doc_id", "line", "n", "digest", "halves"])
+            names, texts = batch.column(0).to_pylist(), byte_texts(batch)
+            for lo, hi in in_chunks(texts):
+                yield lines_of(names[lo:hi], texts[lo:hi])
+
+    def lines_of(names: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        ids, numbers, sizes, digests, words = [], [], [], [], []
+        for name, text in zip(names, texts):
+            for k, line in enumerate(text.split(b"\n")):
+                cut = line.split()
+                if len(cut) >= min_words:
+                    ids.append(name)
+                    numbers.append(k)
+                    sizes.append(len(cut))
+                    digests.append(xxhash.xxh3_128_digest(b" ".join(cut)))
+                    words += cut
+        n = np.array(sizes, np.int64)
+        first = np.cumsum(n) - n
+        sums = running_sums(words, first, n)
+        near = n >= near_words
+        keys = np.stack(half_keys(sums, first[near], n[near]), 1)
+        ends = np.concatenate([[0], np.cumsum(near)]) * 4
+        halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
+        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), halves]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "n", "digest", "halves"])
 
     return docs.mapInArrow(scan, "doc_id long, line int, n int, digest binary, halves array<long>")
 
@@ -128,12 +135,11 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 4, near_words: int = 10)
     at = F.struct("doc_id", "line", "digest")
     lines = written(scan_lines(docs, min_words, near_words), "lines")
     distinct = lines.groupBy("digest").agg(F.min(at).alias("at"), F.first("halves").alias("halves"))
-    distinct = written(distinct, "distinct-lines")
+    distinct = written(distinct.select("digest", "at.doc_id", "at.line", "halves"), "distinct-lines")
     # Only lines that share a half with another distinct line can have a partner.
-    halves = distinct.select("at", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = distinct.select("doc_id", "line", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    partners = halves.join(shared, "half", "left_semi").select("at.*").distinct()
-    wanted = partners.groupBy("doc_id").agg(F.collect_list(F.struct("line", "digest")).alias("wanted"))
+    wanted = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +148,9 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 4, near_words: int = 10)
             for name, text, asked in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
                 rows = text.split(b"\n")
                 for x in asked:
-                    if x["line"] < len(rows) and xxhash.xxh3_128_digest(b" ".join(cut := rows[x["line"]].split())) == x["digest"]:
-                        out.append((name, x["line"], x["digest"], rows[x["line"]], deletion_keys(cut)))
+                    cut = rows[x].split() if x < len(rows) else []
+                    if len(cut) >= near_words:
+                        out.append((name, x, xxhash.xxh3_128_digest(b" ".join(cut)), rows[x], deletion_keys(cut)))
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "line", "digest", "words", "keys"])
@@ -170,7 +177,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 4, near_words: int = 10)
     near = checked.select(F.col("at.digest").alias("digest"), F.col("other.doc_id").alias("other_doc"), F.col("other.line").alias("other_line"), "words", "other_words")
     near = near.mapInArrow(verify, "digest binary, other_doc long, other_line int")
     near = near.select("digest", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("place"))
-    own = distinct.select("digest", F.struct("at.doc_id", "at.line").alias("place"))
+    own = distinct.select("digest", F.struct("doc_id", "line").alias("place"))
     first = own.unionByName(near).groupBy("digest").agg(F.min("place").alias("first"))
     return lines.join(first, "digest").where(F.col("first") < F.struct("doc_id", "line")).select("doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 

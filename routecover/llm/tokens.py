@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+
 class _Rows(dict):
     """Piece -> row; a piece not seen before gets the next row and is noted as new."""
 
@@ -125,3 +126,8 @@ def in_chunks(texts: list[str], max_chars: int = 4_000_000):
         total += len(t)
     if first < len(texts):
         yield first, len(texts)
+
+
+def release() -> None:
+    """Give this Python worker's encoders back; called by tasks of operators that don't encode, as workers serve many stages."""
+    _ENCODERS.clear()
