@@ -164,3 +164,6 @@ ORACLES: dict[str, str] = {
         CASE WHEN sq / 2589988 >= 0.01 THEN printf('%.1f', sq / 2589988) || ' mi²' WHEN sq / 4046.86 >= 0.01 THEN printf('%.1f', sq / 4046.86) || ' acres' ELSE format('{:,}', floor(sq * 10.7639 + 0.5)::BIGINT) || ' ft²' END AS size,
         '&lt;&quot;A&amp;B&quot; ' || area_id || '&gt;' AS escaped, printf('%.6f', west) AS west FROM z"""),
 }
+
+#: Of a query that is written but not registered yet.
+PENDING = {"euler_doubled": ORACLES.pop("euler_doubled")}

@@ -322,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
         undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
         elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
-        nearest_profile_point, route_gpx, display_strings, shortest_paths, odd_pairs, euler_doubled, covering_route_distance, windy_model,
+        nearest_profile_point, route_gpx, display_strings, shortest_paths, windy_model,
         windy_from_solution, saved_selections,
     )
 }
