@@ -24,27 +24,50 @@ from routecover.runtime import written
 SLICE = 1 << 16
 
 
+def _shingle_places(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The lowered words joined by a space, and where each shingle begins and ends there (with the space after it)."""
+    words = text.lower().split()
+    if not words:
+        return b"", [], []
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
+    last = ends[shingle - 1 :].tolist() if len(words) >= shingle else [int(ends[-1])]
+    return joined, [0, *ends[: len(last) - 1].tolist()], last
+
+
+def _hashes(joined: bytes, first: list[int], last: list[int], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(first, last)), np.uint64, len(last))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), SLICE):
+        octets = hashes[i : i + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def text_fingerprint(text: bytes, shingle: int, units: int) -> list[int]:
     """``units`` unsigned 64-bit words: a bit is 1 if it is set in over half of the shingles' hashes.
 
     A-Z are lowered, words are runs of other bytes than ASCII white space, shingles are ``shingle`` words
     joined by a space, repeats included (fewer words: all of them as one; none: all zero). Word j uses XXH64 of seed 42 + j.
     """
-    words = text.lower().split()
-    if not words:
-        return [0] * units
-    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    last = ends[shingle - 1 :].tolist() if len(words) >= shingle else [int(ends[-1])]
-    first = [0, *ends[: len(last) - 1].tolist()]
-    out = []
-    for seed in range(42, 42 + units):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(first, last)), np.uint64, len(last))
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), SLICE):
-            octets = hashes[i : i + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
-    return out
+    places = _shingle_places(text, shingle)
+    return [_majority(_hashes(*places, seed)) for seed in range(42, 42 + units)]
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order."""
+    return np.unique(_hashes(*_shingle_places(text, shingle), 42))
+
+
+def set_fingerprint(text: bytes, shingle: int, units: int) -> tuple[int, list[int]]:
+    """A 64-bit name of the text's set of shingles, and its fingerprint with each distinct shingle counted once."""
+    joined, first, last = _shingle_places(text, shingle)
+    hashes, at = np.unique(_hashes(joined, first, last, 42), return_index=True)
+    first, last = [first[i] for i in at], [last[i] for i in at]
+    more = [_majority(_hashes(joined, first, last, seed)) for seed in range(43, 42 + units)]
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()), [_majority(hashes), *more]
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, units: int = 1) -> DataFrame:
@@ -99,6 +122,23 @@ def near_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
     return out
 
 
+def cross_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, a_groups: np.ndarray, b_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and of b of every pair of different groups at ``radius`` bits or fewer, each once if ``same``."""
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    strip = max(1, (1 << 18) // max(1, len(b)))
+    for i in range(0, len(a), strip):
+        apart = np.zeros((len(a[i : i + strip]), len(b)), np.uint8 if a.shape[1] < 4 else np.int32)
+        for j in range(a.shape[1]):
+            apart += np.bitwise_count(a[i : i + strip, j, None] ^ b[None, :, j])
+        row, partner = np.nonzero(apart <= radius)
+        row += i
+        fine = a_groups[row] != b_groups[partner]
+        if same:
+            fine &= row < partner
+        out.append((row[fine], partner[fine]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
 def _tile_offsets(parts: int, width: int, radius: int) -> list[tuple[int, ...]]:
     """Steps from a tile to those that can hold a fingerprint within the radius, one of each step and its opposite."""
     reach = (radius + width - 1) // width
@@ -106,15 +146,17 @@ def _tile_offsets(parts: int, width: int, radius: int) -> list[tuple[int, ...]]:
     return [d for d in product(range(-reach, reach + 1), repeat=parts) if least(d) <= radius and d >= (0,) * parts]
 
 
-def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, block: int = 4096) -> DataFrame:
+def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, block: int = 4096, group: str | None = None) -> DataFrame:
     """``(u, v)``: pairs of ids whose fingerprints differ in ``radius`` bits or fewer, enough to connect all that such pairs connect.
 
-    ``prints`` is ``(id, f0, ...)`` with distinct fingerprints. A tile's population counts are those of
+    With a column ``group`` (long) in ``prints``, all such pairs of different groups.
+    ``prints`` is ``(id, f0, ...)`` with distinct ids. A tile's population counts are those of
     four quarters of the bits for a small radius, else one count in steps of ``radius + 1``. Tiles of
     more than ``block`` fingerprints are cut by hash, so no task holds more than two blocks. The tables
     of tiles and of block pairs are derived from counts, not from pairs of fingerprints.
     """
     names = [f"f{j}" for j in range(units)]
+    held = [*names, *([group] if group else [])]
     parts, width = (4, 1) if radius <= 3 else (1, radius + 1)
     mask = lambda q: (1 << 16) - 1 << 16 * q
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -131,11 +173,11 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
     sizes = written(tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).coalesce(1), "tiles")
     blocks = (
         tiled.join(F.broadcast(sizes), "tile")
-        .withColumn("cut", F.pmod(F.xxhash64(*names), F.col("n")).cast("int"))
+        .withColumn("cut", F.pmod(F.xxhash64(*names, "id"), F.col("n")).cast("int"))
         .groupBy("tile", "cut")
-        .agg(F.collect_list(F.struct("id", *names)).alias("rows"))
+        .agg(F.collect_list(F.struct("id", *held)).alias("rows"))
     )
-    blocks = blocks.select("tile", "cut", F.col("rows.id").alias("ids"), *(F.col(f"rows.{n}").alias(n) for n in names))
+    blocks = blocks.select("tile", "cut", F.col("rows.id").alias("ids"), *(F.col(f"rows.{n}").alias(n) for n in held))
     offsets = []
     for d in _tile_offsets(parts, width, radius):
         total = 0
@@ -151,22 +193,27 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
         .where((F.col("a_tile") != F.col("b_tile")) | (F.col("a_cut") <= F.col("b_cut")))
         .select("a_tile", "a_cut", "b_tile", "b_cut")
     )
-    side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("tile", "cut", "ids", *names)))
+    side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("tile", "cut", "ids", *held)))
     met = pairs.join(side("a"), ["a_tile", "a_cut"]).join(side("b"), ["b_tile", "b_cut"]).withColumn("same", (F.col("a_tile") == F.col("b_tile")) & (F.col("a_cut") == F.col("b_cut")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
+            u: list[np.ndarray] = [np.empty(0, np.int64)]
+            v: list[np.ndarray] = [np.empty(0, np.int64)]
             for k in range(batch.num_rows):
                 get = lambda c: np.asarray(batch.column(at[c])[k].values)  # noqa: B023, E731
                 a_ids, b_ids = get("a_ids"), get("b_ids")
                 a, b = (np.stack([get(f"{p}_{n}") for n in names], 1).astype(np.uint64) for p in "ab")
-                for i, j in near_links(a, b, radius, batch.column(at["same"])[k].as_py()):
-                    u.append(a_ids[i])
-                    v.append(b_ids[j])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                same = batch.column(at["same"])[k].as_py()
+                if group:
+                    i, j = cross_links(a, b, radius, same, get(f"a_{group}"), get(f"b_{group}"))
+                else:
+                    i, j = np.array(near_links(a, b, radius, same), np.int64).reshape(-1, 2).T
+                u.append(a_ids[i])
+                v.append(b_ids[j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
 
-    columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *names)), "same"]
+    columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *held)), "same"]
     at = {c: i for i, c in enumerate(columns)}
     return met.select(*columns).mapInArrow(compare, "u long, v long")
 
@@ -189,3 +236,62 @@ def simhash_components(
     groups = connected_components(links).select(F.col("node").alias("id"), "component")
     named = nodes.join(groups, "id", "left").select(*names, F.coalesce("component", "id").alias("component_id"))
     return prints.join(named, names).select("doc_id", *names, "component_id")
+
+
+def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links whose nodes' sets of shingles have a Jaccard similarity of ``least`` or more."""
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    both = links.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
+    shared = F.size(F.array_intersect("u_set", "v_set"))
+    # Whole numbers, so that a similarity of exactly the bound counts.
+    union = F.size("u_set") + F.size("v_set") - shared
+    return both.where(shared * 1000 >= union * round(least * 1000)).select("u", "v")
+
+
+def near_copy_groups(
+    docs: DataFrame, *, shingle: int = 5, units: int = 2, near: int = 22, radius: int = 36, least: float = 0.8, max_broadcast: int = 200_000
+) -> DataFrame:
+    """``(doc_id, text_hash, component_id)``: one row per row of ``docs`` (doc_id, text), ``text_hash`` being Spark's xxhash64 of the text.
+
+    Two texts link if their fingerprints over distinct shingles differ in ``radius`` bits or fewer and the Jaccard
+    similarity of their sets of shingles is ``least`` or more; components of such links are groups. Nodes are distinct sets.
+    First a spanning set of the pairs at ``near`` bits is verified, so that a large group is mostly joined by few
+    pairs; then every pair at ``radius`` bits that is not in one group yet is.
+    """
+    names = [f"f{j}" for j in range(units)]
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((n, pa.int64()) for n in ("id", *names))])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_fingerprint(t, shingle, units) for t in byte_texts(batch)]
+            rows = np.array([[name, *words] for name, words in found], np.uint64).reshape(-1, 1 + units).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(1 + units))], schema=arrow)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in byte_texts(batch)]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join(f"{f.name} long" for f in arrow)), "set-prints")
+    nodes = prints.groupBy("id", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("place"))
+
+    def sets(links: DataFrame, name: str) -> DataFrame:
+        linked = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
+        wanted = written(nodes.join(linked, "id", "left_semi").select("id", "place.doc_id", "place.text_hash"), f"{name}-nodes")
+        few = wanted.count() <= max_broadcast
+        held = texts.withColumnRenamed("doc_id", "own").withColumnRenamed("text_hash", "own_hash")
+        met = held.join(F.broadcast(wanted) if few else wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
+        return written(met.select("id", "text").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"]), name)
+
+    some = written(link_fingerprints(nodes.select("id", *names), units=units, radius=near), "near-links")
+    verified = written(_similar(some, sets(some, "near-sets"), least), "verified-links")
+    joined = connected_components(verified).withColumnRenamed("node", "id")
+    grouped = written(nodes.join(joined, "id", "left").select("id", *names, F.coalesce("component", "id").alias("component")), "grouped")
+    rest = written(link_fingerprints(grouped, units=units, radius=radius, group="component"), "cross-links")
+    both = verified.unionByName(_similar(rest, sets(rest, "cross-sets"), least))
+    groups = connected_components(both).withColumnRenamed("node", "id")
+    return prints.join(groups, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component_id"))
