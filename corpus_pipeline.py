@@ -28,8 +28,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that repeat an earlier line up to one word; a document that loses all its words goes."""
-    left = line_dedup.drop_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Remove lines that repeat an earlier line; a document that loses all its words goes.
+
+    Equal lines count from one word on, lines one word edit apart from four words on: below that, one edit is a third of a line or more.
+    """
+    left = line_dedup.drop_repeated_lines(docs, min_words=1, near_words=4).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
