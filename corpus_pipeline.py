@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal lines count from one word on, lines one word edit apart from four words on: below that, one edit is a third of a line or more.
     """
-    left = line_dedup.drop_repeated_lines(docs, min_words=1, near_words=4).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    left = line_dedup.drop_repeated_lines(docs, min_words=1, near_words=4).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

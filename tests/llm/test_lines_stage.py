@@ -27,3 +27,9 @@ def test_short_lines_count(spark):
     want = {d: t for d, _, _, t in plain_lines(rows, 1, 4)}
     assert got == {d: (t, len(t)) for d, t in want.items()}
     assert "rights" not in got[61][0] and "https" not in got[63][0]
+
+
+def test_a_document_without_words_left_goes(spark):
+    rows = [(1, "the same line of words"), (2, "\n\t\n the same line of words\n\r\n\x0b"), (3, "the same line of words\n\u00a0"), (4, "the same line of words\nmore")]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.lines(spark, docs, "").collect()} == {1, 3, 4}
