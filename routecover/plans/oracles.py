@@ -29,6 +29,12 @@ way AS (SELECT o_custkey // 15 AS area_id, o_orderkey AS feature_id,
 LENGTHS = f"""len AS (SELECT f AS feature_id, sum({haversine('y1', 'x1', 'y2', 'x2')}) AS m FROM seg GROUP BY f),
 size AS (SELECT feature_id, count(*) AS n FROM p GROUP BY feature_id)"""
 NODE = lambda x, y: f"((floor(({y}) * 1e6 + 0.5)::BIGINT + 90000000) * 400000000 + floor(({x}) * 1e6 + 0.5)::BIGINT + 180000000)"
+ROUTE = f"""wy AS (SELECT area_id, feature_id, arg_min({NODE('lng', 'lat')}, seq) AS a, arg_max({NODE('lng', 'lat')}, seq) AS b, max(n) AS n, row_number() OVER (PARTITION BY area_id ORDER BY feature_id) - 1 AS k FROM p WHERE n > 1 GROUP BY area_id, feature_id),
+lastw AS (SELECT * FROM wy QUALIFY row_number() OVER (PARTITION BY area_id, least(a, b), greatest(a, b) ORDER BY feature_id DESC) = 1),
+walk AS (SELECT area_id, 2 * k AS step, a AS u, b AS v FROM wy UNION ALL SELECT area_id, 2 * k + 1, b, a FROM wy),
+sg AS (SELECT w.*, l.feature_id, l.n, l.a = w.u AS forth, row_number() OVER (PARTITION BY w.area_id, least(u, v), greatest(u, v) ORDER BY step) > 1 AS retraced
+  FROM walk w JOIN lastw l ON l.area_id = w.area_id AND least(l.a, l.b) = least(u, v) AND greatest(l.a, l.b) = greatest(u, v)),
+rp AS (SELECT sg.area_id, step, CASE WHEN forth THEN seq ELSE sg.n - 1 - seq END AS j, lng, lat FROM sg JOIN p USING (feature_id))"""
 CROSS = f"""
 b AS (SELECT *, least(x1, x2) AS lx, greatest(x1, x2) AS hx, least(y1, y2) AS ly, greatest(y1, y2) AS hy, x2 - x1 AS ex, y2 - y1 AS ey FROM seg),
 pr AS (SELECT a.area_id, a.f AS a_ord, a.i AS a_idx, c.f AS b_ord, c.i AS b_idx, a.x1, a.y1, a.ex, a.ey, a.ex * c.ey - a.ey * c.ex AS den,
@@ -146,6 +152,10 @@ ORACLES: dict[str, str] = {
     "nearest_profile_point": query(POINTS, HEIGHTS, PROFILE, ASKED, """af AS (SELECT a.area_id, a.route_id, a.query_id, a.d, min((f.dist, f.seq)) FILTER (f.dist >= a.d) AS af, max((f.dist, f.seq)) FILTER (f.dist < a.d) AS be
         FROM asked a JOIN pf f ON f.feature_id = a.route_id GROUP BY ALL)""",
         select="SELECT area_id, route_id, query_id::BIGINT AS query_id, CASE WHEN af IS NULL OR (be IS NOT NULL AND d - be[1] < af[1] - d) THEN be[2] ELSE af[2] END AS seq FROM af"),
+    "route_segments": query(POINTS, LENGTHS, ROUTE, select="""SELECT sg.area_id, sg.step, u, v, round(m, 3) AS weight, retraced, f0::BIGINT AS from_point, (f0 + n - 1)::BIGINT AS to_point, rp.lng AS first_lng, rp.lat AS first_lat
+        FROM (SELECT *, coalesce(sum(n - 1) OVER (PARTITION BY area_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f0 FROM sg) sg JOIN len USING (feature_id) JOIN rp ON rp.area_id = sg.area_id AND rp.step = sg.step AND rp.j = 0"""),
+    "route_coords": query(POINTS, ROUTE, select="""SELECT area_id, row_number() OVER (PARTITION BY area_id ORDER BY step, j) - 1 AS seq, lng, lat
+        FROM (SELECT *, lag(lng) OVER w AS px, lag(lat) OVER w AS py FROM rp WINDOW w AS (PARTITION BY area_id ORDER BY step, j)) WHERE px IS NULL OR lng <> px OR lat <> py"""),
     "windy_from_solution": query(POINTS, f"""w2 AS (SELECT area_id, feature_id, arg_min({NODE('lng', 'lat')}, seq) AS a, arg_max({NODE('lng', 'lat')}, seq) AS b FROM p WHERE n > 1 GROUP BY area_id, feature_id)""",
         select="SELECT area_id, u, v, count(*) AS n FROM (SELECT area_id, a AS u, b AS v FROM w2 UNION ALL SELECT area_id, b, a FROM w2) GROUP BY area_id, u, v"),
     "windy_model": query(POINTS, HEIGHTS, PROFILE, TIMES, f"""w2 AS (SELECT area_id, feature_id, arg_min({NODE('lng', 'lat')}, seq) AS a, arg_max({NODE('lng', 'lat')}, seq) AS b, row_number() OVER (PARTITION BY area_id ORDER BY feature_id) - 1 AS i FROM p WHERE n > 1 GROUP BY area_id, feature_id)""",

@@ -290,6 +290,29 @@ def covering_route_distance(spark, sf_dir):
     return r.totals.select("area_id", *(F.round(c, 1).alias(c) for c in ("unique_m", "total_m", "reachable_m", "elevation_gain", "elevation_loss", "estimated_time")), "steps", "warning")
 
 
+def out_and_back(spark, sf_dir):
+    """Every way as one edge, and steps that walk each way of an area out and back in turn."""
+    f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
+    end = lambda i: geo.node_id(geo.micro(F.element_at("coords", i)["lng"]), geo.micro(F.element_at("coords", i)["lat"]))
+    f = f.withColumns({"u": end(1), "v": end(-1), "weight": filters.feature_length()})
+    i = windy.numbered_edges(f).select("area_id", "u", "v", F.col("i").cast("long").alias("i"))
+    steps = i.select("area_id", (2 * F.col("i")).alias("step"), "u", "v").unionByName(i.select("area_id", (2 * F.col("i") + 1).alias("step"), F.col("v").alias("u"), F.col("u").alias("v")))
+    return steps, f
+
+
+def route_segments(spark, sf_dir):
+    """Steps of the ways out and back: lengths, second passes, places in the point sequence, and the first point."""
+    s = route.segment_ranges(route.route_segments(*out_and_back(spark, sf_dir)))
+    first = [F.element_at("coords", 1)[c].alias(f"first_{c}") for c in ("lng", "lat")]
+    return s.select("area_id", "step", "u", "v", metres("weight"), "retraced", F.col("from_point").cast("long").alias("from_point"), F.col("to_point").cast("long").alias("to_point"), *first)
+
+
+def route_coords(spark, sf_dir):
+    """The points of the ways out and back, without those that equal the one before."""
+    c = route.route_coords(route.route_segments(*out_and_back(spark, sf_dir)))
+    return c.select("area_id", F.col("seq").cast("long").alias("seq"), "lng", "lat")
+
+
 def windy_model(spark, sf_dir):
     """Objective of every way as an edge, both ways."""
     f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
@@ -322,7 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
         undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
         elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
-        nearest_profile_point, route_gpx, display_strings, shortest_paths, windy_model,
+        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, windy_model,
         windy_from_solution, saved_selections,
     )
 }
