@@ -1,109 +1,191 @@
-"""Token ids by the tokenizers library, with words seen before looked up instead of encoded again."""
+"""Token ids by the tokenizers library, with pieces seen before looked up instead of encoded again."""
 
 from __future__ import annotations
 
+import json
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-
-class _Rows(dict):
-    """Piece -> row; a piece not seen before gets the next row and is noted as new."""
-
-    def __init__(self, owner: WordEncoder, lead: str):
-        super().__init__()
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = row = self.owner.rows
-        self.owner.rows += 1
-        self.owner.new.append((self.lead, piece))
-        return row
+#: Classes of bytes: a space, other ASCII white space, letters, digits, other ASCII, bytes of characters that may be anything.
+SPACE, BREAK, LETTER, DIGIT, MARK, OPEN = range(6)
+CLASS = np.full(256, OPEN, np.uint8)
+CLASS[:128] = MARK
+CLASS[[9, 10, 11, 12, 13]] = BREAK
+CLASS[32] = SPACE
+for _first, _last, _kind in ((48, 57, DIGIT), (65, 90, LETTER), (97, 122, LETTER), (0xC3, 0xC5, LETTER)):
+    CLASS[_first : _last + 1] = _kind  # C3 to C5 begin the letters of Latin-1 and Latin Extended-A
+#: Characters that Unicode, but not ASCII, counts as white space, and those on which libraries differ.
+OTHER_SPACE = r"[\x1c-\x1f\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+APOSTROPHE, BREAK_LINE = 39, "\n"
+
+
+def cut_places(data: np.ndarray, is_start: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte of joined UTF-8 texts; ``is_start`` marks where texts begin.
+
+    All cuts lie where byte-level pre-tokenization ends a match whatever stands to the left, and no piece but a run of white space
+    ends in white space, so a piece encodes on its own as it does in its text:
+    before white space; between letters, digits and marks (not from an apostrophe to a letter, as in 's); before the last character of a longer
+    run of white space with something after it; and after such a character unless it is a space. Nothing is cut beside other characters.
+    """
+    kind = CLASS[data]
+    second = np.zeros(len(data), bool)  # of a Latin letter's two bytes
+    second[1:] = (data[:-1] >= 0xC3) & (data[:-1] <= 0xC5)
+    kind[second] = LETTER
+    for sign in np.flatnonzero(second & ((data == 0x97) | (data == 0xB7))).tolist():  # of these, C3 97 and C3 B7 are the signs of times and division
+        if data[sign - 1] == 0xC3:
+            kind[sign - 1 : sign + 1] = OPEN
+    white = kind <= BREAK
+    a, b = kind[:-1], kind[1:]
+    word = (kind >= LETTER) & (kind <= MARK)
+    cut = is_start.copy()
+    inner = ~white[:-1] & white[1:]
+    inner |= word[:-1] & word[1:] & (a != b) & ~((data[:-1] == APOSTROPHE) & (b == LETTER))
+    inner |= (a == BREAK) & ~white[1:]
+    ends_run = np.zeros(len(data), bool)
+    ends_run[:-1] = white[:-1] & ~white[1:] & ~is_start[1:]
+    inner |= white[:-1] & ends_run[1:]
+    cut[1:] |= inner
+    return cut
 
 
 class WordEncoder:
-    """Encodes whole texts exactly as the library does, at the cost of its new words.
+    """Encodes whole texts exactly as the library does, at the cost of their new pieces.
 
-    A pre-token of a byte-level BPE vocabulary never reaches over a single space between two non-space
-    characters, so the pieces of ``text.split(" ")`` can be encoded on their own and kept. A text in
-    which some piece is empty or touches other white space is given to the library whole. Kept are
-    about ``max_kept`` pieces; then the table starts anew. Results never
-    depend on what is kept.
+    Texts are cut at places where the library's pre-tokenization surely ends a match (``cut_places``); the distinct pieces of a chunk are
+    looked up, and new ones are encoded together. A text that holds an added token or white space outside ASCII, and every text if
+    the vocabulary isn't a plain byte-level one, is given to the library whole. About ``max_bytes`` of pieces and ids are
+    kept, then the table starts anew; pieces over ``max_piece`` bytes are not kept. Results never depend on what is kept.
     """
 
-    def __init__(self, path: str, max_kept: int = 1_200_000):
+    def __init__(self, path: str, max_bytes: int = 64 << 20, max_piece: int = 64):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.max_kept = max_kept
+        self.max_bytes, self.max_piece = max_bytes, max_piece
+        held = json.loads(Path(path).read_text())
+        before = held.get("pre_tokenizer") or {}
+        self.plain = not held.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.added = [t["content"] for t in held.get("added_tokens", [])]
+        self.line_id = self.library.encode(BREAK_LINE, add_special_tokens=False).ids
         self._start_anew()
 
     def _start_anew(self) -> None:
-        self.rows, self.new = 0, []
-        self.first, self.later = _Rows(self, ""), _Rows(self, " ")
-        self.flat = np.empty(1 << 20, np.int32)
-        self.ends = np.zeros((1 << 18) + 1, np.int64)  # of row r: ends[r + 1]
-        self.whole = np.zeros(1 << 18, bool)  # rows whose text must be encoded whole
-
-    def _learn(self) -> None:
-        """Fill the rows of the new pieces."""
-        new, self.new = self.new, []
-        first_row = self.rows - len(new)
-        while len(self.whole) < self.rows:
-            self.whole = np.concatenate([self.whole, np.zeros(len(self.whole), bool)])
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.whole) + 1 - len(self.ends), np.int64)])
-        alone = [bool(piece) and not (lead and piece[0].isspace()) and not piece[-1].isspace() for lead, piece in new]
-        ids = [e.ids for e in self.library.encode_batch_fast([a + b for (a, b), fine in zip(new, alone) if fine], add_special_tokens=False)]
-        flat = list(chain.from_iterable(ids))
-        sizes = np.zeros(len(new), np.int64)
-        sizes[alone] = list(map(len, ids))
-        self.whole[first_row : self.rows] = [not fine and (lead or piece) != "" for (lead, piece), fine in zip(new, alone)]
-        start = int(self.ends[first_row])
+        self.pieces = pa.array([], pa.binary())
+        self.flat = np.empty(1 << 18, np.int32)
+        self.ends = np.zeros(1, np.int64)  # of row r: ends[r + 1]
+
+    def _by_library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, lines: list[bytes], others: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in one array, and how many each has; ``lines`` are encoded as lines of one text."""
+        flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for i in range(0, len(lines), 4096):
+            ids = np.array(self._by_library([b"\n".join(lines[i : i + 4096]).decode()])[0], np.int32)
+            inside = ids != self.line_id[0]
+            stops = np.append(np.flatnonzero(~inside), len(ids))
+            flat.append(ids[inside])
+            sizes.append(np.diff(stops, prepend=-1) - 1)
+        for ids in self._by_library([p.decode() for p in others]):
+            flat.append(np.array(ids, np.int32))
+            sizes.append(np.array([len(ids)]))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _rows_of(self, distinct: pa.Array) -> tuple[np.ndarray, int]:
+        """Each distinct piece's row, and the number of rows that are kept after this chunk."""
+        rows = pc.index_in(distinct, value_set=self.pieces)
+        new = pc.is_null(rows)
+        fresh = distinct.filter(new)
+        known = len(self.pieces)
+        if len(fresh) == 0:
+            return np.asarray(rows).astype(np.int64), known
+        # A piece that is no white space but for a space before it has no line break, and between line breaks is encoded as it is.
+        line = np.asarray(pc.match_substring_regex(fresh, r"^ ?[^ \t\n\v\f\r]+$")) if len(self.line_id) == 1 else np.zeros(len(fresh), bool)
+        long = np.asarray(pc.greater(pc.binary_length(fresh), self.max_piece))
+        order = np.argsort(np.where(long, 2, ~line), kind="stable")  # those that aren't kept come last
+        kept = known + int((~long).sum())
+        fresh = fresh.take(pa.array(order))
+        n_lines = int((line & ~long).sum())
+        flat, sizes = self._ids_of(fresh[:n_lines].to_pylist(), fresh[n_lines:].to_pylist())
+        start = int(self.ends[-1])
         while start + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.int32)])
         self.flat[start : start + len(flat)] = flat
-        self.ends[first_row + 1 : self.rows + 1] = start + np.cumsum(sizes)
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in one array, each text's followed by ``end_id``; and the n+1 offsets of the texts."""
-        if not texts:
+        self.ends = np.concatenate([self.ends, start + np.cumsum(sizes)])
+        self.pieces = pa.concat_arrays([self.pieces, fresh])
+        out = np.asarray(rows.fill_null(0)).astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = known + np.arange(len(order))
+        out[np.asarray(new)] = place
+        return out, kept
+
+    def encode(self, texts: list[str] | pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, each text's followed by ``end_id``; and the n+1 offsets of the texts. A null text is empty."""
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+        n = len(texts)
+        if not n:
             return np.empty(0, np.int32), np.zeros(1, np.int64)
-        if len(self.first) + len(self.later) > self.max_kept:
-            self._start_anew()
-        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        n = np.asarray(pc.list_value_length(split)).astype(np.int64)
-        starts = np.cumsum(n) - n
-        is_first = np.zeros(int(n.sum()), bool)
-        is_first[starts] = True
-        rows = np.empty(len(is_first), np.int64)
-        pieces = split.flatten()
-        rows[is_first] = [self.first[x] for x in pieces.take(pa.array(starts)).to_pylist()]
-        later = pieces.filter(pa.array(~is_first)).dictionary_encode()  # only distinct pieces are looked up
-        known = np.array([self.later[x] for x in later.dictionary.to_pylist()], np.int64)
-        rows[~is_first] = known[np.asarray(later.indices)] if len(known) else 0
-        if self.new:
-            self._learn()
-        size = self.ends[rows + 1] - self.ends[rows]
-        whole = np.flatnonzero(np.logical_or.reduceat(self.whole[rows], starts))
-        by_library = {}
-        for i in whole.tolist():
-            by_library[i] = self.library.encode_batch_fast([texts[i]], add_special_tokens=False)[0].ids
-            size[starts[i] : starts[i] + n[i]] = 0
-        lengths = np.add.reduceat(size, starts) + 1
+        odd = pc.match_substring_regex(texts, OTHER_SPACE) if self.plain else pa.array(np.ones(n, bool))
+        for content in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, content))
+        odd = np.flatnonzero(np.asarray(odd))
+        by_library = dict(zip(odd.tolist(), self._by_library(texts.take(pa.array(odd)).to_pylist()))) if len(odd) else {}
+        if len(odd):
+            mask = np.zeros(n, bool)
+            mask[odd] = True
+            texts = pc.if_else(pa.array(mask), "", texts)
+        texts = pa.concat_arrays([texts.cast(pa.large_binary())])  # one buffer from its start
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        size = int(offsets[-1] - offsets[0])
+        starts = offsets - offsets[0]
+        kept = len(self.pieces)
+        if size:
+            data = np.frombuffer(texts.buffers()[2], np.uint8)[int(offsets[0]) : int(offsets[-1])]
+            is_start = np.zeros(size, bool)
+            is_start[starts[:-1][starts[:-1] < size]] = True
+            places = np.append(np.flatnonzero(cut_places(data, is_start)), size).astype(np.int32)
+            pieces = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+            distinct, kept = self._rows_of(pieces.dictionary)
+            rows = distinct[np.asarray(pieces.indices)]
+            first = np.searchsorted(places, starts)  # each text's first piece
+        else:
+            rows, first = np.empty(0, np.int64), np.zeros(n + 1, np.int64)
+        counts = (self.ends[rows + 1] - self.ends[rows]).astype(np.int32)
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)])
+        lengths = before[first[1:]] - before[first[:-1]] + 1
         for i, ids in by_library.items():
             lengths[i] = len(ids) + 1
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        out = np.empty(int(offsets[-1]), np.int32)
-        before = np.cumsum(size) - size
-        shift = np.repeat(offsets[:-1] - before[starts], n)
-        step = np.arange(int(size.sum())) - np.repeat(before, size)
-        out[np.repeat(before + shift, size) + step] = self.flat[np.repeat(self.ends[rows], size) + step]
-        out[offsets[1:] - 1] = end_id
-        for i, ids in by_library.items():
-            out[offsets[i] : offsets[i + 1] - 1] = ids
-        return out, offsets
+        at = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        ids_in_pieces = int(before[-1])
+        source = np.repeat(self.ends[rows] - before[:-1], counts)
+        source += np.arange(ids_in_pieces)
+        body = self.flat[source]
+        if by_library:
+            parts = []
+            for i in range(n):
+                parts += [np.array(by_library[i], np.int32) if i in by_library else body[before[first[i]] : before[first[i + 1]]], np.array([end_id], np.int32)]
+            out = np.concatenate(parts)
+        else:
+            out = np.insert(body, before[first[1:]], end_id)
+        self._keep(kept, distinct if size else None)
+        return out, at
+
+    def _keep(self, kept: int, seen: np.ndarray | None) -> None:
+        """Drop the rows that aren't kept; beyond the bound, all but those just seen, or all."""
+        if kept < len(self.pieces):
+            self.pieces, self.ends = self.pieces[:kept], self.ends[: kept + 1]
+        if self.pieces.nbytes + 12 * len(self.pieces) + 4 * int(self.ends[-1]) > self.max_bytes:
+            rows = np.unique(seen[seen < kept])
+            counts = self.ends[rows + 1] - self.ends[rows]
+            flat = np.concatenate([np.empty(0, np.int32), *(self.flat[a:b] for a, b in zip(self.ends[rows].tolist(), self.ends[rows + 1].tolist()))])
+            pieces = self.pieces.take(pa.array(rows))
+            self._start_anew()
+            if pieces.nbytes + 12 * len(pieces) + 4 * len(flat) <= self.max_bytes // 2:
+                self.pieces, self.flat = pieces, np.concatenate([flat, np.empty(1 << 18, np.int32)])
+                self.ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -21,7 +21,7 @@ def awkward_rows() -> list[tuple]:
     texts = {
         1: shared, 2: shared, 3: "", 4: None, 5: " \n\t ", 6: prose(30) + " " + shared + " " + prose(30), 7: line + "\n" + prose(25) + "\n" + line,
         8: " ".join(near) + "\n" + prose(20), 9: prose(9000), 10: "same " * 50, 11: "x" * 3000, 12: "two  spaces\n\n and éß中",
-        13: " ".join(near[:-1]) + "\nshort\nshort", 14: "same " * 50, 15: "one", 16: prose(200) + "\n" + line,
+        13: " ".join(near[:-1]) + "\nshort\nshort", 14: "same " * 50, 15: "one", 16: prose(200) + "\n" + line, 17: "one<|endoftext|>two",
     }
     rows = [(i, t, "en" if i % 2 else "xx", None, None, 0.5, 7, "w") for i, t in texts.items()]
     return [*rows, rows[0], (None, "no id here at all", None, None, None, None, None, None)]

@@ -21,14 +21,14 @@ def encode(vocabulary):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
-    library.encode_special_tokens = True
     return lambda text, end: np.array([*library.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
 def test_pieces_encode_as_whole_texts(vocabulary, encode):
     texts = ["", " ", "a", " a", "a ", "a  b", "\n\nfoo\n bar", "don't stop 's 12,34 !! ", "<|endoftext|> hi", "\x1cfoo a\x1c b", "foo \n", "a\u0085 b", "  x"]
-    for kept in (1_000_000, 3):
-        encoder = WordEncoder(vocabulary, max_kept=kept)
+    texts += ["one<|endoftext|>two", "<|endoftext|>", "a\u00a0 \u00a0b", "né×à÷é.", "x" * 300 + " y", "'", "it's 'stuff'll", "Ā1ſ. 字a字"]
+    for kept in (1 << 20, 200):
+        encoder = WordEncoder(vocabulary, max_bytes=kept, max_piece=8)
         for part in (texts, texts[::-1]):
             flat, at = encoder.encode(part, 9)
             for i, t in enumerate(part):
@@ -46,6 +46,11 @@ def test_any_text_encodes_as_a_whole(texts):
         assert flat[at[i] : at[i + 1]].tolist() == [*encoder.library.encode(t, add_special_tokens=False).ids, 0]
 
 
+def test_the_end_mark_is_one_id_as_the_library_has_it(vocabulary, encode):
+    flat, _ = WordEncoder(vocabulary).encode(["see <|endoftext|> there"], 0)
+    assert 50256 in flat.tolist() and flat.tolist() == encode("see <|endoftext|> there", 0).tolist()
+
+
 ENCODERS: dict = {}
 
 
