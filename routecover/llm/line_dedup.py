@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routecover.llm.texts import byte_texts
 from routecover.llm.tokens import in_chunks
@@ -72,12 +74,20 @@ def half_keys(sums: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.nda
     return keys
 
 
-def deletion_keys(words: list[bytes]) -> np.ndarray:
-    """Keys of the line and of its variants without word 0, 1, ...: equal for equal word sequences."""
-    n = len(words)
-    sums = running_sums(words, np.zeros(1, np.int64), np.array([n]))
-    without = sums[:-1] + (sums[-1] - sums[1:]) * INVERSE
-    return np.concatenate([_mix(sums[-1:], n), _mix(without, n - 1)])
+def deletion_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line: its own key at place 0, and at place p the key of its variant without its p-th word; as (row of the line, place, key).
+
+    Equal word sequences have equal keys.
+    """
+    n = np.array([len(x) for x in lines], np.int64)
+    first = np.cumsum(n) - n
+    sums = running_sums([w for x in lines for w in x], first, n)
+    row = np.repeat(np.arange(len(lines)), n)
+    at = np.arange(len(row))
+    without = (sums[at] - sums[first[row]]) + (sums[(first + n)[row]] - sums[at + 1]) * INVERSE
+    whole = _mix(sums[first + n] - sums[first], n)
+    keys = np.concatenate([whole, _mix(without, n[row] - 1)])
+    return np.concatenate([np.arange(len(lines)), row]), np.concatenate([np.zeros(len(lines), np.int64), at - first[row] + 1]), keys
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -92,6 +102,20 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def squeezed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with the texts as zstandard frames, so that a shuffle of whole texts writes and sends less. Null stays null."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            frames = [None if x is None else codec.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return docs.mapInArrow(squeeze, T.StructType([T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(docs.schema.fields)]))
+
+
 def scan_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """``(doc_id, line, n, digest, halves)`` for every line of at least ``min_words`` words; ``halves`` only from ``near_words`` words on."""
 
@@ -125,80 +149,106 @@ def scan_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, line int, n int, digest binary, halves array<long>")
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = 4, near_words: int = 10) -> DataFrame:
+def repeated_lines(docs: DataFrame, *, min_words: int = 1, near_words: int = 4) -> DataFrame:
     """``(doc_id, line, first_doc, first_line)``: every line with an earlier equal or nearly equal line, and that line's place.
 
     ``docs`` is ``(doc_id, text)``. Lines are told apart by their words (runs of other bytes than ASCII white space). Equal lines
     count from ``min_words`` words on, lines one word edit apart if both have ``near_words`` or more. Places are ordered by
     (doc_id, line number); the earlier line may itself be one that goes.
     """
-    at = F.struct("doc_id", "line", "digest")
     lines = written(scan_lines(docs, min_words, near_words), "lines")
-    distinct = lines.groupBy("digest").agg(F.min(at).alias("at"), F.first("halves").alias("halves"))
+    distinct = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"))
     distinct = written(distinct.select("digest", "at.doc_id", "at.line", "halves"), "distinct-lines")
     # Only lines that share a half with another distinct line can have a partner.
     halves = distinct.select("doc_id", "line", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     wanted = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
 
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            texts = byte_texts(batch)
-            for name, text, asked in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
-                rows = text.split(b"\n")
+            for name, frame, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = codec.decompress(frame).split(b"\n")
                 for x in asked:
                     cut = rows[x].split() if x < len(rows) else []
                     if len(cut) >= near_words:
-                        out.append((name, x, xxhash.xxh3_128_digest(b" ".join(cut)), rows[x], deletion_keys(cut)))
-            columns = list(zip(*out)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "line", "digest", "words", "keys"])
-
-    emitted = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(variants, "doc_id long, line int, digest binary, words string, keys array<long>")
-    emitted = written(emitted.dropDuplicates(["doc_id", "line", "digest"]), "variants")
-    keys = emitted.select(at.alias("at"), F.posexplode("keys").alias("place", "key"))  # place 0: the line whole
+                        words = b" ".join(cut)
+                        digest = xxhash.xxh3_128_digest(words)
+                        out.append((name, x << 32 | int.from_bytes(digest[:4], "big"), digest, words))
+            columns = list(zip(*out)) if out else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "mark", "digest", "words"])
+
+    # ``mark`` is the line's number with a part of its digest, as rows of one id may hold different texts.
+    emitted = squeezed(docs.select("doc_id", "text"), "text").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(pick, "doc_id long, mark long, digest binary, words binary")
+    emitted = written(emitted.dropDuplicates(["doc_id", "mark"]), "near-lines")
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, key = deletion_keys([x.split(b" ") for x in batch.column(2).to_pylist()])
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(place.astype(np.int32)), pa.array(key)], names=["doc_id", "mark", "place", "key"])
+
+    keys = emitted.select("doc_id", "mark", "words").mapInArrow(variants, "doc_id long, mark long, place int, key long")
+    at, least = F.struct("doc_id", "mark"), F.min(F.struct("doc_id", "mark")).alias("other")
     # Equal after the same deletion: one edit apart, whatever the group's size.
-    same_place = keys.where("place > 0").groupBy("key", "place").agg(F.min("at").alias("other"), F.count("*").alias("c")).where("c > 1").drop("c")
-    substituted = keys.join(same_place, ["key", "place"]).select("at", "other")
-    whole = keys.where("place = 0").select("key", F.col("at").alias("short"))
-    shorter = keys.where("place > 0").join(whole, "key")
+    same_place = keys.where("place > 0").groupBy("key", "place").agg(least, F.count("*").alias("c")).where("c > 1").drop("c")
+    substituted = keys.where("place > 0").join(same_place, ["key", "place"]).select(at.alias("at"), "other")
+    whole = keys.where("place = 0").select("key", at.alias("short"))
+    shorter = keys.where("place > 0").select("key", at.alias("at")).join(whole, "key")
     longer = shorter.groupBy("short").agg(F.min("at").alias("other")).select(F.col("short").alias("at"), "other")
     pairs = substituted.unionByName(shorter.select("at", F.col("short").alias("other"))).unionByName(longer).where("other < at")
     pairs = pairs.groupBy("at").agg(F.min("other").alias("other"))
-    text = emitted.select(at.alias("at"), "words")
+    text = emitted.select(at.alias("at"), "digest", "words")
     checked = pairs.join(text, "at").join(text.select(F.col("at").alias("other"), F.col("words").alias("other_words")), "other")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fine = [within_one(a.split(), b.split()) for a, b in zip(byte_texts(batch, "words"), byte_texts(batch, "other_words"))]
-            yield batch.select(["digest", "other_doc", "other_line"]).filter(pa.array(fine, pa.bool_()))
+            fine = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield batch.select([0, 1, 2]).filter(pa.array(fine, pa.bool_()))
 
-    near = checked.select(F.col("at.digest").alias("digest"), F.col("other.doc_id").alias("other_doc"), F.col("other.line").alias("other_line"), "words", "other_words")
+    near = checked.select("digest", F.col("other.doc_id").alias("other_doc"), F.shiftright("other.mark", 32).cast("int").alias("other_line"), "words", "other_words")
     near = near.mapInArrow(verify, "digest binary, other_doc long, other_line int")
     near = near.select("digest", F.struct(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line")).alias("place"))
     own = distinct.select("digest", F.struct("doc_id", "line").alias("place"))
     first = own.unionByName(near).groupBy("digest").agg(F.min("place").alias("first"))
+    # From files, so that the join is on its own and the lines of one very common digest can be dealt to many tasks.
+    first = written(first, "first-lines")
     return lines.join(first, "digest").where(F.col("first") < F.struct("doc_id", "line")).select("doc_id", "line", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
 
 
-def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 4, near_words: int = 10) -> DataFrame:
-    """``docs`` without its repeated lines, with ``n_lines`` and ``n_removed`` added; every row stays.
+def drop_repeated_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, near_words: int = 4, counts: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
+    """``docs`` without its repeated lines, with the columns ``counts`` (its lines, and those removed) added; every row stays.
 
-    The rest of the lines keep their order and text. Lines shorter than ``min_words`` words stay. A null
+    The rest of the lines keep their order and text. Lines shorter than ``min_words`` words stay: an empty line always does. A null
     text stays null with 0 lines; a null id is not compared and loses nothing; rows of one id hold
-    the same places, so repeated rows keep each other's lines. Columns of any other name are kept as they are.
+    the same places, so repeated rows keep each other's lines. Of two lines that repeat each other the one at the smaller (id, line number)
+    stays. A very long text is one row, and costs memory for itself. An empty table gives no rows. Columns of any other name are
+    kept as they are; a column of ``docs`` named as one of ``counts`` is replaced.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     gone = repeated_lines(picked, min_words=min_words, near_words=near_words)
     gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__id"], "left").drop("__id")
-    lines = F.split(F.col(text_col), "\n", -1)
-    none = F.array().cast("array<int>")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.coalesce("__gone", none), i))
-    return (
-        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)))
-        .withColumn("n_removed", F.size(F.coalesce("__gone", none)))
-        .withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .drop("__gone")
-    )
+    held = docs.drop(*counts)
+    packed = squeezed(held, text_col)
+    joined = packed.join(gone, packed[id_col].cast("long") == gone["__id"], "left").drop("__id")
+    text_at, gone_at, names = held.columns.index(text_col), len(held.columns), [*held.columns, *counts]
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts, n_lines, n_gone = [], [], []
+            for frame, lost in zip(batch.column(text_at).to_pylist(), batch.column(gone_at).to_pylist()):
+                text = None if frame is None else codec.decompress(frame)
+                rows = [] if text is None else text.split(b"\n")
+                out = set(lost or ())
+                texts.append(b"\n".join(x for i, x in enumerate(rows) if i not in out) if out and text is not None else text)
+                n_lines.append(len(rows))
+                n_gone.append(len(out))
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == text_at else c for i, c in enumerate(batch.columns[:gone_at])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_gone, pa.int32())], names=names)
+
+    return joined.mapInArrow(restore, T.StructType([*held.schema.fields, *(T.StructField(c, T.IntegerType()) for c in counts)]))
