@@ -129,30 +129,32 @@ WITH d AS (
          list_filter(string_split_regex(translate(lower(text), '.,;:!?"''()[]', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), i AS (
-  SELECT DISTINCT item_id, ws, len(ws) AS size, least(len(ws), 5) AS k FROM (
+  SELECT DISTINCT item_id, md5(array_to_string(ws, ' ')) AS irow, ws, len(ws) AS size, least(len(ws), 5) AS k FROM (
     SELECT item_id, list_filter(string_split_regex(translate(lower(coalesce(text, '')), '.,;:!?"''()[]', ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
     FROM benchmark WHERE item_id IS NOT NULL) WHERE len(ws) > 0
 ), ish AS (
-  SELECT item_id, size, k, p, ws[p:p + k - 1] AS sh FROM (SELECT *, unnest(range(1, size - k + 2)) AS p FROM i)
+  SELECT item_id, irow, size, k, p, ws[p:p + k - 1] AS sh FROM (SELECT *, unnest(range(1, size - k + 2)) AS p FROM i)
 ), ks AS (SELECT DISTINCT k FROM i), dsh AS (
   SELECT doc_id, row, n, k, p, ws[p:p + k - 1] AS sh
   FROM (SELECT *, len(ws) AS n, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks)
+), near AS (
+  SELECT DISTINCT doc_id, row, item_id, irow, size, n, k, dsh.p, least(size, n) - k + 1 AS held FROM dsh JOIN ish USING (k, sh)
 ), w AS (
-  SELECT DISTINCT doc_id, row, size, dsh.k, greatest(least(dsh.p - ish.p, n - size), 0) AS start
-  FROM dsh JOIN ish USING (k, sh)
+  SELECT DISTINCT doc_id, row, item_id, irow, size, k, s - 1 AS start
+  FROM (SELECT *, unnest(range(greatest(p - held + 1, 1), least(p, n - k + 2 - held) + 1)) AS s FROM near)
 ), wsh AS (
-  SELECT doc_id, row, size, k, start, win[p:p + k - 1] AS sh
+  SELECT doc_id, row, item_id, irow, k, start, win[p:p + k - 1] AS sh
   FROM (SELECT *, unnest(range(1, len(win) - k + 2)) AS p
         FROM (SELECT w.*, d.ws[start + 1:start + size] AS win FROM w JOIN d USING (doc_id, row)))
-), wc AS (SELECT doc_id, row, size, k, start, sh, count(*) AS a FROM wsh GROUP BY ALL),
-ic AS (SELECT item_id, size, k, sh, count(*) AS b FROM ish GROUP BY ALL),
-wn AS (SELECT doc_id, row, size, k, start, sum(a) AS na FROM wc GROUP BY ALL),
-inn AS (SELECT item_id, size, k, sum(b) AS nb FROM ic GROUP BY ALL),
+), wc AS (SELECT doc_id, row, item_id, irow, start, sh, count(*) AS a FROM wsh GROUP BY ALL),
+ic AS (SELECT item_id, irow, sh, count(*) AS b FROM ish GROUP BY ALL),
+wn AS (SELECT doc_id, row, item_id, irow, start, sum(a) AS na FROM wc GROUP BY ALL),
+inn AS (SELECT item_id, irow, sum(b) AS nb FROM ic GROUP BY ALL),
 common AS (
-  SELECT doc_id, row, size, k, start, item_id, sum(least(a, b)) AS shared FROM wc JOIN ic USING (size, k, sh) GROUP BY ALL
+  SELECT doc_id, row, item_id, irow, start, sum(least(a, b)) AS shared FROM wc JOIN ic USING (item_id, irow, sh) GROUP BY ALL
 ), scored AS (
   SELECT doc_id, item_id, start, shared / (na + nb - shared) AS similarity
-  FROM common JOIN wn USING (doc_id, row, size, k, start) JOIN inn USING (item_id, size, k)
+  FROM common JOIN wn USING (doc_id, row, item_id, irow, start) JOIN inn USING (item_id, irow)
 )
 SELECT doc_id, item_id, arg_min(start, (-similarity, start))::INTEGER AS start, round(max(similarity), 6) AS similarity
 FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
@@ -162,16 +164,16 @@ WITH l AS (
   SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS t
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 ), q AS (
-  SELECT * FROM (SELECT doc_id, line, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM l) WHERE len(ws) >= 4
+  SELECT * FROM (SELECT doc_id, line, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM l) WHERE len(ws) >= 1
 ), d AS (SELECT ws, min((doc_id, line)) AS pos FROM q GROUP BY ws),
 v AS (
   SELECT ws, pos, p, list_concat(ws[1:p - 1], ws[p + 1:]) AS key
-  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE len(ws) >= 10)
+  FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS p FROM d WHERE len(ws) >= 4)
 ), g AS (SELECT key, p, min(pos) AS pos FROM v GROUP BY key, p),
 other AS (
   SELECT v.ws, g.pos FROM v JOIN g USING (key, p)
-  UNION ALL SELECT v.ws, d.pos FROM v JOIN d ON d.ws = v.key AND len(d.ws) >= 10
-  UNION ALL SELECT d.ws, v.pos FROM v JOIN d ON d.ws = v.key AND len(d.ws) >= 10
+  UNION ALL SELECT v.ws, d.pos FROM v JOIN d ON d.ws = v.key AND len(d.ws) >= 4
+  UNION ALL SELECT d.ws, v.pos FROM v JOIN d ON d.ws = v.key AND len(d.ws) >= 4
   UNION ALL SELECT ws, pos FROM d
 ), first AS (SELECT ws, min(pos) AS pos FROM other GROUP BY ws),
 gone AS (SELECT DISTINCT doc_id, line FROM q JOIN first USING (ws) WHERE first.pos < (q.doc_id, q.line)),
