@@ -22,6 +22,9 @@ from routecover.runtime import written
 
 #: Shingles whose bits are counted at once.
 SLICE = 1 << 16
+#: Least values of sets are taken under this many orders, two for each lane (made from a fixed seed).
+LANES = 12
+ORDERS = np.random.default_rng(5).integers(0, 1 << 63, (2, 2 * LANES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _shingle_places(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
@@ -61,13 +64,23 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(_hashes(*_shingle_places(text, shingle), 42))
 
 
-def set_fingerprint(text: bytes, shingle: int, units: int) -> tuple[int, list[int]]:
-    """A 64-bit name of the text's set of shingles, and its fingerprint with each distinct shingle counted once."""
+def lanes_of(hashes: np.ndarray) -> np.ndarray:
+    """One key for each lane, from the set's least values under two orders; sets of similarity s share a given key with probability s * s."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    least = np.full(2 * LANES, ~np.uint64(0))
+    for i in range(0, len(hashes), SLICE >> 4):
+        least = np.minimum(least, ((hashes[None, i : i + (SLICE >> 4)] ^ ORDERS[0]) * ORDERS[1]).min(1))
+    return (least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2] ^ np.arange(LANES, dtype=np.uint64)
+
+
+def set_fingerprint(text: bytes, shingle: int, units: int) -> tuple[int, list[int], np.ndarray]:
+    """A 64-bit name of the text's set of shingles, its fingerprint with each distinct shingle counted once, and its lanes."""
     joined, first, last = _shingle_places(text, shingle)
     hashes, at = np.unique(_hashes(joined, first, last, 42), return_index=True)
     first, last = [first[i] for i in at], [last[i] for i in at]
     more = [_majority(_hashes(joined, first, last, seed)) for seed in range(43, 42 + units)]
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()), [_majority(hashes), *more]
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()), [_majority(hashes), *more], lanes_of(hashes)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, units: int = 1) -> DataFrame:
@@ -146,17 +159,15 @@ def _tile_offsets(parts: int, width: int, radius: int) -> list[tuple[int, ...]]:
     return [d for d in product(range(-reach, reach + 1), repeat=parts) if least(d) <= radius and d >= (0,) * parts]
 
 
-def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, block: int = 4096, group: str | None = None) -> DataFrame:
+def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, block: int = 4096) -> DataFrame:
     """``(u, v)``: pairs of ids whose fingerprints differ in ``radius`` bits or fewer, enough to connect all that such pairs connect.
 
-    With a column ``group`` (long) in ``prints``, all such pairs of different groups.
     ``prints`` is ``(id, f0, ...)`` with distinct ids. A tile's population counts are those of
     four quarters of the bits for a small radius, else one count in steps of ``radius + 1``. Tiles of
     more than ``block`` fingerprints are cut by hash, so no task holds more than two blocks. The tables
     of tiles and of block pairs are derived from counts, not from pairs of fingerprints.
     """
     names = [f"f{j}" for j in range(units)]
-    held = [*names, *([group] if group else [])]
     parts, width = (4, 1) if radius <= 3 else (1, radius + 1)
     mask = lambda q: (1 << 16) - 1 << 16 * q
     signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -175,9 +186,9 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
         tiled.join(F.broadcast(sizes), "tile")
         .withColumn("cut", F.pmod(F.xxhash64(*names, "id"), F.col("n")).cast("int"))
         .groupBy("tile", "cut")
-        .agg(F.collect_list(F.struct("id", *held)).alias("rows"))
+        .agg(F.collect_list(F.struct("id", *names)).alias("rows"))
     )
-    blocks = blocks.select("tile", "cut", F.col("rows.id").alias("ids"), *(F.col(f"rows.{n}").alias(n) for n in held))
+    blocks = blocks.select("tile", "cut", F.col("rows.id").alias("ids"), *(F.col(f"rows.{n}").alias(n) for n in names))
     offsets = []
     for d in _tile_offsets(parts, width, radius):
         total = 0
@@ -193,29 +204,58 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
         .where((F.col("a_tile") != F.col("b_tile")) | (F.col("a_cut") <= F.col("b_cut")))
         .select("a_tile", "a_cut", "b_tile", "b_cut")
     )
-    side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("tile", "cut", "ids", *held)))
+    side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("tile", "cut", "ids", *names)))
     met = pairs.join(side("a"), ["a_tile", "a_cut"]).join(side("b"), ["b_tile", "b_cut"]).withColumn("same", (F.col("a_tile") == F.col("b_tile")) & (F.col("a_cut") == F.col("b_cut")))
 
+    columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *names)), "same"]
+    return met.select(*columns).mapInArrow(_comparing(columns, names, radius, None), "u long, v long")
+
+
+def _comparing(columns: list[str], names: list[str], radius: int, group: str | None):
+    """A function for mapInArrow: two blocks a row (``a_*``, ``b_*``; ``same``: a alone) to the pairs of ids that link."""
+    at = {c: i for i, c in enumerate(columns)}
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u: list[np.ndarray] = [np.empty(0, np.int64)]
             v: list[np.ndarray] = [np.empty(0, np.int64)]
             for k in range(batch.num_rows):
                 get = lambda c: np.asarray(batch.column(at[c])[k].values)  # noqa: B023, E731
-                a_ids, b_ids = get("a_ids"), get("b_ids")
-                a, b = (np.stack([get(f"{p}_{n}") for n in names], 1).astype(np.uint64) for p in "ab")
                 same = batch.column(at["same"])[k].as_py()
+                a_ids = get("a_ids")
+                a = np.stack([get(f"a_{n}") for n in names], 1).astype(np.uint64)
+                b_ids, b = (a_ids, a) if same else (get("b_ids"), np.stack([get(f"b_{n}") for n in names], 1).astype(np.uint64))
                 if group:
-                    i, j = cross_links(a, b, radius, same, get(f"a_{group}"), get(f"b_{group}"))
+                    i, j = cross_links(a, b, radius, same, get(f"a_{group}"), get(f"a_{group}" if same else f"b_{group}"))
                 else:
                     i, j = np.array(near_links(a, b, radius, same), np.int64).reshape(-1, 2).T
                 u.append(a_ids[i])
                 v.append(b_ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
 
+    return compare
+
+
+def link_in_lanes(prints: DataFrame, *, units: int, radius: int, block: int = 8192, group: str | None = None) -> DataFrame:
+    """``(u, v)``: pairs of ids that share a lane and whose fingerprints differ in ``radius`` bits or fewer; of a lane's pairs enough to connect what they connect.
+
+    With a column ``group`` (long) in ``prints``, all such pairs of different groups. ``prints`` is ``(id, f0, ..., lanes)`` with distinct ids. Only rows of one
+    lane are compared: a lane alone if it has at most ``block`` rows, else cut by hash into blocks, every two of which meet in one
+    task; a lane of n blocks costs n rows for each of its own.
+    """
+    names = [f"f{j}" for j in range(units)]
+    held = [*names, *([group] if group else [])]
+    each = prints.select("id", *held, F.explode("lanes").alias("lane"))
+    sizes = each.groupBy("lane").agg(F.count("*").alias("c")).where("c > 1").select("lane", F.ceil(F.col("c") / block).cast("int").alias("n"))
+    dealt = each.join(sizes, "lane").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = dealt.select("lane", "cut", "id", *held, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.withColumns({"a": F.least("cut", "other"), "b": F.greatest("cut", "other")})
+    met = dealt.groupBy("lane", "a", "b").agg(F.collect_list(F.struct("cut", "id", *held)).alias("rows")).where(F.size("rows") > 1)
+    side = lambda p: F.filter("rows", lambda x: x["cut"] == F.col(p))
+    met = met.select(side("a").alias("x"), side("b").alias("y"), (F.col("a") == F.col("b")).alias("same")).where("same or size(x) > 0 and size(y) > 0")
     columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *held)), "same"]
-    at = {c: i for i, c in enumerate(columns)}
-    return met.select(*columns).mapInArrow(compare, "u long, v long")
+    met = met.select(*(F.col(f"{r}.{c}").alias(f"{p}_{'ids' if c == 'id' else c}") for p, r in (("a", "x"), ("b", "y")) for c in ("id", *held)), "same")
+    return met.select(*columns).mapInArrow(_comparing(columns, names, radius, group), "u long, v long")
 
 
 def simhash_components(
@@ -255,17 +295,22 @@ def near_copy_groups(
 
     Two texts link if their fingerprints over distinct shingles differ in ``radius`` bits or fewer and the Jaccard
     similarity of their sets of shingles is ``least`` or more; components of such links are groups. Nodes are distinct sets.
+    Only sets that share a lane are compared, so the work grows with the near pairs and not with all pairs: at a similarity of 0.8 two sets share
+    none of the 12 lanes with probability 0.36 ** 12, under one in 200 000. A row with a null text has an empty set; rows with empty sets are one group. An empty table gives no rows.
     First a spanning set of the pairs at ``near`` bits is verified, so that a large group is mostly joined by few
     pairs; then every pair at ``radius`` bits that is not in one group yet is.
     """
     names = [f"f{j}" for j in range(units)]
-    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((n, pa.int64()) for n in ("id", *names))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((n, pa.int64()) for n in ("id", *names)), ("lanes", pa.list_(pa.int64()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [set_fingerprint(t, shingle, units) for t in byte_texts(batch)]
-            rows = np.array([[name, *words] for name, words in found], np.uint64).reshape(-1, 1 + units).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(1 + units))], schema=arrow)
+            rows = np.array([[name, *words] for name, words, _ in found], np.uint64).reshape(-1, 1 + units).astype(np.int64)
+            ends = np.cumsum([0, *(len(lanes) for _, _, lanes in found)])
+            flat = np.concatenate([np.empty(0, np.uint64), *(lanes for _, _, lanes in found)]).astype(np.int64)
+            lanes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(1 + units)), lanes], schema=arrow)
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +321,8 @@ def near_copy_groups(
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join(f"{f.name} long" for f in arrow)), "set-prints")
-    nodes = prints.groupBy("id", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("place"))
+    prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join([*(f"{n} long" for n in ("doc_id", "text_hash", "id", *names)), "lanes array<long>"])), "set-prints")
+    nodes = written(prints.groupBy("id", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("place"), F.first("lanes").alias("lanes")), "set-nodes")
 
     def sets(links: DataFrame, name: str) -> DataFrame:
         linked = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
@@ -287,11 +332,11 @@ def near_copy_groups(
         met = held.join(F.broadcast(wanted) if few else wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
         return written(met.select("id", "text").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"]), name)
 
-    some = written(link_fingerprints(nodes.select("id", *names), units=units, radius=near), "near-links")
+    some = written(link_in_lanes(nodes.select("id", *names, "lanes"), units=units, radius=near), "near-links")
     verified = written(_similar(some, sets(some, "near-sets"), least), "verified-links")
     joined = connected_components(verified).withColumnRenamed("node", "id")
-    grouped = written(nodes.join(joined, "id", "left").select("id", *names, F.coalesce("component", "id").alias("component")), "grouped")
-    rest = written(link_fingerprints(grouped, units=units, radius=radius, group="component"), "cross-links")
+    grouped = written(nodes.join(joined, "id", "left").select("id", *names, "lanes", F.coalesce("component", "id").alias("component")), "grouped")
+    rest = written(link_in_lanes(grouped, units=units, radius=radius, group="component"), "cross-links")
     both = verified.unionByName(_similar(rest, sets(rest, "cross-sets"), least))
     groups = connected_components(both).withColumnRenamed("node", "id")
     return prints.join(groups, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component_id"))
