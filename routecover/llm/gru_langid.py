@@ -6,11 +6,11 @@ position, and a document's probability of a language is the mean over its positi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +19,7 @@ from routecover.llm.texts import strings
 from routecover.llm.tokens import in_chunks, release
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 Weights = dict[str, np.ndarray]
 
 
@@ -137,7 +137,7 @@ def pooled(w: Weights, texts: list[bytes], window: int, at_once: int = 1024) ->
             size[at + k - 1] = len(t) - (k - 1) * window
         at += k
     sums = np.zeros((len(room), n_labels), np.float64)
-    best = np.empty((len(room), window), np.uint8)
+    best = np.empty((len(room), window), np.min_scalar_type(max(n_labels - 1, 0)))
     for i in range(0, len(room), at_once):
         part = np.ascontiguousarray(room[i : i + at_once].T)
         p = softmax(label_scores(w, run_states(w, part)))
@@ -152,6 +152,11 @@ def pooled(w: Weights, texts: list[bytes], window: int, at_once: int = 1024) ->
     return total / np.maximum(lengths, 1)[:, None], marks
 
 
+def hash_limit(share: float) -> int:
+    """The signed 64-bit number that a share of all 64-bit hashes does not exceed."""
+    return min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
+
+
 def learn_languages(
     docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 600, per_text: int = 6,
     window: int = 128, hidden: int = 8, steps: int = 500,
@@ -159,16 +164,16 @@ def learn_languages(
     """Train on about ``per_language`` texts of each language, ``per_text`` windows from all over each text.
 
     The sample is bounded by these parameters and chosen by a hash of the id among the rows where ``usable`` holds and
-    neither text nor language is null; languages are read from the column, at most 255 of them (the most frequent).
+    neither text nor language is null; languages are read from the column, all of them. An empty table teaches nothing.
     """
     labelled = docs.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(255).collect()
+    counts = labelled.groupBy(lang_col).count().collect()
     languages = sorted(r[0] for r in counts)
     share = {r[0]: min(1.0, per_language / r[1]) for r in counts}
     if not languages:
         return [], new_weights(1, hidden)
-    limit = F.create_map(*(F.lit(x) for r in counts for x in (r[0], int(share[r[0]] * 1_000_000))))
-    drawn = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < limit[F.col(lang_col)])
+    limit = F.create_map(*(F.lit(x) for r in counts for x in (r[0], hash_limit(share[r[0]]))))
+    drawn = labelled.where(F.xxhash64(id_col) <= limit[F.col(lang_col)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -191,16 +196,17 @@ def learn_languages(
     return known, train(room, labels, len(known), hidden=hidden, steps=steps)
 
 
-def predict_languages(docs: DataFrame, languages: list[str], weights: Weights, *, text_col: str = "text", window: int = 128, with_positions: bool = False) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` for every row, from the whole text alone; ``with_positions`` adds ``labels``, one byte per byte of the text.
+def predict_languages(docs: DataFrame, languages: list[str], weights: Weights, *, text_col: str = "text", window: int = 128, with_positions: bool = False, added: tuple[str, str, str] = ("lang_pred", "score", "labels")) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (named by ``added``) for every row, from the whole text alone; ``with_positions`` adds ``labels``, one number per byte of
+    the text (a byte each for up to 256 languages, else the next larger unsigned little-endian kind).
 
     A null text, or one without a letter, is ``und`` with score 0 (as is every text if nothing was learned). A text's windows are
-    labelled on their own, so a very long text costs no more memory than its windows; repeated rows keep their rows. Columns
-    of ``docs`` that have the new names are replaced, all others stay.
+    labelled on their own, so a very long text costs no more memory than its windows; repeated rows keep their rows; of equally likely languages the first in
+    order of name counts. Columns of ``docs`` that have the new names are replaced, all others stay.
     """
-    fields = ["lang_pred string", "score double", *["labels binary"] * with_positions]
-    kept = docs.drop(*(f.split()[0] for f in fields))
-    text_at, names = kept.columns.index(text_col), [*kept.columns, *(f.split()[0] for f in fields)]
+    kinds = [T.StringType(), T.DoubleType(), *[T.BinaryType()] * with_positions]
+    kept = docs.drop(*added[: len(kinds)])
+    text_at, names = kept.columns.index(text_col), [*kept.columns, *added[: len(kinds)]]
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -217,5 +223,5 @@ def predict_languages(docs: DataFrame, languages: list[str], weights: Weights, *
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL(", ".join(fields)).fields])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(added, kinds))])
     return kept.mapInArrow(label, schema)

@@ -35,18 +35,19 @@ def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, thresholds = pii.learn_spans(docs)
     found = pii.find_spans(docs, model, thresholds)
-    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long")
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", n_spans.alias("n_spans"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Whether a document is kept from training."""
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Whether a document is kept from training; one without an id isn't held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 def op4_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    languages, weights = gru_langid.learn_languages(docs, ~held_out())
+    languages, weights = gru_langid.learn_languages(docs, ~held_out() & F.col("doc_id").isNotNull())
     found = gru_langid.predict_languages(docs.select("doc_id", "text"), languages, weights)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
