@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routecover.llm.texts import byte_texts
+from routecover.llm.texts import byte_texts, give_back
 from routecover.llm.tokens import in_chunks
 from routecover.runtime import written
 
@@ -124,6 +124,7 @@ def scan_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
             names, texts = batch.column(0).to_pylist(), byte_texts(batch)
             for lo, hi in in_chunks(texts):
                 yield lines_of(names[lo:hi], texts[lo:hi])
+            give_back()
 
     def lines_of(names: list[int], texts: list[bytes]) -> pa.RecordBatch:
         ids, numbers, sizes, digests, words = [], [], [], [], []

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routecover.llm.texts import byte_texts
+from routecover.llm.texts import byte_texts, give_back
 from routecover.operators.components import connected_components
 from routecover.runtime import written
 
@@ -232,6 +232,7 @@ def _comparing(columns: list[str], names: list[str], radius: int, group: str | N
                 u.append(a_ids[i])
                 v.append(b_ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
+            give_back()
 
     return compare
 
@@ -311,6 +312,7 @@ def near_copy_groups(
             flat = np.concatenate([np.empty(0, np.uint64), *(lanes for _, _, lanes in found)]).astype(np.int64)
             lanes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(1 + units)), lanes], schema=arrow)
+            give_back()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,6 +321,7 @@ def near_copy_groups(
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
+            give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join([*(f"{n} long" for n in ("doc_id", "text_hash", "id", *names)), "lanes array<long>"])), "set-prints")

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 
 POLYNOMIAL = 0xEDB88320
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: a Python worker serves many stages, and shares an executor with others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

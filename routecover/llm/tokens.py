@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from itertools import chain
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from routecover.llm.texts import give_back
+
 #: Classes of bytes: a space, other ASCII white space, letters, digits, other ASCII, bytes of characters that may be anything.
 SPACE, BREAK, LETTER, DIGIT, MARK, OPEN = range(6)
 CLASS = np.full(256, OPEN, np.uint8)
@@ -65,10 +66,9 @@ class WordEncoder:
     def __init__(self, path: str, max_bytes: int = 64 << 20, max_piece: int = 64):
         self.library = Tokenizer.from_file(path)
         self.max_bytes, self.max_piece = max_bytes, max_piece
-        held = json.loads(Path(path).read_text())
-        before = held.get("pre_tokenizer") or {}
-        self.plain = not held.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
-        self.added = [t["content"] for t in held.get("added_tokens", [])]
+        before = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
+        self.plain = self.library.normalizer is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.line_id = self.library.encode(BREAK_LINE, add_special_tokens=False).ids
         self._start_anew()
 
@@ -171,6 +171,7 @@ class WordEncoder:
         else:
             out = np.insert(body, before[first[1:]], end_id)
         self._keep(kept, distinct if size else None)
+        give_back()
         return out, at
 
     def _keep(self, kept: int, seen: np.ndarray | None) -> None:
@@ -213,3 +214,4 @@ def in_chunks(texts: list[str], max_chars: int = 4_000_000):
 def release() -> None:
     """Give this Python worker's encoders back; called by tasks of operators that don't encode, as workers serve many stages."""
     _ENCODERS.clear()
+    give_back()
