@@ -74,13 +74,13 @@ def lanes_of(hashes: np.ndarray) -> np.ndarray:
     return (least[::2] * np.uint64(0x9E3779B97F4A7C15)) ^ least[1::2] ^ np.arange(LANES, dtype=np.uint64)
 
 
-def set_fingerprint(text: bytes, shingle: int, units: int) -> tuple[int, list[int], np.ndarray]:
-    """A 64-bit name of the text's set of shingles, its fingerprint with each distinct shingle counted once, and its lanes."""
+def set_fingerprint(text: bytes, shingle: int, units: int) -> tuple[int, list[int], int, np.ndarray]:
+    """A 64-bit name of the text's set of shingles, its fingerprint with each distinct shingle counted once, the set's size, and its lanes."""
     joined, first, last = _shingle_places(text, shingle)
     hashes, at = np.unique(_hashes(joined, first, last, 42), return_index=True)
     first, last = [first[i] for i in at], [last[i] for i in at]
     more = [_majority(_hashes(joined, first, last, seed)) for seed in range(43, 42 + units)]
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()), [_majority(hashes), *more], lanes_of(hashes)
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()), [_majority(hashes), *more], len(hashes), lanes_of(hashes)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, units: int = 1) -> DataFrame:
@@ -135,21 +135,51 @@ def near_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tu
     return out
 
 
-def cross_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, a_groups: np.ndarray, b_groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and of b of every pair of different groups at ``radius`` bits or fewer, each once if ``same``."""
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    strip = max(1, (1 << 18) // max(1, len(b)))
-    for i in range(0, len(a), strip):
-        apart = np.zeros((len(a[i : i + strip]), len(b)), np.uint8 if a.shape[1] < 4 else np.int32)
-        for j in range(a.shape[1]):
-            apart += np.bitwise_count(a[i : i + strip, j, None] ^ b[None, :, j])
-        row, partner = np.nonzero(apart <= radius)
-        row += i
-        fine = a_groups[row] != b_groups[partner]
-        if same:
-            fine &= row < partner
-        out.append((row[fine], partner[fine]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+def near_pairs(prints: np.ndarray, sides: np.ndarray, sizes: np.ndarray, radius: int, least: float, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j, bits apart) at ``radius`` bits or fewer, in strips: every pair once if ``alone``, else of side False with side True.
+
+    Rows are taken in order of population counts, and only those within the radius of a strip's counts are compared; sets
+    of sizes too far apart for a similarity of ``least`` are passed over.
+    """
+    counts = np.bitwise_count(prints).sum(1).astype(np.int64)
+    order = np.argsort(counts, kind="stable")
+    first, second = (order, order) if alone else (order[~sides[order]], order[sides[order]])
+    strip = max(1, (1 << 18) // max(1, len(second)))
+    for k in range(0, len(first), strip):
+        rows = first[k : k + strip]
+        lo, hi = np.searchsorted(counts[second], [counts[rows[0]] - radius, counts[rows[-1]] + radius + 1], "left")
+        others = second[lo:hi]
+        apart = np.zeros((len(rows), len(others)), np.int32)
+        for j in range(prints.shape[1]):
+            apart += np.bitwise_count(prints[rows, j, None] ^ prints[None, others, j])
+        x, y = np.nonzero(apart <= radius)
+        i, j, bits = rows[x], others[y], apart[x, y]
+        fine = np.minimum(sizes[i], sizes[j]) * 1000 >= np.maximum(sizes[i], sizes[j]) * round(least * 1000)
+        if alone:
+            fine &= i < j
+        yield i[fine], j[fine], bits[fine]
+
+
+def similar_links(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Of pairs of rows those whose sets have a Jaccard similarity of ``least`` or more, as many as connect what all of them connect; the nearest are compared first."""
+    i, j, bits = (np.concatenate(x) for x in zip(*pairs)) if pairs else ([], [], [])
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for k in np.argsort(bits, kind="stable").tolist():
+        u, v = int(i[k]), int(j[k])
+        a, b = find(u), find(v)
+        if a != b:
+            shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if shared * 1000 >= (len(sets[u]) + len(sets[v]) - shared) * round(least * 1000):  # whole numbers, so that exactly the bound counts
+                root[max(a, b)] = min(a, b)
+                out.append((u, v))
+    return out
 
 
 def _tile_offsets(parts: int, width: int, radius: int) -> list[tuple[int, ...]]:
@@ -207,56 +237,64 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
     side = lambda p: blocks.select(*(F.col(c).alias(f"{p}_{c}") for c in ("tile", "cut", "ids", *names)))
     met = pairs.join(side("a"), ["a_tile", "a_cut"]).join(side("b"), ["b_tile", "b_cut"]).withColumn("same", (F.col("a_tile") == F.col("b_tile")) & (F.col("a_cut") == F.col("b_cut")))
 
-    columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *names)), "same"]
-    return met.select(*columns).mapInArrow(_comparing(columns, names, radius, None), "u long, v long")
-
-
-def _comparing(columns: list[str], names: list[str], radius: int, group: str | None):
-    """A function for mapInArrow: two blocks a row (``a_*``, ``b_*``; ``same``: a alone) to the pairs of ids that link."""
-    at = {c: i for i, c in enumerate(columns)}
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u: list[np.ndarray] = [np.empty(0, np.int64)]
             v: list[np.ndarray] = [np.empty(0, np.int64)]
             for k in range(batch.num_rows):
                 get = lambda c: np.asarray(batch.column(at[c])[k].values)  # noqa: B023, E731
-                same = batch.column(at["same"])[k].as_py()
-                a_ids = get("a_ids")
-                a = np.stack([get(f"a_{n}") for n in names], 1).astype(np.uint64)
-                b_ids, b = (a_ids, a) if same else (get("b_ids"), np.stack([get(f"b_{n}") for n in names], 1).astype(np.uint64))
-                if group:
-                    i, j = cross_links(a, b, radius, same, get(f"a_{group}"), get(f"a_{group}" if same else f"b_{group}"))
-                else:
-                    i, j = np.array(near_links(a, b, radius, same), np.int64).reshape(-1, 2).T
+                a_ids, b_ids = get("a_ids"), get("b_ids")
+                a, b = (np.stack([get(f"{p}_{n}") for n in names], 1).astype(np.uint64) for p in "ab")
+                i, j = np.array(near_links(a, b, radius, batch.column(at["same"])[k].as_py()), np.int64).reshape(-1, 2).T
                 u.append(a_ids[i])
                 v.append(b_ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (u, v)], names=["u", "v"])
             give_back()
 
-    return compare
+    columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *names)), "same"]
+    at = {c: i for i, c in enumerate(columns)}
+    return met.select(*columns).mapInArrow(compare, "u long, v long")
 
 
-def link_in_lanes(prints: DataFrame, *, units: int, radius: int, block: int = 8192, group: str | None = None) -> DataFrame:
-    """``(u, v)``: pairs of ids that share a lane and whose fingerprints differ in ``radius`` bits or fewer; of a lane's pairs enough to connect what they connect.
+GROUP = ["lane", "a", "b"]
 
-    With a column ``group`` (long) in ``prints``, all such pairs of different groups. ``prints`` is ``(id, f0, ..., lanes)`` with distinct ids. Only rows of one
-    lane are compared: a lane alone if it has at most ``block`` rows, else cut by hash into blocks, every two of which meet in one
-    task; a lane of n blocks costs n rows for each of its own.
+
+def in_lanes(prints: DataFrame, block: int) -> DataFrame:
+    """Rows ``(lane, a, b, cut, id, ...)`` in groups ``(lane, a, b)``: each two rows of a lane meet in one group.
+
+    ``prints`` is ``(id, ..., lanes)`` with distinct ids. A lane of at most ``block`` rows is one group; else it is cut by hash into n blocks, each two of which are a
+    group, at the cost of n rows for each of its own.
     """
-    names = [f"f{j}" for j in range(units)]
-    held = [*names, *([group] if group else [])]
-    each = prints.select("id", *held, F.explode("lanes").alias("lane"))
+    held = [c for c in prints.columns if c != "lanes"]
+    each = prints.select(*held, F.explode("lanes").alias("lane"))
     sizes = each.groupBy("lane").agg(F.count("*").alias("c")).where("c > 1").select("lane", F.ceil(F.col("c") / block).cast("int").alias("n"))
     dealt = each.join(sizes, "lane").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    dealt = dealt.select("lane", "cut", "id", *held, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    dealt = dealt.withColumns({"a": F.least("cut", "other"), "b": F.greatest("cut", "other")})
-    met = dealt.groupBy("lane", "a", "b").agg(F.collect_list(F.struct("cut", "id", *held)).alias("rows")).where(F.size("rows") > 1)
-    side = lambda p: F.filter("rows", lambda x: x["cut"] == F.col(p))
-    met = met.select(side("a").alias("x"), side("b").alias("y"), (F.col("a") == F.col("b")).alias("same")).where("same or size(x) > 0 and size(y) > 0")
-    columns = [*(f"{p}_{c}" for p in "ab" for c in ("ids", *held)), "same"]
-    met = met.select(*(F.col(f"{r}.{c}").alias(f"{p}_{'ids' if c == 'id' else c}") for p, r in (("a", "x"), ("b", "y")) for c in ("id", *held)), "same")
-    return met.select(*columns).mapInArrow(_comparing(columns, names, radius, group), "u long, v long")
+    dealt = dealt.select("lane", "cut", *held, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    return dealt.select("lane", F.least("cut", "other").alias("a"), F.greatest("cut", "other").alias("b"), "cut", *held)
+
+
+def by_group(rows: DataFrame, each, schema: str) -> DataFrame:
+    """``each(table)`` for every group of rows, one after the other; a task holds one group and one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [np.asarray(batch.column(k)) for k in range(len(GROUP))]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            ends = [0, *new.tolist(), batch.num_rows]
+            for begin, end in zip(ends, ends[1:]):
+                part = batch.slice(begin, end - begin)
+                if held and any(held[0].column(k)[0] != part.column(k)[0] for k in range(len(GROUP))):
+                    yield from each(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(part)
+        if held:
+            yield from each(pa.Table.from_batches(held).combine_chunks())
+        give_back()
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
 
 
 def simhash_components(
@@ -279,39 +317,28 @@ def simhash_components(
     return prints.join(named, names).select("doc_id", *names, "component_id")
 
 
-def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links whose nodes' sets of shingles have a Jaccard similarity of ``least`` or more."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
-    both = links.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(side("u"), "u").join(side("v"), "v")
-    shared = F.size(F.array_intersect("u_set", "v_set"))
-    # Whole numbers, so that a similarity of exactly the bound counts.
-    union = F.size("u_set") + F.size("v_set") - shared
-    return both.where(shared * 1000 >= union * round(least * 1000)).select("u", "v")
-
-
-def near_copy_groups(
-    docs: DataFrame, *, shingle: int = 5, units: int = 2, near: int = 22, radius: int = 36, least: float = 0.8, max_broadcast: int = 200_000
-) -> DataFrame:
+def near_copy_groups(docs: DataFrame, *, shingle: int = 5, units: int = 2, radius: int = 36, least: float = 0.8, block: int = 1024, max_broadcast: int = 200_000) -> DataFrame:
     """``(doc_id, text_hash, component_id)``: one row per row of ``docs`` (doc_id, text), ``text_hash`` being Spark's xxhash64 of the text.
 
     Two texts link if their fingerprints over distinct shingles differ in ``radius`` bits or fewer and the Jaccard
     similarity of their sets of shingles is ``least`` or more; components of such links are groups. Nodes are distinct sets.
     Only sets that share a lane are compared, so the work grows with the near pairs and not with all pairs: at a similarity of 0.8 two sets share
     none of the 12 lanes with probability 0.36 ** 12, under one in 200 000. A row with a null text has an empty set; rows with empty sets are one group. An empty table gives no rows.
-    First a spanning set of the pairs at ``near`` bits is verified, so that a large group is mostly joined by few
-    pairs; then every pair at ``radius`` bits that is not in one group yet is.
+    Fingerprints first tell which rows of a group have a partner in it; the sets of those alone are fetched, once for each group, and compared there. So what is written grows
+    with the rows, not with the pairs, also where many texts are near but not near enough.
     """
     names = [f"f{j}" for j in range(units)]
-    arrow = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), *((n, pa.int64()) for n in ("id", *names)), ("lanes", pa.list_(pa.int64()))])
+    longs = ["doc_id", "text_hash", "id", *names, "size"]
+    arrow = pa.schema([*((n, pa.int64()) for n in longs), ("lanes", pa.list_(pa.int64()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [set_fingerprint(t, shingle, units) for t in byte_texts(batch)]
-            rows = np.array([[name, *words] for name, words, _ in found], np.uint64).reshape(-1, 1 + units).astype(np.int64)
-            ends = np.cumsum([0, *(len(lanes) for _, _, lanes in found)])
-            flat = np.concatenate([np.empty(0, np.uint64), *(lanes for _, _, lanes in found)]).astype(np.int64)
+            rows = np.array([[name, *words, size] for name, words, size, _ in found], np.uint64).reshape(-1, 2 + units).astype(np.int64)
+            ends = np.cumsum([0, *(len(x[-1]) for x in found)])
+            flat = np.concatenate([np.empty(0, np.uint64), *(x[-1] for x in found)]).astype(np.int64)
             lanes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(1 + units)), lanes], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(2 + units)), lanes], schema=arrow)
             give_back()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,23 +350,38 @@ def near_copy_groups(
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
             give_back()
 
+    def pairs_of(group: pa.Table):
+        get = lambda c: np.asarray(group.column(c))
+        prints = np.stack([get(n) for n in names], 1).astype(np.uint64)
+        return near_pairs(prints, get("cut") == get("b"), get("size"), radius, least, get("a")[0] == get("b")[0])
+
+    def partnered(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(group.num_rows, bool)
+        for i, j, _ in pairs_of(group):
+            near[i] = near[j] = True
+        yield from group.filter(pa.array(near)).to_batches()
+
+    def linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        lists = group.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
+        found = similar_links(list(pairs_of(group)), [flat[a:b] for a, b in zip(ends, ends[1:])], least)
+        ids = np.asarray(group.column("id"))
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], names=["u", "v"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join([*(f"{n} long" for n in ("doc_id", "text_hash", "id", *names)), "lanes array<long>"])), "set-prints")
-    nodes = written(prints.groupBy("id", *names).agg(F.min(F.struct("doc_id", "text_hash")).alias("place"), F.first("lanes").alias("lanes")), "set-nodes")
-
-    def sets(links: DataFrame, name: str) -> DataFrame:
-        linked = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-        wanted = written(nodes.join(linked, "id", "left_semi").select("id", "place.doc_id", "place.text_hash"), f"{name}-nodes")
-        few = wanted.count() <= max_broadcast
-        held = texts.withColumnRenamed("doc_id", "own").withColumnRenamed("text_hash", "own_hash")
-        met = held.join(F.broadcast(wanted) if few else wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
-        return written(met.select("id", "text").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"]), name)
-
-    some = written(link_in_lanes(nodes.select("id", *names, "lanes"), units=units, radius=near), "near-links")
-    verified = written(_similar(some, sets(some, "near-sets"), least), "verified-links")
-    joined = connected_components(verified).withColumnRenamed("node", "id")
-    grouped = written(nodes.join(joined, "id", "left").select("id", *names, "lanes", F.coalesce("component", "id").alias("component")), "grouped")
-    rest = written(link_in_lanes(grouped, units=units, radius=radius, group="component"), "cross-links")
-    both = verified.unionByName(_similar(rest, sets(rest, "cross-sets"), least))
-    groups = connected_components(both).withColumnRenamed("node", "id")
+    prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join([*(f"{n} long" for n in longs), "lanes array<long>"])), "set-prints")
+    nodes = prints.groupBy("id", *names, "size").agg(F.min(F.struct("doc_id", "text_hash")).alias("place"), F.first("lanes").alias("lanes"))
+    nodes = written(nodes, "set-nodes")
+    rows = in_lanes(nodes.select("id", *names, "size", "lanes"), block)
+    kinds = "lane long, a int, b int, cut int, " + ", ".join(f"{n} long" for n in ("id", *names, "size"))
+    near = written(by_group(rows, partnered, kinds), "near-rows")
+    wanted = written(nodes.join(near.select("id").distinct(), "id", "left_semi").select("id", "place.doc_id", "place.text_hash"), "near-nodes")
+    few = wanted.count() <= max_broadcast
+    own = texts.withColumnRenamed("doc_id", "own").withColumnRenamed("text_hash", "own_hash")
+    met = own.join(F.broadcast(wanted) if few else wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
+    sets = written(met.select("id", "text").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"]), "near-sets")
+    links = written(by_group(near.join(sets, "id").select(*GROUP, "cut", "id", *names, "size", "shingles"), linked, "u long, v long"), "similar-links")
+    groups = connected_components(links).withColumnRenamed("node", "id")
     return prints.join(groups, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component_id"))

@@ -65,12 +65,17 @@ def test_texts_with_one_id_are_told_apart(spark, pairs):
     assert corpus_pipeline.near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "").count() == 0
 
 
-def test_cross_links_are_all_pairs():
+def test_near_pairs_are_all_pairs():
     g = np.random.default_rng(3)
-    a, b = (g.integers(0, 1 << 8, (n, 2), dtype=np.uint64) for n in (300, 70))
-    ga, gb = g.integers(0, 4, 300), g.integers(0, 4, 70)
-    far = lambda x, y: int(np.bitwise_count(x ^ y).sum())
-    i, j = simhash_tiles.cross_links(a, b, 3, False, ga, gb)
-    assert sorted(zip(i.tolist(), j.tolist())) == [(x, y) for x in range(300) for y in range(70) if far(a[x], b[y]) <= 3 and ga[x] != gb[y]]
-    i, j = simhash_tiles.cross_links(b, b, 3, True, gb, gb)
-    assert sorted(zip(i.tolist(), j.tolist())) == [(x, y) for x in range(70) for y in range(x + 1, 70) if far(b[x], b[y]) <= 3 and gb[x] != gb[y]]
+    prints, sides, sizes = g.integers(0, 1 << 8, (300, 2), dtype=np.uint64), g.random(300) < 0.3, g.integers(50, 100, 300)
+    far = lambda x, y: int(np.bitwise_count(prints[x] ^ prints[y]).sum())
+    for alone in (True, False):
+        got = sorted((min(i, j), max(i, j), d) for part in simhash_tiles.near_pairs(prints, sides, sizes, 3, 0.8, alone) for i, j, d in zip(*(x.tolist() for x in part)))
+        want = [(x, y, far(x, y)) for x in range(300) for y in range(x + 1, 300) if far(x, y) <= 3 and (alone or sides[x] != sides[y]) and min(sizes[x], sizes[y]) * 10 >= max(sizes[x], sizes[y]) * 8]
+        assert got == want
+
+
+def test_lanes_of_any_block_size(spark, pairs):
+    docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    found = [{(x.doc_id, x.component_id) for x in simhash_tiles.near_copy_groups(docs, block=n).collect()} for n in (4, 1024)]
+    assert found[0] == found[1] and len({c for _, c in found[0]}) == len(plain_near_copies(pairs))
