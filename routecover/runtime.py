@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder is made and set.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the session is local, as in tests, a
+    temporary folder is made and set; on a cluster an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-routecover-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext.getCheckpointDir():
