@@ -69,10 +69,12 @@ def odd_nodes(edges: DataFrame) -> DataFrame:
     return degrees(edges).where(F.col("degree") % 2 == 1)
 
 
-def rebuilt(graph: Graph, edges: DataFrame) -> Graph:
-    """The graph with other edges, without the nodes that no edge touches."""
-    touched = edges.select("area_id", F.explode(F.array("u", "v")).alias("node")).distinct()
-    return Graph(graph.nodes.join(touched, ["area_id", "node"], "left_semi"), edges)
+def rebuilt(graph: Graph, edges: DataFrame, changed: DataFrame) -> Graph:
+    """The graph with other edges, without the nodes that no edge touches in the areas of ``changed``; other areas keep all nodes."""
+    touched = edges.select("area_id", F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("__touched", F.lit(True))
+    areas = changed.select("area_id").distinct().withColumn("__changed", F.lit(True))
+    nodes = graph.nodes.join(touched, ["area_id", "node"], "left").join(areas, "area_id", "left")
+    return Graph(nodes.where("__touched is not null or __changed is null").select(*graph.nodes.columns), edges)
 
 
 def graph_components(graph: Graph) -> DataFrame:

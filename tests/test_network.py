@@ -178,3 +178,13 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_areas_without_a_match_keep_their_nodes(spark):
+    graph = build_graph(lines(spark, [[(0.0, 0.0), (0.001, 0.0)]], [[(0.5, 0.5), (0.501, 0.5)]]))
+    bare = graph.nodes.limit(1).withColumn("node", F.col("node") + 7)
+    graph = network.Graph(graph.nodes.unionByName(bare), graph.edges)
+    unknown = graph.edges.select("area_id", F.lit("no such edge").alias("edge_id"))
+    assert edits.remove_raw(graph, unknown).nodes.count() == graph.nodes.count() == 5
+    known = edits.with_ids(graph.edges).limit(1).select("area_id", "edge_id")
+    assert edits.remove_raw(graph, known).nodes.count() < 4
