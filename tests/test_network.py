@@ -131,7 +131,6 @@ def test_paths_and_pairs(spark):
     assert counts(pairs) == {0: 2, 1: 1} and counts(routes) == {0: 4, 1: 1}
 
 
-@pytest.mark.skip(reason="circuits did not finish within four minutes on a busy machine; not verified yet")
 def test_covering_route(spark):
     ladder = [[(0.0, 0.001 * i), (0.002, 0.001 * i)] for i in range(3)] + [[(0.0, 0.0), (0.0, 0.002)], [(0.002, 0.0), (0.002, 0.002)]]
     g = build_graph(lines(spark, CHAIN, ladder, [*SQUARE, [(0.5, 0.5), (0.501, 0.5)]]))
