@@ -162,8 +162,8 @@ ORACLES: dict[str, str] = {
         select="""SELECT area_id, 'e' || i || 'f' AS var, a AS from_node, b AS to_node, round(forward, 3) AS coef, 0::BIGINT AS balance FROM w2 JOIN tm USING (area_id, feature_id)
         UNION ALL SELECT area_id, 'e' || i || 'r', b, a, round(reverse, 3), 0 FROM w2 JOIN tm USING (area_id, feature_id)"""),
     "euler_doubled": query(*NET, COMPONENTS, f"""st AS (SELECT area_id, arg_min({NODE('lng', 'lat')}, (feature_id, seq)) AS node FROM p WHERE n > 1 GROUP BY area_id),
-        comp AS (SELECT l.area_id, l.c FROM st JOIN lab l USING (area_id, node))""",
-        select="SELECT a.area_id, count(*) AS steps, true AS contiguous FROM adj a JOIN lab l ON l.area_id = a.area_id AND l.node = a.u JOIN comp ON comp.area_id = a.area_id AND comp.c = l.c GROUP BY a.area_id"),
+        comp AS (SELECT l.area_id, l.c, st.node FROM st JOIN lab l USING (area_id, node))""",
+        select="SELECT a.area_id, any_value(comp.node) AS start, count(*) AS steps, count(DISTINCT (least(u, v), greatest(u, v))) AS edges, true AS contiguous, true AS closed FROM adj a JOIN lab l ON l.area_id = a.area_id AND l.node = a.u JOIN comp ON comp.area_id = a.area_id AND comp.c = l.c GROUP BY a.area_id"),
     "saved_selections": """SELECT trim(name) AS name, saved_at FROM (SELECT ' area ' || user_id || ' ' AS name, event_id AS saved_at FROM events WHERE user_id IS NOT NULL)
         QUALIFY row_number() OVER (PARTITION BY name ORDER BY saved_at DESC) = 1 AND saved_at % 7 <> 0""",
     "display_strings": query(POINTS, LENGTHS, CORNERS, """t AS (SELECT area_id, sum(coalesce(m, 0)) AS m FROM way LEFT JOIN len USING (feature_id) GROUP BY area_id),
@@ -174,6 +174,3 @@ ORACLES: dict[str, str] = {
         CASE WHEN sq / 2589988 >= 0.01 THEN printf('%.1f', sq / 2589988) || ' mi²' WHEN sq / 4046.86 >= 0.01 THEN printf('%.1f', sq / 4046.86) || ' acres' ELSE format('{:,}', floor(sq * 10.7639 + 0.5)::BIGINT) || ' ft²' END AS size,
         '&lt;&quot;A&amp;B&quot; ' || area_id || '&gt;' AS escaped, printf('%.6f', west) AS west FROM z"""),
 }
-
-#: Of a query that is written but not registered yet.
-PENDING = {"euler_doubled": ORACLES.pop("euler_doubled")}

@@ -271,15 +271,21 @@ def odd_pairs(spark, sf_dir):
     return odd.join(pairs.groupBy("area_id").agg((2 * F.count("*")).alias("paired"), F.round(F.sum("dist"), 2).alias("metres")), "area_id", "left")
 
 
+def walk_properties(steps):
+    """Of each area's walk: its steps, distinct edges, whether each step begins where the one before ended, and whether it ends at its begin."""
+    nxt = steps.select("area_id", (F.col("step") - 1).alias("step"), F.col("u").alias("next_u"))
+    w = steps.join(nxt, ["area_id", "step"], "left").groupBy("area_id").agg(
+        F.count("*").alias("steps"), F.countDistinct(F.least("u", "v"), F.greatest("u", "v")).alias("edges"), F.count(F.when(F.col("v") == F.col("next_u"), 1)).alias("joined"), F.min_by("u", "step").alias("start"), F.max_by("v", "step").alias("end")
+    )
+    return w.select("area_id", "start", "steps", "edges", (F.col("joined") == F.col("steps") - 1).alias("contiguous"), (F.col("start") == F.col("end")).alias("closed"))
+
+
 def euler_doubled(spark, sf_dir):
-    """A circuit over every edge twice, from each area's start: its steps, and whether they are joined up and closed."""
+    """A circuit over every edge twice, from each area's start: where it starts, its steps and edges, and whether they are joined up and closed."""
     g = raw_graph(spark, sf_dir)
-    e = network.simple_edges(g.edges)
+    e = cut(network.simple_edges(g.edges))
     starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
-    c = cut(euler.circuits(euler.multiplicities(e, e), starts))
-    nxt = c.select("area_id", (F.col("step") - 1).alias("step"), F.col("u").alias("next_u"))
-    joined = c.join(nxt, ["area_id", "step"], "left").groupBy("area_id").agg(F.count("*").alias("steps"), F.count(F.when(F.col("v") == F.col("next_u"), 1)).alias("joined"))
-    return joined.select("area_id", "steps", (F.col("joined") == F.col("steps") - 1).alias("contiguous"))
+    return walk_properties(cut(euler.circuits(euler.multiplicities(e, e), starts)))
 
 
 def covering_route_distance(spark, sf_dir):
@@ -345,7 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
         undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
         elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
-        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, windy_model,
+        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, windy_model,
         windy_from_solution, saved_selections,
     )
 }

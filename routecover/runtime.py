@@ -40,3 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint; its files go when the result is garbage-collected."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """One round's state of a loop, written as Parquet and read again.
+
+    A checkpoint keeps the size estimated for its plan, and a join multiplies its inputs' estimates: over the rounds of a loop these numbers get so
+    many digits that planning takes longer than the work. Files give their real size.
+    """
+    return written(df, "round")
