@@ -89,6 +89,46 @@ def query(*parts: str, select: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
 
+STARTS = f"st AS (SELECT area_id, arg_min({NODE('lng', 'lat')}, (feature_id, seq)) AS node FROM p WHERE n > 1 GROUP BY area_id)"
+
+
+def linked(name: str, nodes: str, links: str) -> str:
+    """SQL for ``name(area_id, node, c)``: the least node reachable over ``links`` from each of ``nodes``."""
+    return f"""{name} AS (
+  WITH RECURSIVE r(area_id, node, c) USING KEY (area_id, node) AS (
+    SELECT area_id, node, node FROM {nodes}
+    UNION SELECT a.area_id, a.v, min(r.c) FROM r JOIN {links} a ON a.area_id = r.area_id AND a.u = r.node JOIN recurring.r t ON t.area_id = a.area_id AND t.node = a.v AND r.c < t.c GROUP BY a.area_id, a.v
+  ) SELECT * FROM r)"""
+
+
+def logical(kept: str = "") -> str:
+    """SQL for ``lge(area_id, u, v, weight, points, c)``, the logical edges, and ``gone``, the contracted nodes; ``kept`` names a table of nodes that stay."""
+    stays = f"AND NOT EXISTS (SELECT 1 FROM {kept} k WHERE k.area_id = deg.area_id AND k.node = deg.node)" if kept else ""
+    within = lambda t: f"(SELECT a.area_id, a.u, a.v FROM adj a JOIN {t} x ON x.area_id = a.area_id AND x.node = a.u JOIN {t} y ON y.area_id = a.area_id AND y.node = a.v)"
+    return f"""ords AS (SELECT area_id, node, min((f, i, j, e)) AS o FROM (SELECT area_id, u AS node, f, i, j, 0 AS e FROM pe UNION ALL SELECT area_id, v, f, i, j, 1 FROM pe) GROUP BY area_id, node),
+inr AS (SELECT deg.area_id, deg.node, o FROM deg JOIN ords USING (area_id, node) WHERE degree = 2 {stays}),
+ia AS {within('inr')},
+{linked('chl', 'inr', 'ia')},
+anc AS (SELECT l.area_id, l.c, min(a.v) AS p, max(a.v) AS q FROM chl l JOIN adj a ON a.area_id = l.area_id AND a.u = l.node ANTI JOIN inr x ON x.area_id = a.area_id AND x.node = a.v GROUP BY l.area_id, l.c),
+chn AS (SELECT area_id, c, max(o) AS last FROM chl JOIN inr USING (area_id, node) GROUP BY area_id, c),
+kp AS (SELECT chn.area_id, chn.c, CASE WHEN p IS NULL THEN 3 WHEN p = q THEN 2 WHEN adj.u IS NULL AND row_number() OVER (PARTITION BY chn.area_id, p, q ORDER BY last) = 1 THEN 0 ELSE 1 END AS keep
+       FROM chn LEFT JOIN anc ON anc.area_id = chn.area_id AND anc.c = chn.c LEFT JOIN adj ON adj.area_id = anc.area_id AND adj.u = anc.p AND adj.v = anc.q),
+gone AS (SELECT area_id, node FROM (SELECT area_id, node, keep, row_number() OVER (PARTITION BY area_id, c ORDER BY o DESC) AS late FROM chl JOIN inr USING (area_id, node) JOIN kp USING (area_id, c)) WHERE late > keep),
+ga AS {within('gone')},
+{linked('gl', 'gone', 'ga')},
+runs AS (SELECT l.area_id, l.c, l.node, a.v AS other, a.weight, x.node IS NOT NULL AS inside FROM gl l JOIN adj a ON a.area_id = l.area_id AND a.u = l.node LEFT JOIN gone x ON x.area_id = a.area_id AND x.node = a.v),
+lge AS (SELECT area_id, min(other) FILTER (NOT inside) AS u, max(other) FILTER (NOT inside) AS v, sum(CASE WHEN inside THEN weight / 2 ELSE weight END) AS weight, count(DISTINCT node) + 2 AS points, c FROM runs GROUP BY area_id, c
+        UNION ALL SELECT area_id, u, v, weight, 2, NULL FROM adj a ANTI JOIN gone x ON x.area_id = a.area_id AND x.node = a.u ANTI JOIN gone y ON y.area_id = a.area_id AND y.node = a.v WHERE a.u < a.v)"""
+
+
+DISTANCES = """dd AS (
+  WITH RECURSIVE r(area_id, node, d) USING KEY (area_id, node) AS (
+    SELECT area_id, node, 0e0 FROM st
+    UNION SELECT a.area_id, a.v, min(r.d + a.weight) FROM r JOIN adj a ON a.area_id = r.area_id AND a.u = r.node LEFT JOIN recurring.r t ON t.area_id = a.area_id AND t.node = a.v
+      WHERE t.d IS NULL OR r.d + a.weight < t.d GROUP BY a.area_id, a.v
+  ) SELECT * FROM r)"""
+#: The text of a GPX document around its points.
+GPX_TOP = """<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="routecover" xmlns="http://www.topografix.com/GPX/1/1" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://www.topografix.com/GPX/1/1 http://www.topografix.com/GPX/1/1/gpx.xsd">\n  <metadata>\n    """
 NET = (POINTS, CROSS, GRAPH)
 ORACLES: dict[str, str] = {
     "trail_summary": query(POINTS, LENGTHS, select=f"""SELECT area_id, count(*) FILTER (n > 1) AS trail_count, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS vertex_count, round(sum(coalesce(m, 0)), 3) AS total_m
@@ -164,6 +204,20 @@ ORACLES: dict[str, str] = {
     "euler_doubled": query(*NET, COMPONENTS, f"""st AS (SELECT area_id, arg_min({NODE('lng', 'lat')}, (feature_id, seq)) AS node FROM p WHERE n > 1 GROUP BY area_id),
         comp AS (SELECT l.area_id, l.c, st.node FROM st JOIN lab l USING (area_id, node))""",
         select="SELECT a.area_id, any_value(comp.node) AS start, count(*) AS steps, count(DISTINCT (least(u, v), greatest(u, v))) AS edges, true AS contiguous, true AS closed FROM adj a JOIN lab l ON l.area_id = a.area_id AND l.node = a.u JOIN comp ON comp.area_id = a.area_id AND comp.c = l.c GROUP BY a.area_id"),
+    "pruned_graph": query(*NET, logical(), select=f"SELECT area_id, {EDGE_ID} AS edge_id, round(weight, 3) AS weight, points::INTEGER AS points FROM lge"),
+    "logical_removal": query(*NET, logical(), f"""pick AS (SELECT * FROM (SELECT *, {EDGE_ID} AS edge_id FROM lge) QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY edge_id) = 1),
+        onp AS (SELECT area_id, u AS node FROM pick UNION SELECT area_id, v FROM pick UNION SELECT gl.area_id, node FROM pick JOIN gl ON gl.area_id = pick.area_id AND gl.c = pick.c),
+        hite AS (SELECT ed.area_id, f, i, j FROM ed JOIN onp a ON a.area_id = ed.area_id AND a.node = ed.u JOIN onp b ON b.area_id = ed.area_id AND b.node = ed.v)""",
+        select="SELECT area_id, count(*) AS edges FROM ed ANTI JOIN hite USING (area_id, f, i, j) GROUP BY area_id"),
+    "shortest_paths": query(*NET, STARTS, logical("st"), DISTANCES, select="SELECT area_id, node, round(d, 2) AS dist FROM dd ANTI JOIN gone USING (area_id, node)"),
+    "odd_pairs": query(*NET, select="SELECT area_id, count(*) AS odd, count(*) AS paired, 0::BIGINT AS uneven, true AS bounded FROM deg WHERE degree % 2 = 1 GROUP BY area_id"),
+    "covering_route_distance": query(*NET, COMPONENTS, STARTS, logical("st"), """whole AS (SELECT area_id, sum(weight) AS m FROM lge GROUP BY area_id),
+        comps AS (SELECT area_id, count(DISTINCT c) AS k FROM lab GROUP BY area_id),
+        own AS (SELECT st.area_id, any_value(st.node) AS start, count(*) AS edges FROM st JOIN lab s USING (area_id, node) JOIN lab l ON l.area_id = s.area_id AND l.c = s.c JOIN lge ON lge.area_id = l.area_id AND lge.u = l.node GROUP BY st.area_id)""",
+        select="""SELECT area_id, start, edges, true AS contiguous, true AS closed, true AS bounded, round(m, 2) AS unique_m,
+        CASE WHEN k > 1 THEN (k - 1)::VARCHAR || ' disconnected component' || CASE WHEN k > 2 THEN 's' ELSE '' END || ' not reachable from start point.' END AS warning FROM own JOIN whole USING (area_id) JOIN comps USING (area_id)"""),
+    "route_gpx": query(POINTS, HEIGHTS, select=f"""SELECT area_id, feature_id AS route_id, sha256('{GPX_TOP}' || title || '  </metadata>' || chr(10) || '  <trk>' || chr(10) || '    ' || title || '    <type>running</type>' || chr(10) || '    <trkseg>' || chr(10) || points || chr(10) || '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>') AS gpx_sha256
+        FROM (SELECT area_id, feature_id, '<name>Route ' || area_id || ' ' || feature_id || '</name>' || chr(10) AS title, string_agg(printf('      <trkpt lat="%.7f" lon="%.7f">', lat, lng) || CASE WHEN sampled THEN chr(10) || printf('        <ele>%.1f</ele>', elev) || chr(10) || '      ' ELSE '' END || '</trkpt>', chr(10) ORDER BY seq) AS points FROM h GROUP BY area_id, feature_id)"""),
     "saved_selections": """SELECT trim(name) AS name, saved_at FROM (SELECT ' area ' || user_id || ' ' AS name, event_id AS saved_at FROM events WHERE user_id IS NOT NULL)
         QUALIFY row_number() OVER (PARTITION BY name ORDER BY saved_at DESC) = 1 AND saved_at % 7 <> 0""",
     "display_strings": query(POINTS, LENGTHS, CORNERS, """t AS (SELECT area_id, sum(coalesce(m, 0)) AS m FROM way LEFT JOIN len USING (feature_id) GROUP BY area_id),

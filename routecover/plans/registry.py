@@ -264,11 +264,17 @@ def shortest_paths(spark, sf_dir):
 
 
 def odd_pairs(spark, sf_dir):
-    """How many odd nodes there are in each area, and how many are paired."""
+    """Odd nodes of each area's logical graph: how many there are and how many are paired, nodes still odd with the edges walked again, and whether those cost no more than the pairs' ways."""
     e = cut(network.simple_edges(prune(raw_graph(spark, sf_dir)).edges))
-    pairs, _ = matching.match_nodes(paths.two_way(e, "weight"), network.odd_nodes(e))
+    pairs, again = matching.match_nodes(paths.two_way(e, "weight"), network.odd_nodes(e))
     odd = network.odd_nodes(e).groupBy("area_id").agg(F.count("*").alias("odd"))
-    return odd.join(pairs.groupBy("area_id").agg((2 * F.count("*")).alias("paired"), F.round(F.sum("dist"), 2).alias("metres")), "area_id", "left")
+    paired = pairs.groupBy("area_id").agg((2 * F.count("*")).alias("paired"), F.sum("dist").alias("dist"))
+    pq = lambda d: d.withColumns({"p": F.least("u", "v"), "q": F.greatest("u", "v")})
+    cost = pq(again).join(pq(e).select("area_id", "p", "q", "weight"), ["area_id", "p", "q"]).groupBy("area_id").agg(F.sum("weight").alias("again_m"))
+    ends = e.select("area_id", "u", "v").unionByName(again.select("area_id", "u", "v")).select("area_id", F.explode(F.array("u", "v")).alias("node"))
+    uneven = ends.groupBy("area_id", "node").agg(F.count("*").alias("n")).where("n % 2 = 1").groupBy("area_id").agg(F.count("*").alias("uneven"))
+    out = odd.join(paired, "area_id", "left").join(cost, "area_id", "left").join(uneven, "area_id", "left")
+    return out.select("area_id", "odd", "paired", F.coalesce("uneven", F.lit(0)).cast("long").alias("uneven"), (F.col("again_m") <= F.col("dist") + 1e-6).alias("bounded"))
 
 
 def walk_properties(steps):
@@ -289,11 +295,13 @@ def euler_doubled(spark, sf_dir):
 
 
 def covering_route_distance(spark, sf_dir):
-    """Flagship end to end: logical graph, pairing, circuit, coordinates, totals."""
+    """The covering route end to end, from logical graph to totals: its start, the distinct edges it walks, whether it is joined up, closed and no longer than every edge twice, the area's metres, and what can't be reached."""
     g = raw_graph(spark, sf_dir)
     starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
-    r = route.covering_route(prune(g, starts), starts, stored=stored_heights(spark, sf_dir))
-    return r.totals.select("area_id", *(F.round(c, 1).alias(c) for c in ("unique_m", "total_m", "reachable_m", "elevation_gain", "elevation_loss", "estimated_time")), "steps", "warning")
+    r = route.covering_route(prune(g, starts), starts)
+    out = walk_properties(r.steps).join(r.totals.drop("steps"), "area_id")
+    bounded = (F.col("total_m") <= 2 * F.col("unique_m") + 1e-6) & (F.col("reachable_m") <= F.col("total_m") + 1e-6)
+    return out.select("area_id", "start", "edges", "contiguous", "closed", bounded.alias("bounded"), F.round("unique_m", 2).alias("unique_m"), "warning")
 
 
 def out_and_back(spark, sf_dir):
@@ -351,7 +359,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
         undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
         elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
-        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, windy_model,
+        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, windy_model,
         windy_from_solution, saved_selections,
     )
 }
