@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from routecover.llm import bitplane, decontam, fm_dedup, gru_langid, kk_packing, line_dedup, mtree, pii, simhash_tiles, trie_counts
+from routecover.llm import bitplane, cover_lloyd, decontam, fm_dedup, gru_langid, importance, kk_packing, line_dedup, minhash_lists, mtree, pii, simhash_tiles, trie_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -87,12 +87,110 @@ def op10_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_cover_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's code and errors, and the digest of the codebooks."""
+    coded, _ = cover_lloyd.compress_vectors(table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's features, weight and score against the benchmark, and the rank of those drawn."""
+    drawn = importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000, longest_run=3, least_words=20, percent=5, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_minhash_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles, its component, and whether it is the one kept."""
+    return minhash_lists.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, least=80)
+
+
 OPERATORS = (
     op1_bit_plane_tokens, op2_mtree_topk, op3_pii_boosting, op4_gru_language, op5_fm_substring_dedup,
     op6_trie_token_counts, op7_packing, op8_decontamination, op9_line_dedup, op10_simhash_tiles,
+    op11_cover_tree_lloyd, op12_importance_resampling, op13_minhash_lists,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
+
+
+def lloyd_sql(rounds: int = 4) -> str:
+    """DuckDB SQL of op11: each round as two tables, the nearest entries and the moved codebooks."""
+    nearest = """
+SELECT vec_id, copy, p, v, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+  SELECT vec_id, copy, x.p, v, e, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d
+  FROM x JOIN {book} b ON x.p = b.p) GROUP BY vec_id, copy, p, v"""
+    steps = []
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED ({nearest.format(book=f'b{r}')})")
+        steps.append(f"""b{r + 1} AS MATERIALIZED (
+SELECT b{r}.p, b{r}.e, coalesce(m.c, b{r}.c) AS c FROM b{r} LEFT JOIN (
+  SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT p, e, i, sum(v[i])::DOUBLE AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM x) + 1)) AS i) GROUP BY p, e, i) GROUP BY p, e) m USING (p, e))""")
+    return f"""
+WITH u AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS copy FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), x AS MATERIALIZED (
+  SELECT vec_id, copy, p, list_transform(embedding[p * len(embedding) // 4 + 1:(p + 1) * len(embedding) // 4], lambda y: floor(y::DOUBLE * 1024)::BIGINT) AS v
+  FROM u, (SELECT unnest(range(4)) AS p)
+), b0 AS (SELECT p, copy AS e, v AS c FROM x WHERE copy < 256),
+{", ".join(steps)}, z AS MATERIALIZED ({nearest.format(book=f"b{rounds}")}),
+coded AS (SELECT copy, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM z GROUP BY copy),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM u JOIN coded USING (copy), digest
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_cover_tree_lloyd": lloyd_sql(),
+    "op12_importance_resampling": r"""
+WITH bits AS (SELECT n, 8 AS k, n AS c FROM (SELECT unnest(range(256)) AS n)),
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM bits
+), d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), f AS (
+  SELECT row, array_to_string(ws[p:p + k - 1], ' ') AS f FROM (SELECT row, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT unnest([1, 2, 3]) AS k))
+), g AS (
+  SELECT array_to_string(ws[p:p + k - 1], ' ') AS f FROM (SELECT ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM b, (SELECT unnest([1, 2, 3]) AS k))
+), named AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+                            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, hex(f) AS h FROM (SELECT f FROM f UNION SELECT f FROM g)), crc_table
+), fb AS (SELECT row, bucket, count(*) AS n FROM f JOIN named USING (f) GROUP BY row, bucket),
+s AS (SELECT bucket, sum(n) AS s FROM fb GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM g JOIN named USING (f) GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+                                 / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)
+), w AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM fb JOIN gain USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AND doc_id IS NOT NULL AS fit,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w USING (row)
+), placed AS (SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM scored WHERE fit) THEN place END AS rank FROM placed
+""",
+    "op13_minhash_lists": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                 ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda p: array_to_string(ws[p:p + 3], ' ')))) END AS s FROM d
+), named AS (SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM sets),
+nodes AS (SELECT k, any_value(n) AS n, any_value(s) AS s FROM named WHERE n > 0 GROUP BY k),
+post AS (SELECT k, n, unnest(s) AS sh FROM nodes),
+near AS (
+  SELECT u, v FROM (SELECT a.k AS u, b.k AS v, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS c FROM post a JOIN post b ON a.sh = b.sh AND a.k <> b.k GROUP BY a.k, b.k)
+  WHERE 100 * c >= 80 * (an + bn - c)
+), reach AS (SELECT k, k AS other FROM nodes UNION SELECT reach.k, near.v FROM reach JOIN near ON reach.other = near.u),
+least AS (SELECT reach.k, min(doc_id) AS first FROM reach JOIN named ON reach.other = named.k GROUP BY reach.k)
+SELECT doc_id, n::BIGINT AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE first END AS component_id,
+       coalesce(doc_id = CASE WHEN n = 0 THEN doc_id ELSE first END, false) AS kept
+FROM named LEFT JOIN least USING (k)
+""",
     "op2_mtree_topk": """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v
