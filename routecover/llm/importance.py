@@ -109,13 +109,17 @@ class Hasher:
 
 
 def _pruned(counts: Counter, most: int) -> Counter:
-    return Counter(dict(counts.most_common(most // 2))) if len(counts) > most else counts
+    least = 1
+    while len(counts) > most:
+        counts = Counter({k: c for k, c in counts.items() if c > least})
+        least *= 2
+    return counts
 
 
 def frequent(texts: DataFrame, n_words: int, n_pairs: int, held: int = 200_000) -> Vocabulary:
     """The most frequent words of ``texts(text)`` and pairs of them, counted over all texts.
 
-    A task keeps at most ``held`` words and pairs and drops the rarer half when there are more, so memory is bounded and counts of rare ones may be too
+    A task that holds more than ``held`` words or pairs drops the rarest, so memory is bounded and counts of rare ones may be too
     low; which words are in the vocabulary changes the work but no result. At most ``n_words`` and ``n_pairs`` reach the driver.
     """
 
