@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routecover.runtime import cut
+from routecover.runtime import Rounds
 
 
 def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_rounds: int = 60) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
     )
     # As many files a round as the cluster has cores: the edges left are few beside the rows they stand for.
     width = edges.sparkSession.sparkContext.defaultParallelism
-    now = cut(now.coalesce(width))
+    rounds = Rounds()
+    now = rounds.settle("links", now.coalesce(width))
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +41,7 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = (), max_round
         small = large.join(least, [*k, "u"]).select(
             *k, F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         )
-        now = cut(small.select(*k, "e.u", "e.v").where(F.col("u") != F.col("v")).distinct().coalesce(width))
+        now = rounds.settle("links", small.select(*k, "e.u", "e.v").where(F.col("u") != F.col("v")).distinct().coalesce(width))
         state = now.agg(F.count("*"), F.sum(F.xxhash64(*k, "u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

@@ -6,30 +6,76 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routecover.functions.geo import crossing_fraction, haversine, micro, node_id
+from routecover.runtime import settled
 
 
-def crossings(segments: DataFrame, *, cell: float = 0.002, split_all: bool = False) -> DataFrame:
+#: Segments are laid this far (in degrees) beyond a cell's border, so that rounding loses no crossing on it.
+MARGIN = 1e-9
+#: A dense cell is cut into this many columns and rows: a power of two, so that cells of all levels nest exactly.
+FINER = 8
+LEVELS = 4
+SEGMENT = ("area_id", "feature_ord", "segment_idx", "ax", "ay", "bx", "by")
+
+
+def _laid(segments: DataFrame, size: float, within: bool) -> DataFrame:
+    """Segments with each cell ``cx, cy`` of ``size`` that they pass; ``within`` the coarser cell that they came with.
+
+    A segment is followed column by column: in each it takes only the rows between its two heights there, so a long diagonal takes
+    about two cells a column, not its whole box.
+    """
+    at = lambda x: F.floor(x / size).cast("int")
+    x0, x1, y0, y1 = F.least("ax", "bx"), F.greatest("ax", "bx"), F.least("ay", "by"), F.greatest("ay", "by")
+    first, last = at(x0 - MARGIN), at(x1 + MARGIN)
+    if within:
+        segments = segments.withColumnsRenamed({"cx": "ox", "cy": "oy"})
+        first, last = F.greatest(first, F.col("ox") * FINER), F.least(last, F.col("ox") * FINER + FINER - 1)
+    columns = segments.withColumns({"c0": first, "c1": last}).where("c0 <= c1").withColumn("cx", F.explode(F.sequence("c0", "c1")))
+    inside = lambda x: F.greatest(x0, F.least(x1, x))
+    height = lambda x: F.greatest(y0, F.least(y1, F.col("ay") + (x - F.col("ax")) / F.when(F.col("bx") != F.col("ax"), F.col("bx") - F.col("ax")) * (F.col("by") - F.col("ay"))))
+    left, right = height(inside(F.col("cx") * size - MARGIN)), height(inside((F.col("cx") + 1) * size + MARGIN))
+    upright = F.col("ax") == F.col("bx")
+    low, high = F.when(upright, y0).otherwise(F.least(left, right)), F.when(upright, y1).otherwise(F.greatest(left, right))
+    first, last = at(low - MARGIN), at(high + MARGIN)
+    if within:
+        first, last = F.greatest(first, F.col("oy") * FINER), F.least(last, F.col("oy") * FINER + FINER - 1)
+    rows = columns.withColumns({"r0": first, "r1": last}).where("r0 <= r1").withColumn("cy", F.explode(F.sequence("r0", "r1")))
+    return rows.select(*SEGMENT, "cx", "cy")
+
+
+def grid(segments: DataFrame, cell: float, most: int) -> DataFrame:
+    """Segments in the cells they pass, with ``level``: cells of over ``most`` segments are refined, up to ``LEVELS`` times."""
+    laid, out = settled(_laid(segments, cell, False)), None
+    for level in range(LEVELS):
+        place = ["area_id", "cx", "cy"]
+        dense = settled(laid.groupBy(*place).agg(F.count("*").alias("c")).where(F.col("c") > most).drop("c")) if level + 1 < LEVELS else None
+        done = dense is None or dense.isEmpty()
+        part = (laid if done else laid.join(dense, place, "left_anti")).select(*SEGMENT, "cx", "cy", F.lit(level).alias("level"))
+        out = part if out is None else out.unionByName(part)
+        if done:
+            return out
+        laid = settled(_laid(laid.join(dense, place, "left_semi"), cell / FINER ** (level + 1), True))
+    return out
+
+
+def crossings(segments: DataFrame, *, cell: float = 0.002, split_all: bool = False, most: int = 1024) -> DataFrame:
     """``(area_id, node, px, py, a_ord, a_idx, b_ord, b_idx)``: where two segments of an area meet.
 
     One row per rounded place, of the first pair in (feature, segment) order; ``split_all`` keeps every pair. Each
-    segment is laid in the grid cells that its box meets, and a pair is looked at only in the cell of its boxes' common corner, so it
-    is found once. ``cell`` is in degrees, about the extent of a segment; dense cells are split by the adaptive skew join.
+    segment is laid in the grid cells that it passes, and a pair counts only in the cell of its crossing, so it
+    is found once. ``cell`` is in degrees, about the extent of a segment; cells of over ``most`` segments are refined.
     """
-    at = lambda x: F.floor(x / cell).cast("int")
-    boxed = segments.select(
-        "area_id", "feature_ord", "segment_idx", "ax", "ay", "bx", "by",
-        F.least("ax", "bx").alias("x0"), F.greatest("ax", "bx").alias("x1"), F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1"),
-    )
-    laid = boxed.withColumn("cx", F.explode(F.sequence(at(F.col("x0")), at(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1")))))
-    side = lambda p: laid.select("area_id", "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in ("feature_ord", "segment_idx", "ax", "ay", "bx", "by", "x0", "x1", "y0", "y1")))
-    met = side("a").join(side("b"), ["area_id", "cx", "cy"]).where(
+    laid = grid(segments, cell, most)
+    side = lambda p: laid.select("area_id", "level", "cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in SEGMENT[1:]))
+    low, high = (lambda p, c: F.least(f"{p}_a{c}", f"{p}_b{c}")), (lambda p, c: F.greatest(f"{p}_a{c}", f"{p}_b{c}"))
+    met = side("a").join(side("b"), ["area_id", "level", "cx", "cy"]).where(
         (F.struct("a_feature_ord", "a_segment_idx") < F.struct("b_feature_ord", "b_segment_idx"))
-        & (F.col("a_x0") <= F.col("b_x1")) & (F.col("a_x1") >= F.col("b_x0")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("a_y1") >= F.col("b_y0"))
-        & (F.col("cx") == at(F.greatest("a_x0", "b_x0"))) & (F.col("cy") == at(F.greatest("a_y0", "b_y0")))
+        & (low("a", "x") <= high("b", "x")) & (high("a", "x") >= low("b", "x")) & (low("a", "y") <= high("b", "y")) & (high("a", "y") >= low("b", "y"))
     )
     t, u = crossing_fraction("a_ax", "a_ay", "a_bx", "a_by", "b_ax", "b_ay", "b_bx", "b_by")
     hit = met.withColumns({"t": t, "u": u}).where(F.col("t").between(0, 1) & F.col("u").between(0, 1))
     px, py = F.col("a_ax") + F.col("t") * (F.col("a_bx") - F.col("a_ax")), F.col("a_ay") + F.col("t") * (F.col("a_by") - F.col("a_ay"))
+    size = F.lit(cell) / F.element_at(F.array(*(F.lit(float(FINER**k)) for k in range(LEVELS))), F.col("level") + 1)
+    hit = hit.where((F.floor(px / size) == F.col("cx")) & (F.floor(py / size) == F.col("cy")))
     found = hit.select(
         "area_id", node_id(micro(px), micro(py)).alias("node"), F.col("a_feature_ord").alias("a_ord"), F.col("a_segment_idx").alias("a_idx"),
         F.col("b_feature_ord").alias("b_ord"), F.col("b_segment_idx").alias("b_idx"), px.alias("px"), py.alias("py"),

@@ -11,6 +11,7 @@ from routecover.functions.geo import haversine, micro, node_id
 from routecover.operators.components import connected_components
 from routecover.operators.crossings import crossings, split_segments
 from routecover.operators.filters import flatten_segments
+from routecover.runtime import settled
 
 SHORTEST_EDGE_M = 0.1
 
@@ -26,10 +27,10 @@ class Graph:
 def build_graph(features: DataFrame, *, split_all: bool = False) -> Graph:
     """Split all lines where they cross; a node is a place rounded to micro-degrees, with the coordinates first seen there.
 
-    Pieces within one place or shorter than 0.1 m make no edge, but their nodes stay.
+    Pieces within one place or shorter than 0.1 m make no edge, but their nodes stay. Segments and pieces are written once; nodes and edges read the pieces.
     """
-    segments = flatten_segments(features)
-    pieces = split_segments(segments, crossings(segments, split_all=split_all))
+    segments = settled(flatten_segments(features))
+    pieces = settled(split_segments(segments, crossings(segments, split_all=split_all)))
     pieces = pieces.withColumns({"u": node_id(micro("x1"), micro("y1")), "v": node_id(micro("x2"), micro("y2")), "weight": haversine("y1", "x1", "y2", "x2")})
     at = lambda e: F.struct("feature_ord", "segment_idx", "j", F.lit(e).alias("e"))
     ends = pieces.select(
@@ -85,6 +86,7 @@ def graph_components(graph: Graph) -> DataFrame:
 
 def component_warning(components: DataFrame) -> DataFrame:
     """Per area the number of components, and a text if some can't be reached."""
+    # The texts of the warning.
     n = components.groupBy("area_id").agg(F.countDistinct("component").alias("components"))
     text = F.concat((F.col("components") - 1).cast("string"), F.lit(" disconnected component"), F.when(F.col("components") > 2, "s").otherwise(""), F.lit(" not reachable from start point."))
     return n.withColumn("warning", F.when(F.col("components") > 1, text))

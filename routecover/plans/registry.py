@@ -26,8 +26,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_graph(spark: SparkSession, sf_dir: str) -> network.Graph:
-    g = network.build_graph(fixtures.features(spark, sf_dir))
-    return network.Graph(cut(g.nodes), cut(g.edges))
+    return network.build_graph(fixtures.features(spark, sf_dir))
 
 
 def first_starts(spark: SparkSession, sf_dir: str) -> DataFrame:

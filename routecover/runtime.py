@@ -49,3 +49,23 @@ def settled(df: DataFrame) -> DataFrame:
     many digits that planning takes longer than the work. Files give their real size.
     """
     return written(df, "round")
+
+
+class Rounds:
+    """State tables of a loop by name; a table's last round is deleted once its next one is written.
+
+    Only for tables that nothing reads later but the next round's plan.
+    """
+
+    def __init__(self) -> None:
+        self._folders: dict[str, str] = {}
+
+    def settle(self, name: str, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(folder)
+        before, self._folders[name] = self._folders.get(name), folder
+        if before:
+            place = spark._jvm.org.apache.hadoop.fs.Path(before)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        return spark.read.schema(df.schema).parquet(folder)
