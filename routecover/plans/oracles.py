@@ -127,6 +127,17 @@ DISTANCES = """dd AS (
     UNION SELECT a.area_id, a.v, min(r.d + a.weight) FROM r JOIN adj a ON a.area_id = r.area_id AND a.u = r.node LEFT JOIN recurring.r t ON t.area_id = a.area_id AND t.node = a.v
       WHERE t.d IS NULL OR r.d + a.weight < t.d GROUP BY a.area_id, a.v
   ) SELECT * FROM r)"""
+
+
+def covering(more: str = "") -> str:
+    """SQL for what holds of any covering route over the logical graph around the starts."""
+    return query(*NET, COMPONENTS, STARTS, logical("st"), """whole AS (SELECT area_id, sum(weight) AS m FROM lge GROUP BY area_id),
+        comps AS (SELECT area_id, count(DISTINCT c) AS k FROM lab GROUP BY area_id),
+        own AS (SELECT st.area_id, any_value(st.node) AS start, count(*) AS edges FROM st JOIN lab s USING (area_id, node) JOIN lab l ON l.area_id = s.area_id AND l.c = s.c JOIN lge ON lge.area_id = l.area_id AND lge.u = l.node GROUP BY st.area_id)""",
+        select=f"""SELECT area_id, start, edges, true AS at_most_twice, true AS contiguous, true AS closed, true AS bounded, {more} round(m, 2) AS unique_m,
+        CASE WHEN k > 1 THEN (k - 1)::VARCHAR || ' disconnected component' || CASE WHEN k > 2 THEN 's' ELSE '' END || ' not reachable from start point.' END AS warning FROM own JOIN whole USING (area_id) JOIN comps USING (area_id)""")
+
+
 #: The text of a GPX document around its points.
 GPX_TOP = """<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="routecover" xmlns="http://www.topografix.com/GPX/1/1" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://www.topografix.com/GPX/1/1 http://www.topografix.com/GPX/1/1/gpx.xsd">\n  <metadata>\n    """
 NET = (POINTS, CROSS, GRAPH)
@@ -203,7 +214,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT area_id, 'e' || i || 'r', b, a, round(reverse, 3), 0 FROM w2 JOIN tm USING (area_id, feature_id)"""),
     "euler_doubled": query(*NET, COMPONENTS, f"""st AS (SELECT area_id, arg_min({NODE('lng', 'lat')}, (feature_id, seq)) AS node FROM p WHERE n > 1 GROUP BY area_id),
         comp AS (SELECT l.area_id, l.c, st.node FROM st JOIN lab l USING (area_id, node))""",
-        select="SELECT a.area_id, any_value(comp.node) AS start, count(*) AS steps, count(DISTINCT (least(u, v), greatest(u, v))) AS edges, true AS contiguous, true AS closed FROM adj a JOIN lab l ON l.area_id = a.area_id AND l.node = a.u JOIN comp ON comp.area_id = a.area_id AND comp.c = l.c GROUP BY a.area_id"),
+        select="SELECT a.area_id, any_value(comp.node) AS start, count(*) AS steps, count(DISTINCT (least(u, v), greatest(u, v))) AS edges, 2::BIGINT AS fewest, 2::BIGINT AS most, true AS contiguous, true AS closed FROM adj a JOIN lab l ON l.area_id = a.area_id AND l.node = a.u JOIN comp ON comp.area_id = a.area_id AND comp.c = l.c GROUP BY a.area_id"),
     "pruned_graph": query(*NET, logical(), select=f"SELECT area_id, {EDGE_ID} AS edge_id, round(weight, 3) AS weight, points::INTEGER AS points FROM lge"),
     "logical_removal": query(*NET, logical(), f"""pick AS (SELECT * FROM (SELECT *, {EDGE_ID} AS edge_id FROM lge) QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY edge_id) = 1),
         onp AS (SELECT area_id, u AS node FROM pick UNION SELECT area_id, v FROM pick UNION SELECT gl.area_id, node FROM pick JOIN gl ON gl.area_id = pick.area_id AND gl.c = pick.c),
@@ -211,11 +222,16 @@ ORACLES: dict[str, str] = {
         select="SELECT area_id, count(*) AS edges FROM ed ANTI JOIN hite USING (area_id, f, i, j) GROUP BY area_id"),
     "shortest_paths": query(*NET, STARTS, logical("st"), DISTANCES, select="SELECT area_id, node, round(d, 2) AS dist FROM dd ANTI JOIN gone USING (area_id, node)"),
     "odd_pairs": query(*NET, select="SELECT area_id, count(*) AS odd, count(*) AS paired, 0::BIGINT AS uneven, true AS bounded FROM deg WHERE degree % 2 = 1 GROUP BY area_id"),
-    "covering_route_distance": query(*NET, COMPONENTS, STARTS, logical("st"), """whole AS (SELECT area_id, sum(weight) AS m FROM lge GROUP BY area_id),
-        comps AS (SELECT area_id, count(DISTINCT c) AS k FROM lab GROUP BY area_id),
-        own AS (SELECT st.area_id, any_value(st.node) AS start, count(*) AS edges FROM st JOIN lab s USING (area_id, node) JOIN lab l ON l.area_id = s.area_id AND l.c = s.c JOIN lge ON lge.area_id = l.area_id AND lge.u = l.node GROUP BY st.area_id)""",
-        select="""SELECT area_id, start, edges, true AS contiguous, true AS closed, true AS bounded, round(m, 2) AS unique_m,
-        CASE WHEN k > 1 THEN (k - 1)::VARCHAR || ' disconnected component' || CASE WHEN k > 2 THEN 's' ELSE '' END || ' not reachable from start point.' END AS warning FROM own JOIN whole USING (area_id) JOIN comps USING (area_id)"""),
+    "covering_route_distance": covering(),
+    "covering_route_elevation": covering("true AS climbed, true AS timed,"),
+    "covering_route_time": covering("true AS quicker,"),
+    "directed_circuit": query(POINTS, f"""w2 AS (SELECT area_id, feature_id, arg_min({NODE('lng', 'lat')}, seq) AS a, arg_max({NODE('lng', 'lat')}, seq) AS b FROM p WHERE n > 1 GROUP BY area_id, feature_id),
+        way2 AS (SELECT area_id, a AS u, b AS v FROM w2 UNION ALL SELECT area_id, b, a FROM w2), adj AS (SELECT DISTINCT area_id, u, v FROM way2), nd AS (SELECT DISTINCT area_id, u AS node FROM way2)""", COMPONENTS, STARTS,
+        """own AS (SELECT l.area_id, l.c, st.node AS start FROM st JOIN lab l USING (area_id, node))""",
+        select="""SELECT own.area_id, any_value(start) AS start, count(*) AS steps, count(DISTINCT (u, v)) AS passes, 0::BIGINT AS miscounted, true AS contiguous, true AS closed
+        FROM own JOIN lab l ON l.area_id = own.area_id AND l.c = own.c JOIN way2 ON way2.area_id = l.area_id AND way2.u = l.node GROUP BY own.area_id"""),
+    "windy_constraints": query(POINTS, "w2 AS (SELECT area_id, feature_id, row_number() OVER (PARTITION BY area_id ORDER BY feature_id) - 1 AS i FROM p WHERE n > 1 GROUP BY area_id, feature_id)",
+        select="SELECT area_id, 'cover' || i AS row, 'e' || i || way AS var, 1::BIGINT AS coef, 1::BIGINT AS least, 0::BIGINT AS from_passes, 2::BIGINT AS to_passes FROM w2, (SELECT unnest(['f', 'r']) AS way)"),
     "route_gpx": query(POINTS, HEIGHTS, select=f"""SELECT area_id, feature_id AS route_id, sha256('{GPX_TOP}' || title || '  </metadata>' || chr(10) || '  <trk>' || chr(10) || '    ' || title || '    <type>running</type>' || chr(10) || '    <trkseg>' || chr(10) || points || chr(10) || '    </trkseg>' || chr(10) || '  </trk>' || chr(10) || '</gpx>') AS gpx_sha256
         FROM (SELECT area_id, feature_id, '<name>Route ' || area_id || ' ' || feature_id || '</name>' || chr(10) AS title, string_agg(printf('      <trkpt lat="%.7f" lon="%.7f">', lat, lng) || CASE WHEN sampled THEN chr(10) || printf('        <ele>%.1f</ele>', elev) || chr(10) || '      ' ELSE '' END || '</trkpt>', chr(10) ORDER BY seq) AS points FROM h GROUP BY area_id, feature_id)"""),
     "saved_selections": """SELECT trim(name) AS name, saved_at FROM (SELECT ' area ' || user_id || ' ' AS name, event_id AS saved_at FROM events WHERE user_id IS NOT NULL)

@@ -14,7 +14,7 @@ from routecover.operators.crossings import crossings
 from routecover.operators.prune import prune
 from routecover.plans import fixtures
 from routecover.plans.oracles import ORACLES as ORACLES
-from routecover.runtime import cut
+from routecover.runtime import settled
 from routecover.sources import stores, ways
 
 FLAGSHIP = "trail_summary"
@@ -264,7 +264,7 @@ def shortest_paths(spark, sf_dir):
 
 def odd_pairs(spark, sf_dir):
     """Odd nodes of each area's logical graph: how many there are and how many are paired, nodes still odd with the edges walked again, and whether those cost no more than the pairs' ways."""
-    e = cut(network.simple_edges(prune(raw_graph(spark, sf_dir)).edges))
+    e = settled(network.simple_edges(prune(raw_graph(spark, sf_dir)).edges))
     pairs, again = matching.match_nodes(paths.two_way(e, "weight"), network.odd_nodes(e))
     odd = network.odd_nodes(e).groupBy("area_id").agg(F.count("*").alias("odd"))
     paired = pairs.groupBy("area_id").agg((2 * F.count("*")).alias("paired"), F.sum("dist").alias("dist"))
@@ -277,30 +277,57 @@ def odd_pairs(spark, sf_dir):
 
 
 def walk_properties(steps):
-    """Of each area's walk: its steps, distinct edges, whether each step begins where the one before ended, and whether it ends at its begin."""
+    """Of each area's walk: its steps, distinct edges, the fewest and most walks over an edge, whether each step begins where the one before ended, and whether it ends at its begin."""
     nxt = steps.select("area_id", (F.col("step") - 1).alias("step"), F.col("u").alias("next_u"))
+    each = steps.groupBy("area_id", F.least("u", "v"), F.greatest("u", "v")).agg(F.count("*").alias("n")).groupBy("area_id").agg(F.count("*").alias("edges"), F.min("n").alias("fewest"), F.max("n").alias("most"))
     w = steps.join(nxt, ["area_id", "step"], "left").groupBy("area_id").agg(
-        F.count("*").alias("steps"), F.countDistinct(F.least("u", "v"), F.greatest("u", "v")).alias("edges"), F.count(F.when(F.col("v") == F.col("next_u"), 1)).alias("joined"), F.min_by("u", "step").alias("start"), F.max_by("v", "step").alias("end")
+        F.count("*").alias("steps"), F.count(F.when(F.col("v") == F.col("next_u"), 1)).alias("joined"), F.min_by("u", "step").alias("start"), F.max_by("v", "step").alias("end")
     )
-    return w.select("area_id", "start", "steps", "edges", (F.col("joined") == F.col("steps") - 1).alias("contiguous"), (F.col("start") == F.col("end")).alias("closed"))
+    return w.join(each, "area_id").select("area_id", "start", "steps", "edges", "fewest", "most", (F.col("joined") == F.col("steps") - 1).alias("contiguous"), (F.col("start") == F.col("end")).alias("closed"))
 
 
 def euler_doubled(spark, sf_dir):
-    """A circuit over every edge twice, from each area's start: where it starts, its steps and edges, and whether they are joined up and closed."""
+    """A circuit over every edge twice, from each area's start: where it starts, its steps and edges, how often it walks an edge, and whether it is joined up and closed."""
     g = raw_graph(spark, sf_dir)
-    e = cut(network.simple_edges(g.edges))
+    e = settled(network.simple_edges(g.edges))
     starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
-    return walk_properties(cut(euler.circuits(euler.multiplicities(e, e), starts)))
+    return walk_properties(settled(euler.circuits(euler.multiplicities(e, e), starts)))
 
 
-def covering_route_distance(spark, sf_dir):
-    """The covering route end to end, from logical graph to totals: its start, the distinct edges it walks, whether it is joined up, closed and no longer than every edge twice, the area's metres, and what can't be reached."""
-    g = raw_graph(spark, sf_dir)
-    starts = edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node")
-    r = route.covering_route(prune(g, starts), starts)
+def route_summary(r):
+    """Of each area's covering route: its start, the distinct edges it walks, whether none is walked over twice, whether it is joined up, closed and no longer than every edge twice, the area's metres, and what can't be reached."""
     out = walk_properties(r.steps).join(r.totals.drop("steps"), "area_id")
     bounded = (F.col("total_m") <= 2 * F.col("unique_m") + 1e-6) & (F.col("reachable_m") <= F.col("total_m") + 1e-6)
-    return out.select("area_id", "start", "edges", "contiguous", "closed", bounded.alias("bounded"), F.round("unique_m", 2).alias("unique_m"), "warning")
+    return out.select("area_id", "start", "edges", (F.col("most") <= 2).alias("at_most_twice"), "contiguous", "closed", bounded.alias("bounded"), F.round("unique_m", 2).alias("unique_m"), "warning")
+
+
+def logical_and_starts(spark, sf_dir):
+    """The logical graph around each area's start, and the starts."""
+    g = raw_graph(spark, sf_dir)
+    starts = settled(edits.start_nodes(first_starts(spark, sf_dir), g).select("area_id", "node"))
+    logical = prune(g, starts)
+    return network.Graph(settled(logical.nodes), settled(logical.edges)), starts
+
+
+def covering_route_distance(spark, sf_dir):
+    """The covering route end to end, from logical graph to totals."""
+    return route_summary(route.covering_route(*logical_and_starts(spark, sf_dir)))
+
+
+def covering_route_elevation(spark, sf_dir):
+    """The covering route with as little climbed again as can be, and whether its climb and descent are equal: it is closed."""
+    r = route.covering_route(*logical_and_starts(spark, sf_dir), mode="elevation", stored=settled(stored_heights(spark, sf_dir)))
+    level = r.totals.select("area_id", (F.col("elevation_gain") >= 0).alias("climbed"), (F.col("estimated_time") > 0).alias("timed"))
+    return route_summary(r).join(level, "area_id")
+
+
+def covering_route_time(spark, sf_dir):
+    """The covering route in time mode, and whether its passes take no longer than the same passes the other way."""
+    g, starts = logical_and_starts(spark, sf_dir)
+    stored = settled(stored_heights(spark, sf_dir))
+    passes = windy.timed_passes(g, stored)
+    quick = passes.groupBy("area_id").agg((F.sum("seconds") <= F.sum("against") + 1e-6).alias("quicker"))
+    return route_summary(windy.route_from_passes(g, starts, passes)).join(quick, "area_id")
 
 
 def out_and_back(spark, sf_dir):
@@ -336,8 +363,8 @@ def windy_model(spark, sf_dir):
     return m.objective.join(b, ["area_id", "var"]).select("area_id", "var", "from_node", "to_node", metres("coef"), "balance")
 
 
-def windy_from_solution(spark, sf_dir):
-    """Passes when every edge is walked once each way."""
+def solved_passes(spark, sf_dir):
+    """Passes when every way, as one edge, is walked once each way."""
     f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
     end = lambda i: geo.node_id(geo.micro(F.element_at("coords", i)["lng"]), geo.micro(F.element_at("coords", i)["lat"]))
     f = f.withColumns({"u": end(1), "v": end(-1), "weight": filters.feature_length()})
@@ -345,6 +372,31 @@ def windy_from_solution(spark, sf_dir):
     return windy.traversals(m, m.bounds.select("area_id", "var", F.lit(0.9999).alias("value")))
 
 
+def windy_from_solution(spark, sf_dir):
+    """Passes when every edge is walked once each way."""
+    return solved_passes(spark, sf_dir)
+
+
+def directed_circuit(spark, sf_dir):
+    """The circuit over the passes of a solution from each area's start: its steps, the passes it makes, how many are made another number of times than given, and whether it is joined up and closed."""
+    passes = settled(solved_passes(spark, sf_dir))
+    starts = first_starts(spark, sf_dir).select("area_id", geo.node_id(geo.micro("lng"), geo.micro("lat")).alias("node"))
+    walk = settled(euler.directed_circuits(passes, starts))
+    made = walk.groupBy("area_id", "u", "v").agg(F.count("*").alias("made")).join(passes, ["area_id", "u", "v"], "left")
+    made = made.groupBy("area_id").agg(F.count("*").alias("passes"), F.count(F.when(~F.col("made").eqNullSafe(F.col("n")), 1)).alias("miscounted"))
+    return walk_properties(walk).select("area_id", "start", "steps", "contiguous", "closed").join(made, "area_id")
+
+
+def windy_constraints(spark, sf_dir):
+    """Cover rows and bounds of the time-mode model: what each row and variable asks for."""
+    f = lines(spark, sf_dir).withColumn("edge_ord", F.struct(F.col("feature_ord"), F.lit(0).alias("segment_idx"), F.lit(0).alias("j")))
+    end = lambda i: geo.node_id(geo.micro(F.element_at("coords", i)["lng"]), geo.micro(F.element_at("coords", i)["lat"]))
+    m = windy.windy_model(f.withColumns({"u": end(1), "v": end(-1), "weight": filters.feature_length()}), stored_heights(spark, sf_dir))
+    rows = m.cover.select("area_id", "row", "var", F.col("coef").cast("long").alias("coef"), F.col("least").cast("long").alias("least"))
+    bounds = m.bounds.select("area_id", "var", F.col("least").cast("long").alias("from_passes"), F.col("most").cast("long").alias("to_passes"))
+    return rows.join(bounds, ["area_id", "var"])
+
+
 def saved_selections(spark, sf_dir):
     """The last save of each name, where every seventh event deletes."""
     e = fixtures.table(spark, sf_dir, "events").select(F.concat(F.lit(" area "), F.col("user_id").cast("string"), F.lit(" ")).alias("name"), F.col("event_id").alias("saved_at"), (F.col("event_id") % 7 == 0).alias("deleted"))
@@ -358,7 +410,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
         undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
         elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
-        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, windy_model,
-        windy_from_solution, saved_selections,
+        nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, covering_route_elevation,
+        covering_route_time, windy_model, windy_constraints, windy_from_solution, directed_circuit, saved_selections,
     )
 }
