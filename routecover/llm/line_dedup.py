@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routecover.llm.texts import byte_texts, give_back
+from routecover.llm.texts import byte_texts, free_name, give_back
 from routecover.llm.tokens import in_chunks
 from routecover.runtime import written
 
@@ -232,10 +232,11 @@ def drop_repeated_lines(
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     gone = repeated_lines(picked, min_words=min_words, near_words=near_words)
-    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    own, lost = free_name(docs, "__id"), free_name(docs, "__gone")
+    gone = gone.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line").alias(lost))
     held = docs.drop(*counts)
     packed = squeezed(held, text_col)
-    joined = packed.join(gone, packed[id_col].cast("long") == gone["__id"], "left").drop("__id")
+    joined = packed.join(gone, packed[id_col].cast("long") == gone[own], "left").drop(own)
     text_at, gone_at, names = held.columns.index(text_col), len(held.columns), [*held.columns, *counts]
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

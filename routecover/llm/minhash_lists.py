@@ -9,7 +9,7 @@ links are confirmed on the full sets. No pairs are written: a list or cluster yi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routecover.llm.simhash_tiles import SLICE, _hashes, _shingle_places, by_group, shingle_set
+from routecover.llm.groups import by_group, dealt, linked, similar, with_heads
+from routecover.llm.simhash_tiles import SLICE, _hashes, _shingle_places, shingle_set
 from routecover.llm.texts import byte_texts, give_back
 from routecover.operators.components import connected_components
 from routecover.runtime import written
 
-#: A linker takes a list of row numbers and one row; it gives those of them that link with the row.
-Near = Callable[[int, np.ndarray], np.ndarray]
-
 
 def orders(coordinates: int) -> np.ndarray:
     """A random order of hashes for every coordinate: exclusive-or, then an odd factor."""
@@ -52,101 +50,10 @@ def collide(signatures: np.ndarray, row: int, others: np.ndarray, match: int) ->
     return others
 
 
-def spanning_links(near: Near, first: np.ndarray, second: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what all links connect: within ``first``, or between ``first`` and ``second``.
-
-    A row that is reached is compared once, with rows not reached yet, so a group of mutual copies costs one pass.
-    """
-    out: list[tuple[int, int]] = []
-    sides = [first, first if second is None else second]
-    while len(sides[0]) and len(sides[1]):
-        queue = [(int(sides[0][0]), 0)]
-        sides[0] = sides[0][1:]
-        if second is None:
-            sides[1] = sides[0]
-        while queue:
-            row, side = queue.pop()
-            other = 0 if second is None else 1 - side
-            reached = near(row, sides[other])
-            if len(reached):
-                out.extend((row, int(x)) for x in reached)
-                queue.extend((int(x), other) for x in reached)
-                sides[other] = np.setdiff1d(sides[other], reached, assume_unique=True)
-                if second is None:
-                    sides[1] = sides[0]
-    return out
-
-
-def dealt(rows: DataFrame, block: int) -> DataFrame:
-    """Rows ``(lane, a, b, cut, ...)`` in groups ``(lane, a, b)`` for ``by_group``, from ``(lane, id, weight, head, ...)``: each two rows of a lane that don't both link with its head meet.
-
-    A lane of at most ``block`` in weight is one group of ``a`` -1. A heavier one is cut by hash into n blocks of all its rows and r chunks of
-    those without ``head``; a group is a block (``cut`` 0) with a chunk (``cut`` 1): r copies of each row and n of each row without head. A lane of mutual copies has r = 0 and goes no further.
-    """
-    held = [c for c in rows.columns if c not in ("lane", "head", "weight")]
-    sizes = rows.groupBy("lane").agg(F.count("*").alias("c"), F.sum("weight").alias("all"), F.sum(F.when(F.col("head"), 0).otherwise(F.col("weight"))).alias("rest")).where("c > 1")
-    sizes = sizes.select("lane", F.ceil(F.col("all") / block).cast("int").alias("n"), F.ceil(F.col("rest") / block).cast("int").alias("r"))
-    placed = rows.join(sizes, "lane")
-    part = lambda k: F.pmod(F.xxhash64("id"), F.greatest(F.col(k), F.lit(1))).cast("int")
-    each = lambda k: F.sequence(F.lit(0), F.greatest(F.col(k) - 1, F.lit(0)))
-    one = F.array(F.struct(F.lit(-1).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("cut")))
-    asked = F.transform(each("r"), lambda j: F.struct(part("n").alias("a"), j.alias("b"), F.lit(0).alias("cut")))
-    chunk = F.transform(each("n"), lambda i: F.struct(i.alias("a"), part("r").alias("b"), F.lit(1).alias("cut")))
-    place = F.when(F.col("n") == 1, one).when(F.col("head"), asked).otherwise(F.concat(asked, chunk))
-    needed = placed.where((F.col("n") == 1) | (F.col("r") > 0)).withColumn("g", F.explode(place))
-    return needed.select("lane", "g.a", "g.b", "g.cut", *held)
-
-
-def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
-    cut = np.asarray(group.column("cut"))
-    rows = np.arange(group.num_rows)
-    return (rows, None) if group.column("a")[0].as_py() < 0 else (rows[cut == 1], rows[cut == 0])
-
-
-def _linked(group: pa.Table, near: Near) -> pa.RecordBatch:
-    ids = np.asarray(group.column("id"))
-    u, v = np.array(spanning_links(near, *_sides(group)), np.int64).reshape(-1, 2).T
-    return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
-
-
 def _matrix(group: pa.Table, name: str, kind) -> np.ndarray:
     return np.stack([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
 
 
-def with_heads(rows: DataFrame, value: str, of: Callable[[list, list], np.ndarray], block: int) -> tuple[DataFrame, DataFrame]:
-    """``rows(lane, id, weight, ...)`` with ``head``: whether the row links with its lane's head, asked only in lanes heavier than ``block``; and the links ``(u, v)`` found.
-
-    The head is the row of the least id. ``of(values, heads)`` compares each row's ``value`` with its head's.
-    """
-    large = rows.groupBy("lane").agg(F.sum("weight").alias("c"), F.min("id").alias("u")).where(F.col("c") > block).select("lane", "u")
-    large = written(large, "heavy-lanes")
-    if large.isEmpty():
-        return rows.withColumn("head", F.lit(False)), large.select("u", F.col("u").alias("v")).limit(0)
-    heads = written(rows.join(large, (rows["lane"] == large["lane"]) & (rows["id"] == large["u"]), "left_semi").select("lane", F.col("id").alias("u"), F.col(value).alias("own")), "heads")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fine = of(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fine, pa.bool_())], names=["lane", "u", "v", "head"])
-
-    asked = rows.join(heads, "lane").select("lane", "u", F.col("id").alias("v"), value, "own").mapInArrow(compared, "lane long, u long, v long, head boolean")
-    asked = written(asked, "head-links")
-    marked = rows.join(asked.where("head").select("lane", F.col("v").alias("id"), F.lit(True).alias("linked")), ["lane", "id"], "left")
-    return marked.withColumn("head", F.coalesce("linked", F.lit(False))).drop("linked"), asked.where("head and u != v").select("u", "v")
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """How many values two sorted sets share."""
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: int) -> bool:
-    """Whether 100 * intersection >= least * union, in whole numbers."""
-    n = shared(a, b) if len(a) <= len(b) else shared(b, a)
-    return 100 * n >= least * (len(a) + len(b) - n)
-
-
 def list_links(nodes: DataFrame, match: int, block: int) -> DataFrame:
     """``(u, v)``: ids of ``nodes(id, sig, values)`` that agree in ``match`` coordinates or more, as many as connect what all of these connect."""
     posted = nodes.select("id", F.posexplode("values").alias("j", "x"))
@@ -163,7 +70,7 @@ def list_links(nodes: DataFrame, match: int, block: int) -> DataFrame:
 
     def links(group: pa.Table) -> Iterator[pa.RecordBatch]:
         signatures = _matrix(group, "sig", np.uint16)
-        yield _linked(group, lambda row, others: collide(signatures, row, others, match))
+        yield linked(group, lambda row, others: collide(signatures, row, others, match))
 
     marked, found = with_heads(lists, "sig", agree, block)
     within = by_group(dealt(marked, block), links, "u long, v long")
@@ -186,7 +93,7 @@ def confirmed_links(clusters: DataFrame, least: int, match: int, block: int) ->
             others = collide(signatures, row, others[fit], match)
             return others[[similar(sets[row], sets[x], least) for x in others.tolist()]] if len(others) else others
 
-        yield _linked(group, near)
+        yield linked(group, near)
 
     marked, found = with_heads(clusters, "shingles", agree, block)
     return found.unionByName(by_group(dealt(marked, block), links, "u long, v long"))

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routecover.llm.groups import Near, by_group, dealt, linked, similar, with_heads
 from routecover.llm.texts import byte_texts, give_back
 from routecover.operators.components import connected_components
 from routecover.runtime import written
@@ -24,6 +25,8 @@ from routecover.runtime import written
 SLICE = 1 << 16
 #: Least values of sets are taken under this many orders, two for each lane (made from a fixed seed).
 LANES = 12
+#: Groups of at most so many fingerprints are compared all at once.
+SMALL = 256
 ORDERS = np.random.default_rng(5).integers(0, 1 << 63, (2, 2 * LANES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -160,25 +163,14 @@ def near_pairs(prints: np.ndarray, sides: np.ndarray, sizes: np.ndarray, radius:
         yield i[fine], j[fine], bits[fine]
 
 
-def similar_links(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Of pairs of rows those whose sets have a Jaccard similarity of ``least`` or more, as many as connect what all of them connect; the nearest are compared first."""
-    i, j, bits = (np.concatenate(x) for x in zip(*pairs)) if pairs else ([], [], [])
-    root = list(range(len(sets)))
-
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    out = []
-    for k in np.argsort(bits, kind="stable").tolist():
-        u, v = int(i[k]), int(j[k])
-        a, b = find(u), find(v)
-        if a != b:
-            shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
-            if shared * 1000 >= (len(sets[u]) + len(sets[v]) - shared) * round(least * 1000):  # whole numbers, so that exactly the bound counts
-                root[max(a, b)] = min(a, b)
-                out.append((u, v))
+def connecting(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
+    """Of pairs (i, j, bits apart) of n rows as many as connect what all of them connect."""
+    label, out = np.arange(n), []
+    for i, j, _ in pairs:
+        for a, b in zip(i.tolist(), j.tolist()):
+            if label[a] != label[b]:
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+                out.append((a, b))
     return out
 
 
@@ -256,47 +248,6 @@ def link_fingerprints(prints: DataFrame, *, units: int = 1, radius: int = 2, blo
     return met.select(*columns).mapInArrow(compare, "u long, v long")
 
 
-GROUP = ["lane", "a", "b"]
-
-
-def in_lanes(prints: DataFrame, block: int) -> DataFrame:
-    """Rows ``(lane, a, b, cut, id, ...)`` in groups ``(lane, a, b)``: each two rows of a lane meet in one group.
-
-    ``prints`` is ``(id, ..., lanes)`` with distinct ids. A lane of at most ``block`` rows is one group; else it is cut by hash into n blocks, each two of which are a
-    group, at the cost of n rows for each of its own.
-    """
-    held = [c for c in prints.columns if c != "lanes"]
-    each = prints.select(*held, F.explode("lanes").alias("lane"))
-    sizes = each.groupBy("lane").agg(F.count("*").alias("c")).where("c > 1").select("lane", F.ceil(F.col("c") / block).cast("int").alias("n"))
-    dealt = each.join(sizes, "lane").withColumn("cut", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    dealt = dealt.select("lane", "cut", *held, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    return dealt.select("lane", F.least("cut", "other").alias("a"), F.greatest("cut", "other").alias("b"), "cut", *held)
-
-
-def by_group(rows: DataFrame, each, schema: str) -> DataFrame:
-    """``each(table)`` for every group of rows, one after the other; a task holds one group and one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [np.asarray(batch.column(k)) for k in range(len(GROUP))]
-            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            ends = [0, *new.tolist(), batch.num_rows]
-            for begin, end in zip(ends, ends[1:]):
-                part = batch.slice(begin, end - begin)
-                if held and any(held[0].column(k)[0] != part.column(k)[0] for k in range(len(GROUP))):
-                    yield from each(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(part)
-        if held:
-            yield from each(pa.Table.from_batches(held).combine_chunks())
-        give_back()
-
-    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, schema)
-
-
 def simhash_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, units: int = 1, radius: int = 2
 ) -> DataFrame:
@@ -317,71 +268,94 @@ def simhash_components(
     return prints.join(named, names).select("doc_id", *names, "component_id")
 
 
-def near_copy_groups(docs: DataFrame, *, shingle: int = 5, units: int = 2, radius: int = 36, least: float = 0.8, block: int = 1024, max_broadcast: int = 200_000) -> DataFrame:
+def near_copy_groups(docs: DataFrame, *, shingle: int = 5, units: int = 2, radius: int = 36, least: float = 0.8, block: int = 16_384, set_block: int = 2_000_000, max_broadcast: int = 200_000) -> DataFrame:
     """``(doc_id, text_hash, component_id)``: one row per row of ``docs`` (doc_id, text), ``text_hash`` being Spark's xxhash64 of the text.
 
     Two texts link if their fingerprints over distinct shingles differ in ``radius`` bits or fewer and the Jaccard
     similarity of their sets of shingles is ``least`` or more; components of such links are groups. Nodes are distinct sets.
     Only sets that share a lane are compared, so the work grows with the near pairs and not with all pairs: at a similarity of 0.8 two sets share
-    none of the 12 lanes with probability 0.36 ** 12, under one in 200 000. A row with a null text has an empty set; rows with empty sets are one group. An empty table gives no rows.
-    Fingerprints first tell which rows of a group have a partner in it; the sets of those alone are fetched, once for each group, and compared there. So what is written grows
-    with the rows, not with the pairs, also where many texts are near but not near enough.
+    none of the 12 lanes with probability 0.36 ** 12, under one in 200 000. A row with a null text has an empty set; rows with empty sets are one group. An empty table gives no rows; texts may have any length.
+    Rows without an id are rows like others. Lanes give links between near fingerprints, at most one for each row; the sets of what these connect are fetched once for each
+    node and compared there. So what is written grows with the rows, not with the pairs, also where many texts are near but not near enough: only lanes of over
+    ``block`` rows and clusters of over ``set_block`` shingles are cut, and then only rows that don't link with the first are sent more than once.
     """
-    names = [f"f{j}" for j in range(units)]
-    longs = ["doc_id", "text_hash", "id", *names, "size"]
-    arrow = pa.schema([*((n, pa.int64()) for n in longs), ("lanes", pa.list_(pa.int64()))])
+    longs = ["doc_id", "text_hash", "id", "size"]
+    arrow = pa.schema([*((n, pa.int64()) for n in longs), ("print", pa.binary()), ("lanes", pa.list_(pa.int64()))])
+    bound = round(least * 100)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [set_fingerprint(t, shingle, units) for t in byte_texts(batch)]
-            rows = np.array([[name, *words, size] for name, words, size, _ in found], np.uint64).reshape(-1, 2 + units).astype(np.int64)
             ends = np.cumsum([0, *(len(x[-1]) for x in found)])
             flat = np.concatenate([np.empty(0, np.uint64), *(x[-1] for x in found)]).astype(np.int64)
             lanes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, j]) for j in range(2 + units)), lanes], schema=arrow)
+            own = pa.array(np.array([x[0] for x in found], np.uint64).astype(np.int64))
+            sizes, prints = pa.array([x[2] for x in found], pa.int64()), pa.array([np.array(x[1], np.uint64).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, sizes, prints, lanes], schema=arrow)
             give_back()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in byte_texts(batch)]
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate([np.empty(0, np.uint64), *sets]).astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "shingles"])
+            sets = [np.sort(shingle_set(t, shingle).astype(np.int64)).tobytes() for t in byte_texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
             give_back()
 
-    def pairs_of(group: pa.Table):
-        get = lambda c: np.asarray(group.column(c))
-        prints = np.stack([get(n) for n in names], 1).astype(np.uint64)
-        return near_pairs(prints, get("cut") == get("b"), get("size"), radius, least, get("a")[0] == get("b")[0])
-
-    def partnered(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        near = np.zeros(group.num_rows, bool)
-        for i, j, _ in pairs_of(group):
-            near[i] = near[j] = True
-        yield from group.filter(pa.array(near)).to_batches()
-
-    def linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        lists = group.column("shingles").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, ends = np.asarray(lists.values), np.asarray(lists.offsets)
-        found = similar_links(list(pairs_of(group)), [flat[a:b] for a, b in zip(ends, ends[1:])], least)
-        ids = np.asarray(group.column("id"))
-        u, v = np.array(found, np.int64).reshape(-1, 2).T
-        yield pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], names=["u", "v"])
+    def apart(a: bytes, b: bytes) -> int:
+        return int(np.bitwise_count(np.frombuffer(a, np.uint64) ^ np.frombuffer(b, np.uint64)).sum())
+
+    def prints_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.stack([np.frombuffer(x, np.uint64) for x in group.column("print").to_pylist()]), np.asarray(group.column("size"))
+
+    def small(group: pa.Table) -> list[tuple[int, int]]:
+        prints, sizes = prints_of(group)
+        sides, alone = np.asarray(group.column("cut")) == 0, group.column("a")[0].as_py() < 0
+        return connecting(near_pairs(prints, sides, sizes, radius, least, alone), len(prints))
+
+    def near_prints(group: pa.Table) -> Near:
+        prints, sizes = prints_of(group)
+
+        def near(row: int, others: np.ndarray) -> np.ndarray:
+            others = others[100 * np.minimum(sizes[others], sizes[row]) >= bound * np.maximum(sizes[others], sizes[row])]
+            return others[np.bitwise_count(prints[others] ^ prints[row]).sum(1) <= radius]
+
+        return near
+
+    def near_sets(group: pa.Table) -> Near:
+        near = near_prints(group)
+        sets = [np.frombuffer(x, np.int64) for x in group.column("shingles").to_pylist()]
+
+        def both(row: int, others: np.ndarray) -> np.ndarray:
+            others = near(row, others)
+            return others[[similar(sets[row], sets[k], bound) for k in others.tolist()]] if len(others) else others
+
+        return both
+
+    def links_of(rows: DataFrame, value: str, with_head, near, block: int, name: str) -> DataFrame:
+        marked, found = with_heads(rows, value, lambda values, heads: np.array([with_head(a, b) for a, b in zip(values, heads)], bool), block)
+
+        def each(group: pa.Table) -> Iterator[pa.RecordBatch]:
+            if value == "print" and group.num_rows <= SMALL:  # all at once
+                ids = np.asarray(group.column("id"))
+                u, v = np.array(small(group), np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+            else:
+                yield linked(group, near(group))
+
+        return written(found.unionByName(by_group(dealt(marked, block), each, "u long, v long")).distinct(), name)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    prints = written(texts.select("doc_id", "text_hash", "text").mapInArrow(of, ", ".join([*(f"{n} long" for n in longs), "lanes array<long>"])), "set-prints")
-    nodes = prints.groupBy("id", *names, "size").agg(F.min(F.struct("doc_id", "text_hash")).alias("place"), F.first("lanes").alias("lanes"))
-    nodes = written(nodes, "set-nodes")
-    rows = in_lanes(nodes.select("id", *names, "size", "lanes"), block)
-    kinds = "lane long, a int, b int, cut int, " + ", ".join(f"{n} long" for n in ("id", *names, "size"))
-    near = written(by_group(rows, partnered, kinds), "near-rows")
-    wanted = written(nodes.join(near.select("id").distinct(), "id", "left_semi").select("id", "place.doc_id", "place.text_hash"), "near-nodes")
-    few = wanted.count() <= max_broadcast
-    own = texts.withColumnRenamed("doc_id", "own").withColumnRenamed("text_hash", "own_hash")
-    met = own.join(F.broadcast(wanted) if few else wanted, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
-    sets = written(met.select("id", "text").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"]), "near-sets")
-    links = written(by_group(near.join(sets, "id").select(*GROUP, "cut", "id", *names, "size", "shingles"), linked, "u long, v long"), "similar-links")
-    groups = connected_components(links).withColumnRenamed("node", "id")
+    prints = written(texts.mapInArrow(of, ", ".join([*(f"{n} long" for n in longs), "print binary", "lanes array<long>"])), "set-prints")
+    nodes = written(prints.groupBy("id").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("lanes").alias("lanes")), "set-nodes")
+    each_lane = nodes.select("id", "size", "print", F.explode("lanes").alias("lane"))
+    shared_lanes = each_lane.groupBy("lane").agg(F.count("*").alias("c")).where("c > 1").select("lane")
+    rows = written(each_lane.join(shared_lanes, "lane").withColumn("weight", F.lit(1)), "lanes")
+    proposed = links_of(rows, "print", lambda a, b: apart(a, b) <= radius, near_prints, block, "near-links")
+    clusters = connected_components(proposed).select(F.col("component").alias("lane"), F.col("node").alias("id"))
+    clusters = written(clusters.join(nodes.select("id", "size", "text_hash", "print"), "id"), "near-nodes")
+    wanted = clusters.select("id", "text_hash")
+    wanted = F.broadcast(wanted) if clusters.count() <= max_broadcast else wanted
+    sets = written(texts.select("text_hash", "text").join(wanted, "text_hash").dropDuplicates(["id"]).select("id", "text").mapInArrow(sets_of, "id long, shingles binary"), "near-sets")
+    full = written(clusters.select("lane", "id", "size", "print", F.col("size").alias("weight")).join(sets, "id"), "near-clusters")
+    similar_links = links_of(full, "shingles", lambda a, b: similar(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), bound), near_sets, set_block, "similar-links")
+    groups = connected_components(similar_links).withColumnRenamed("node", "id")
     return prints.join(groups, "id", "left").select("doc_id", "text_hash", F.coalesce("component", "id").alias("component_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 POLYNOMIAL = 0xEDB88320
 
@@ -17,6 +18,14 @@ def give_back() -> None:
         trim(0)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``docs`` has (names are compared without regard to case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]

@@ -8,7 +8,8 @@ import re
 import numpy as np
 import pytest
 
-from routecover.llm.minhash_lists import collide, near_duplicates, orders, signature, spanning_links
+from routecover.llm.groups import spanning_links
+from routecover.llm.minhash_lists import collide, near_duplicates, orders, signature
 
 
 def sets_of(text):

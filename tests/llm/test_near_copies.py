@@ -79,3 +79,30 @@ def test_lanes_of_any_block_size(spark, pairs):
     docs = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
     found = [{(x.doc_id, x.component_id) for x in simhash_tiles.near_copy_groups(docs, block=n).collect()} for n in (4, 1024)]
     assert found[0] == found[1] and len({c for _, c in found[0]}) == len(plain_near_copies(pairs))
+
+
+def test_columns_of_any_name_keep_their_values(spark, pairs, tmp_path):
+    """Helper names that the table has already, in every stage; and only the contaminated one of two texts with one id goes."""
+    names = ["__id", "__hash", "__removed", "__lines", "__language", "__score", "__labels"]
+    rows = [(5, pairs[0][1] + " tail", *names), (5, pairs[20][1], *names), (6, pairs[40][1], *names), (None, pairs[0][1], *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(1, pairs[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for stage, left in ((corpus_pipeline.near_copies, [rows[2], rows[1], rows[3]]), (corpus_pipeline.benchmark_passages, rows[1:])):
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and all(tuple(x)[2:] == tuple(names) for x in got.collect())
+        if stage is corpus_pipeline.benchmark_passages:
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(left, key=repr)
+    kept = corpus_pipeline.lines(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and all(tuple(x)[2:] == tuple(names) for x in kept.collect())
+
+
+def test_rows_written_do_not_grow_with_pairs(spark):
+    """Families of texts that are near but not near enough: as many links are proposed as there are rows, at most."""
+    from routecover.llm.groups import dealt
+
+    for n in (100, 400):
+        rows = spark.range(n).selectExpr("1L as lane", "id", "1 as weight", "false as head")
+        assert dealt(rows, 16_384).count() == n
+        mutual = spark.range(n).selectExpr("1L as lane", "id", "1 as weight", "id > 2 as head")
+        assert dealt(mutual, 50).count() == n + 3 * (n // 50)
+        assert dealt(spark.range(n).selectExpr("1L as lane", "id", "1 as weight", "true as head"), 50).count() == 0
