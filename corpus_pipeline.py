@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routecover.llm import decontam, gru_langid, kk_packing, line_dedup, simhash_tiles
+from routecover.llm.texts import free_name
 from routecover.runtime import written
 
 #: A text whose bytes are, on average, given less than this probability of its language is rejected.
@@ -29,8 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = docs.where("doc_id is not null")
     if not languages:
         return known.where(F.col("text").rlike(r"\p{L}"))
-    labelled = gru_langid.predict_languages(known, languages, weights, added=("__language", "__score", "__labels"))
-    return labelled.where((F.col("__language") != gru_langid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    found, score, labels = (free_name(docs, n) for n in ("__language", "__score", "__labels"))
+    labelled = gru_langid.predict_languages(known, languages, weights, added=(found, score, labels))
+    return labelled.where((F.col(found) != gru_langid.UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal lines count from one word on, lines one word edit apart from four words on: below that, one edit is a third of a line or more.
     """
-    left = line_dedup.drop_repeated_lines(docs, min_words=1, near_words=4, counts=("__lines", "__removed"))
-    left = left.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    n_lines, removed = (free_name(docs, n) for n in ("__lines", "__removed"))
+    left = line_dedup.drop_repeated_lines(docs, min_words=1, near_words=4, counts=(n_lines, removed))
+    left = left.where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
@@ -54,15 +57,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of several texts with one id each is compared on its own.
     """
     groups = simhash_tiles.near_copy_groups(docs, shingle=5, units=2, radius=36, least=0.8)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_hash").alias("__hash"))
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
-    return marked.join(first, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    own, text = free_name(docs, "__id"), free_name(docs, "__hash")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select(F.col("kept.doc_id").alias(own), F.col("kept.text_hash").alias(text))
+    marked = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(text, F.xxhash64("text"))
+    return marked.join(first, [own, text], "left_semi").dropDuplicates([own, text]).select(*docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item; of several texts with one id only those that hold one go. Rows without an id hold none."""
+    text = free_name(docs, "__hash")
+    marked = docs.withColumn(text, F.xxhash64("text"))
+    place = F.struct(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
+    # Items are sought in each text on its own: a row's place in a written list of (id, text) stands for its id.
+    named = written(marked.select(place.alias("p"), "text").dropDuplicates(["p"]).withColumn("n", F.monotonically_increasing_id()), "passages")
+    found = decontam.contaminated(named.where("p.id is not null").select(F.col("n").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = named.join(found.select(F.col("doc_id").alias("n")).distinct(), "n", "left_semi").select("p.id", F.col("p.text").alias("hash"))
+    return marked.join(gone, F.col("doc_id").cast("long").eqNullSafe(gone["id"]) & F.col(text).eqNullSafe(gone["hash"]), "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
