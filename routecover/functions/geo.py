@@ -127,11 +127,13 @@ def distance_text(metres: ColumnOrName) -> Column:
 
 
 def duration_text(seconds: ColumnOrName) -> Column:
-    """Seconds under a minute, else minutes, else hours and minutes."""
+    """Seconds under a minute, else minutes, else hours and minutes (L12); what is no finite number is written as it is, in seconds."""
     s = col(seconds)
+    unclear = F.isnan(s) | (F.abs(s) == float("inf"))
     hours, minutes = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600.0)) / 60 + 0.5)
     return (
-        F.when(s < 60, F.concat(F.floor(s + 0.5).cast("string"), F.lit(" s")))
+        F.when(unclear, F.concat(s.cast("string"), F.lit(" s")))
+        .when(s < 60, F.concat(F.floor(s + 0.5).cast("string"), F.lit(" s")))
         .when(hours == 0, F.concat(minutes.cast("string"), F.lit(" min")))
         .otherwise(F.concat(hours.cast("string"), F.lit("h "), minutes.cast("string"), F.lit("m")))
     )

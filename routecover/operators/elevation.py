@@ -27,12 +27,24 @@ def parsed_heights(responses: DataFrame) -> DataFrame:
 
 def misses(points: DataFrame, stored: DataFrame) -> DataFrame:
     """Distinct places ``(lng_e7, lat_e7, lng, lat)`` without a stored height."""
-    keyed = points.select(micro("lng", 7).alias("lng_e7"), micro("lat", 7).alias("lat_e7"), "lng", "lat").dropDuplicates(["lng_e7", "lat_e7"])
+    keyed = points.select(micro("lng", 7).alias("lng_e7"), micro("lat", 7).alias("lat_e7"), "lng", "lat")
+    keyed = keyed.groupBy("lng_e7", "lat_e7").agg(F.min(F.struct("lng", "lat")).alias("p")).select("lng_e7", "lat_e7", "p.lng", "p.lat")
     return keyed.join(stored, ["lng_e7", "lat_e7"], "left_anti")
 
 
-def request_batches(missing: DataFrame, size: int = 100, buckets: int = 64) -> DataFrame:
-    """``(bucket, batch, payload)``: places in multipoint requests of at most ``size`` (S8), numbered within hash buckets."""
+def missing_samples(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id")) -> DataFrame:
+    """``(*keys, points, missing)``: points of each route, and those without a stored height, which count as 0 m in climb and time."""
+    return points.groupBy(*keys).agg(F.count("*").alias("points"), F.count(F.when(~F.col("sampled"), 1)).alias("missing"))
+
+
+def bucket_count(missing: DataFrame, per_bucket: int = 50_000) -> int:
+    """Buckets of about ``per_bucket`` places, 64 at least, so that a bucket's numbering is one task's work at any size."""
+    return max(64, -(-missing.count() // per_bucket))
+
+
+def request_batches(missing: DataFrame, size: int = 100, buckets: int | None = None) -> DataFrame:
+    """``(bucket, batch, points, payload)``: places in multipoint requests of at most ``size`` (S8), numbered within hash buckets, as many as the places need."""
+    buckets = buckets or bucket_count(missing)
     bucketed = missing.withColumn("bucket", F.pmod(F.col("lat_e7") + F.col("lng_e7"), F.lit(buckets)).cast("int"))
     order = Window.partitionBy("bucket").orderBy("lat_e7", "lng_e7")
     numbered = bucketed.withColumn("n", F.row_number().over(order) - 1)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-ROADS = "'path','footway','track','bridleway','steps','cycleway','residential','unclassified','tertiary','secondary','primary','service','living_street','pedestrian'"
+from routecover.operators.filters import ROAD_CLASSES, TRAIL_CLASSES
+from routecover.plans.fixtures import CLASSES
+
+quoted = lambda names: ",".join(f"'{n}'" for n in names)
+ROADS = quoted((*TRAIL_CLASSES, *ROAD_CLASSES))
 
 
 def haversine(a: str, b: str, c: str, d: str) -> str:
@@ -12,7 +16,7 @@ def haversine(a: str, b: str, c: str, d: str) -> str:
     return f"(2 * 6371000 * atan2(sqrt({h}), sqrt(1 - {h})))"
 
 
-POINTS = """
+POINTS = f"""
 s1 AS (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem),
 s2 AS (SELECT *, CASE WHEN seq = 1 THEN l_orderkey * 7919 % 40 * 500 ELSE ((l_partkey * 31 + seq * 17) % 41 - 20) * 100 END AS dx,
               CASE WHEN seq = 1 THEN l_orderkey * 104729 % 41 * 500 ELSE ((l_suppkey * 37 + seq * 13) % 41 - 20) * 100 END AS dy FROM s1),
@@ -23,7 +27,7 @@ p AS (SELECT *, xe / 1e6 AS lng, ye / 1e6 AS lat FROM pts),
 seg AS (SELECT * FROM (SELECT area_id, feature_id AS f, seq AS i, lng AS x1, lat AS y1, lead(lng) OVER w AS x2, lead(lat) OVER w AS y2
         FROM p WINDOW w AS (PARTITION BY feature_id ORDER BY seq)) WHERE x2 IS NOT NULL),
 way AS (SELECT o_custkey // 15 AS area_id, o_orderkey AS feature_id,
-               (['path','footway','track','bridleway','steps','cycleway','residential','unclassified','tertiary','secondary','primary','service','living_street','pedestrian','motorway','proposed'])[o_orderkey % 16 + 1] AS highway,
+               ([{quoted(CLASSES)}])[o_orderkey % 16 + 1] AS highway,
                o_orderkey % 5 = 0 AS sidewalk, o_orderkey % 37 = 0 AS is_area, o_orderkey % 41 = 0 AS indoor FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
 """
 LENGTHS = f"""len AS (SELECT f AS feature_id, sum({haversine('y1', 'x1', 'y2', 'x2')}) AS m FROM seg GROUP BY f),
@@ -145,7 +149,7 @@ ORACLES: dict[str, str] = {
     "trail_summary": query(POINTS, LENGTHS, select=f"""SELECT area_id, count(*) FILTER (n > 1) AS trail_count, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS vertex_count, round(sum(coalesce(m, 0)), 3) AS total_m
         FROM way JOIN size USING (feature_id) LEFT JOIN len USING (feature_id) WHERE highway IN ({ROADS}) AND NOT (highway = 'footway' AND sidewalk) AND NOT is_area AND NOT indoor GROUP BY area_id"""),
     "min_length_trails": query(POINTS, LENGTHS, select="""SELECT area_id, feature_id, round(m, 3) AS length_m FROM way JOIN len USING (feature_id)
-        WHERE highway IN ('path','footway','track','bridleway','steps','cycleway') AND NOT is_area AND NOT indoor AND m >= 300"""),
+        WHERE highway IN (TRAILS) AND NOT is_area AND NOT indoor AND m >= 300""".replace("TRAILS", quoted(TRAIL_CLASSES))),
     "trails_in_area": query(POINTS, CORNERS, select="""SELECT DISTINCT seg.area_id, f AS feature_id FROM seg JOIN box USING (area_id) WHERE area_id % 2 = 0 AND
           least(x1, x2) <= west + 0.01 AND greatest(x1, x2) >= west AND least(y1, y2) <= south + 0.01 AND greatest(y1, y2) >= south
         UNION SELECT DISTINCT p.area_id, feature_id FROM p JOIN box USING (area_id) WHERE area_id % 2 = 1 AND n > 1 AND
@@ -187,8 +191,21 @@ ORACLES: dict[str, str] = {
         select="SELECT DISTINCT area_id, point_id, f AS feature_id FROM uu WHERE sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy)) < 20"),
     "elevation_parsed": query(POINTS, HEIGHTS, select="SELECT feature_id AS response_id, seq AS pos, round(elev, 1) AS elev FROM h"),
     "elevation_misses": query(POINTS, HEIGHTS, select="SELECT DISTINCT xe * 10 AS lng_e7, ye * 10 AS lat_e7 FROM h WHERE NOT sampled"),
-    "elevation_batches": query(POINTS, HEIGHTS, select="""SELECT bucket::INTEGER AS bucket, batch::BIGINT AS batch, count(*)::INTEGER AS points FROM (SELECT bucket, (row_number() OVER (PARTITION BY bucket) - 1) // 100 AS batch
-        FROM (SELECT DISTINCT xe, ye, ((xe * 10 + ye * 10) % 64 + 64) % 64 AS bucket FROM h WHERE NOT sampled)) GROUP BY ALL"""),
+    "elevation_batches": query(POINTS, HEIGHTS, select="""SELECT bucket::INTEGER AS bucket, batch::BIGINT AS batch, count(*)::INTEGER AS points,
+        sha256('{"points":[' || string_agg('[' || lng || ',' || lat || ']', ',' ORDER BY ye, xe) || '],"spatialReference":{"wkid":4326}}') AS payload_sha256
+        FROM (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY ye, xe) - 1) // 100 AS batch
+        FROM (SELECT DISTINCT xe, ye, xe / 1e6 AS lng, ye / 1e6 AS lat, ((xe * 10 + ye * 10) % 64 + 64) % 64 AS bucket FROM h WHERE NOT sampled)) GROUP BY ALL"""),
+    "missing_samples": query(POINTS, HEIGHTS, select="SELECT area_id, feature_id AS route_id, count(*) AS points, count(*) FILTER (NOT sampled) AS missing FROM h GROUP BY ALL"),
+    "graph_statistics": query(*NET, COMPONENTS, logical(), """lodd AS (SELECT area_id, count(*) AS odd FROM (SELECT area_id, node, count(DISTINCT other) AS d FROM
+        (SELECT area_id, u AS node, v AS other FROM lge UNION ALL SELECT area_id, v, u FROM lge) GROUP BY area_id, node) WHERE d % 2 = 1 GROUP BY area_id),
+        ln AS (SELECT area_id, count(*) AS nodes FROM nd ANTI JOIN gone USING (area_id, node) GROUP BY area_id), le AS (SELECT area_id, count(*) AS edges, sum(weight) AS m FROM lge GROUP BY area_id),
+        rn AS (SELECT area_id, count(*) AS raw_nodes FROM nd GROUP BY area_id), re AS (SELECT area_id, count(*) AS raw_edges FROM ed GROUP BY area_id), pa AS (SELECT area_id, count(DISTINCT c) AS components FROM lab GROUP BY area_id)""",
+        select="""SELECT area_id, raw_nodes, coalesce(raw_edges, 0) AS raw_edges, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges, coalesce(odd, 0) AS odd, coalesce(components, 0) AS components, round(coalesce(m, 0), 2) AS metres
+        FROM rn LEFT JOIN re USING (area_id) LEFT JOIN ln USING (area_id) LEFT JOIN le USING (area_id) LEFT JOIN lodd USING (area_id) LEFT JOIN pa USING (area_id)"""),
+    "removals_unmatched": query(*NET, select=f"SELECT area_id, 2 * count(DISTINCT {EDGE_ID}) AS listed, count(DISTINCT {EDGE_ID}) AS known FROM ed WHERE f % 97 = 0 GROUP BY area_id"),
+    "restored_selections": query(POINTS, """sv AS (SELECT area_id // 10 AS k, feature_id, max(n) AS n FROM p WHERE n > 1 GROUP BY ALL)""",
+        select="""SELECT 'areas ' || k AS name, count(*) FILTER (k % 2 = 1 OR highway = 'path') AS features, (sum(n) FILTER (k % 2 = 1 OR highway = 'path'))::BIGINT AS vertices,
+        CASE WHEN k % 2 = 1 THEN count(*) FILTER (feature_id % 97 = 0) ELSE 0 END AS removals FROM sv JOIN way USING (feature_id) WHERE k % 5 <> 4 GROUP BY k HAVING features > 0"""),
     "elevation_joined": query(POINTS, HEIGHTS, select="SELECT area_id, feature_id AS route_id, seq, round(elev, 3) AS elev, sampled FROM h"),
     "elevation_profile": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(elev, 3) AS elev, round(dist, 3) AS dist FROM pf"),
     "smoothed_profile": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(avg(elev) OVER (PARTITION BY feature_id ORDER BY dist RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING), 3) AS smooth FROM pf"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from routecover.functions import geo
 from routecover.operators import edits, elevation, euler, filters, matching, network, paths, proximity, route, windy
 from routecover.operators.costs import edge_metrics
 from routecover.operators.crossings import crossings
+from routecover.operators.prune import graph_statistics as prune_statistics
 from routecover.operators.prune import prune
 from routecover.plans import fixtures
 from routecover.plans.oracles import ORACLES as ORACLES
-from routecover.runtime import settled
+from routecover.runtime import settled, shared_folder
 from routecover.sources import stores, ways
 
 FLAGSHIP = "trail_summary"
@@ -185,7 +187,44 @@ def elevation_misses(spark, sf_dir):
 
 def elevation_batches(spark, sf_dir):
     m = elevation.misses(elevation.route_points(lines(spark, sf_dir)), stored_heights(spark, sf_dir))
-    return elevation.request_batches(m).select("bucket", "batch", "points")
+    return elevation.request_batches(m, buckets=64).select("bucket", "batch", "points", F.sha2("payload", 256).alias("payload_sha256"))
+
+
+def missing_samples(spark, sf_dir):
+    """Points of every way, and those without a stored height."""
+    return elevation.missing_samples(heighted(spark, sf_dir))
+
+
+def graph_statistics(spark, sf_dir):
+    """Raw and logical nodes and edges, odd nodes, components and metres of every area."""
+    g = raw_graph(spark, sf_dir)
+    return prune_statistics(g, prune(g)).withColumn("metres", F.round("metres", 2))
+
+
+def removals_unmatched(spark, sf_dir):
+    """Of a log with ids of no edge among them, the ids listed and known in every area."""
+    g = raw_graph(spark, sf_dir)
+    log = removals(spark, sf_dir, g).select("area_id", "edge_id")
+    other = log.select("area_id", F.concat("edge_id", F.lit("#")).alias("edge_id"))
+    report = edits.removal_report(g, log.unionByName(other))
+    return report.groupBy("area_id").agg(F.count("*").alias("listed"), F.count(F.when(F.col("known"), 1)).alias("known"))
+
+
+def restored_selections(spark, sf_dir):
+    """Selections of ten areas each: all saved, the even ones replaced by their paths alone, every fifth deleted; then the features and removals loaded."""
+    path = f"{shared_folder(spark)}/selections-{uuid.uuid4().hex}"
+    name = F.concat(F.lit(" areas "), F.expr("area_id div 10").cast("string"), F.lit(" "))
+    f = settled(lines(spark, sf_dir).withColumn("name", name))
+    gone = f.where("feature_id % 97 = 0").select("name", (F.col("feature_id") % 3).alias("batch_no"), F.col("feature_id").cast("string").alias("edge_id"))
+    saved = f.select("name").distinct().withColumn("saved_at", F.lit(1))
+    number = F.expr("cast(split(trim(name), ' ')[1] as int)")
+    stores.replace_selections(f, gone, saved, path)
+    even = saved.where(number % 2 == 0).withColumn("saved_at", F.lit(2))
+    stores.replace_selections(f.where(F.col("properties")["highway"] == "path"), gone.limit(0), even, path)
+    stores.delete_selections(saved.where(number % 5 == 4).select("name"), path)
+    features, listed = stores.load_selections(spark, path)
+    n = features.groupBy("name").agg(F.count("*").alias("features"), F.sum(F.size("coords")).alias("vertices"))
+    return n.join(listed.groupBy("name").agg(F.count("*").alias("removals")), "name", "left").na.fill(0)
 
 
 def elevation_joined(spark, sf_dir):
@@ -408,8 +447,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         trail_summary, trails_in_area, min_length_trails, segments_flat, crossings_first_pair, crossings_all, raw_nodes, raw_edges, adjacency_min,
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
-        undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches,
-        elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
+        undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches, missing_samples,
+        graph_statistics, removals_unmatched, restored_selections, elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
         nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, covering_route_elevation,
         covering_route_time, windy_model, windy_constraints, windy_from_solution, directed_circuit, saved_selections,
     )

@@ -18,6 +18,39 @@ def append_heights(spark: SparkSession, path: str, new: DataFrame) -> None:
     fresh.write.mode("append").parquet(path)
 
 
+SELECTION = ("kind", "saved_at", "feature", "batch_no", "edge_id")
+
+
+def replace_selections(features: DataFrame, removals: DataFrame, saved: DataFrame, path: str) -> None:
+    """Save selections ``saved(name, saved_at)`` with their ``features(name, ...)`` and ``removals(name, batch_no, edge_id)``; a name saved before is replaced whole, other names stay.
+
+    A selection is one partition with a row that tells of the save, so an empty one replaces too. Names are trimmed; rows without a name, or of a name
+    that isn't saved, are left out.
+    """
+    named = lambda df: df.withColumn("name", F.trim("name")).where("name != ''")
+    names = named(saved).select("name", "saved_at")
+    held = named(features).join(names.select("name").distinct(), "name", "left_semi")
+    kept = held.select("name", F.lit("feature").alias("kind"), F.struct(*(c for c in held.columns if c != "name")).alias("feature"))
+    gone = named(removals).join(names.select("name").distinct(), "name", "left_semi").select("name", F.lit("removal").alias("kind"), "batch_no", "edge_id")
+    rows = names.select("name", F.lit("saved").alias("kind"), "saved_at").unionByName(kept, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+    rows.select("name", *SELECTION).write.partitionBy("name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def delete_selections(names: DataFrame, path: str) -> None:
+    """Replace the selections ``names(name)`` by a row that tells of their deletion."""
+    spark = names.sparkSession
+    gone = names.select(F.trim("name").alias("name"), F.lit("deleted").alias("kind")).where("name != ''").distinct()
+    like = spark.read.parquet(path).limit(0)
+    like.unionByName(gone, allowMissingColumns=True).select("name", *SELECTION).write.partitionBy("name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def load_selections(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(name, ...features)`` and ``(name, batch_no, edge_id)`` of the saved selections, of ``names`` alone if given: only their partitions are read. Connectors are not part of a selection."""
+    rows = spark.read.parquet(path).withColumn("name", F.col("name").cast("string"))
+    rows = rows if names is None else rows.where(F.col("name").isin(*(n.strip() for n in names)))
+    return rows.where("kind = 'feature'").select("name", "feature.*"), rows.where("kind = 'removal'").select("name", "batch_no", "edge_id")
+
+
 def save_selections(new: DataFrame, path: str) -> None:
     """Append ``(name, saved_at, ...)`` under trimmed names; rows without a name are left out."""
     new.withColumn("name", F.trim("name")).where("name != ''").write.mode("append").parquet(path)
