@@ -206,6 +206,14 @@ ORACLES: dict[str, str] = {
     "restored_selections": query(POINTS, """sv AS (SELECT area_id // 10 AS k, feature_id, max(n) AS n FROM p WHERE n > 1 GROUP BY ALL)""",
         select="""SELECT 'areas ' || k AS name, count(*) FILTER (k % 2 = 1 OR highway = 'path') AS features, (sum(n) FILTER (k % 2 = 1 OR highway = 'path'))::BIGINT AS vertices,
         CASE WHEN k % 2 = 1 THEN count(*) FILTER (feature_id % 97 = 0) ELSE 0 END AS removals FROM sv JOIN way USING (feature_id) WHERE k % 5 <> 4 GROUP BY k HAVING features > 0"""),
+    "ways_read": query(POINTS, select="""SELECT p.area_id, feature_id, CASE WHEN count(*) > 1 THEN 'LineString' ELSE 'Point' END AS geom_type, count(*)::INTEGER AS vertices, any_value(highway) AS highway,
+        arg_min(xe, seq) AS lng_first, arg_min(ye, seq) AS lat_first, arg_max(xe, seq) AS lng_last, arg_max(ye, seq) AS lat_last
+        FROM p JOIN way USING (feature_id) WHERE feature_id % 29 <> 0 AND feature_id % 31 <> 0 AND feature_id % 43 <> 0 GROUP BY p.area_id, feature_id"""),
+    "ways_rejected": query(POINTS, select="""SELECT reason, count(*) AS lines FROM (SELECT CASE WHEN feature_id % 29 = 0 THEN 'malformed' WHEN feature_id % 31 = 0 THEN 'no area or id' WHEN feature_id % 43 = 0 THEN 'other' END AS reason FROM way)
+        WHERE reason IS NOT NULL GROUP BY reason"""),
+    "geojson_round_trip": query(*NET, select=f"SELECT area_id, {EDGE_ID} AS edge_id, u, v, round(weight, 3) AS weight FROM ed"),
+    "height_store": query(POINTS, """hs AS (SELECT DISTINCT xe * 10 AS lng_e7, ye * 10 AS lat_e7, 1500 + (ye * 7 - xe * 3) % 997 / 10.0 AS elev, ((xe // 100 + ye // 100) % 3 + 3) % 3 AS third FROM p WHERE (ye - xe) % 31 <> 0)""",
+        select="SELECT lng_e7, lat_e7, round((elev + CASE WHEN third = 0 THEN 100 ELSE 0 END)::DOUBLE, 1) AS elev, 1::BIGINT AS rows FROM hs"),
     "elevation_joined": query(POINTS, HEIGHTS, select="SELECT area_id, feature_id AS route_id, seq, round(elev, 3) AS elev, sampled FROM h"),
     "elevation_profile": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(elev, 3) AS elev, round(dist, 3) AS dist FROM pf"),
     "smoothed_profile": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(avg(elev) OVER (PARTITION BY feature_id ORDER BY dist RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING), 3) AS smooth FROM pf"),

@@ -442,6 +442,67 @@ def saved_selections(spark, sf_dir):
     return stores.latest_selections(e)
 
 
+def written_lines(lines: DataFrame, name: str) -> DataFrame:
+    """``lines(line)`` written as text files and read again."""
+    path = f"{shared_folder(lines.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return ways.read_lines(lines.sparkSession, path)
+
+
+def way_texts(spark, sf_dir):
+    """Every way as a line of text; one in 29 is cut short, one in 31 has no area, one in 43 is a relation."""
+    f = fixtures.features(spark, sf_dir)
+    key = F.col("feature_id")
+    body = F.to_json(F.struct(
+        F.when(key % 31 != 0, F.col("area_id")).alias("area_id"), F.when(key % 43 == 0, "relation").otherwise("way").alias("type"), key.alias("id"), F.col("properties").alias("tags"),
+        F.transform("coords", lambda c: F.struct(c["lat"].alias("lat"), c["lng"].alias("lon"))).alias("geometry"),
+    ))
+    cut_short = F.expr("substring(body, 1, length(body) - 3)")
+    return written_lines(f.withColumn("body", body).select(F.when(key % 29 == 0, cut_short).otherwise(F.col("body")).alias("line")), "ways")
+
+
+def ways_read(spark, sf_dir):
+    """The ways read from lines of text: their class, vertices, and first and last vertex."""
+    f, _ = ways.way_lines(way_texts(spark, sf_dir))
+    place = lambda i, c: geo.micro(F.get("coords", i)[c]).alias(f"{c}_first" if isinstance(i, int) else f"{c}_last")
+    last = F.size("coords") - 1
+    return f.select("area_id", "feature_id", "geom_type", F.size("coords").alias("vertices"), F.col("properties")["highway"].alias("highway"), place(0, "lng"), place(0, "lat"), place(last, "lng"), place(last, "lat"))
+
+
+def ways_rejected(spark, sf_dir):
+    """Lines of text that are no usable way, by reason."""
+    _, rejected = ways.way_lines(way_texts(spark, sf_dir))
+    return rejected.groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+def geojson_round_trip(spark, sf_dir):
+    """The raw edges written as features, a line each, and read back: ids, ends and metres, and the lines refused."""
+    lines_read = written_lines(ways.edge_lines(network.build_graph(fixtures.features(spark, sf_dir)).edges), "features")
+    f, rejected = ways.feature_lines(lines_read)
+    end = lambda i, name: geo.node_id(geo.micro(F.get("coords", F.lit(i))["lng"]), geo.micro(F.get("coords", F.lit(i))["lat"])).alias(name)
+    read = f.select("area_id", F.col("feature_id").alias("edge_id"), end(0, "u"), end(1, "v"), F.round(F.col("properties")["weight"].cast("double"), 3).alias("weight"))
+    refused = rejected.select(F.lit(None).cast("long").alias("area_id"), F.col("reason").alias("edge_id"))
+    return read.unionByName(refused, allowMissingColumns=True)
+
+
+def height_store(spark, sf_dir):
+    """A height store after two writers who both began with it empty and overlap, a third who adds what is left, and compaction: one height a place, of the earliest save."""
+    path = f"{shared_folder(spark)}/heights-{uuid.uuid4().hex}"
+    all_heights = settled(stored_heights(spark, sf_dir))
+    third = F.expr("pmod(lng_e7 div 1000 + lat_e7 div 1000, 3)")
+    later = lambda by: (F.col("elev") + by).alias("elev")
+    begun = [f"{path}-{n}" for n in (1, 2)]
+    stores.add_heights(spark, begun[0], all_heights.where(third != 0), 1)
+    stores.add_heights(spark, begun[1], all_heights.where(third != 1).select("lng_e7", "lat_e7", later(100)), 2)
+    # Both wrote without seeing the other's rows: the files of both lie in one store.
+    for rows in begun:
+        spark.read.schema(stores.STORED).parquet(rows).write.partitionBy("tile").mode("append").parquet(path)
+    stores.add_heights(spark, path, all_heights.select("lng_e7", "lat_e7", later(200)), 3)
+    stores.compact_heights(spark, path)
+    rows = spark.read.schema(stores.STORED).parquet(path).groupBy("lng_e7", "lat_e7").agg(F.count("*").alias("rows"))
+    return stores.read_heights(spark, path).join(rows, ["lng_e7", "lat_e7"]).select("lng_e7", "lat_e7", F.round("elev", 1).alias("elev"), "rows")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -451,5 +512,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         graph_statistics, removals_unmatched, restored_selections, elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
         nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, covering_route_elevation,
         covering_route_time, windy_model, windy_constraints, windy_from_solution, directed_circuit, saved_selections,
+        ways_read, ways_rejected, geojson_round_trip, height_store,
     )
 }
