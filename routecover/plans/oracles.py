@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from routecover.operators.filters import ROAD_CLASSES, TRAIL_CLASSES
 from routecover.plans.fixtures import CLASSES
 
@@ -125,6 +127,25 @@ lge AS (SELECT area_id, min(other) FILTER (NOT inside) AS u, max(other) FILTER (
         UNION ALL SELECT area_id, u, v, weight, 2, NULL FROM adj a ANTI JOIN gone x ON x.area_id = a.area_id AND x.node = a.u ANTI JOIN gone y ON y.area_id = a.area_id AND y.node = a.v WHERE a.u < a.v)"""
 
 
+def removals_in_order(positions: int) -> str:
+    """SQL for the edges left when the first logical ids of each area go one after the other, raw edges after the first; each step contracts the edges that are left anew."""
+    own = r"\b(adj|deg|ords|inr|ia|chl|anc|chn|kp|gone|ga|gl|runs|lge)\b(?=[ ,.);\n]|$)"
+    parts = [*NET, logical(), f"want AS (SELECT area_id, edge_id, row_number() OVER (PARTITION BY area_id ORDER BY edge_id) AS n FROM (SELECT *, {EDGE_ID} AS edge_id FROM lge))"]
+    for k in range(1, positions + 1):
+        n, before = (str(k), str(k - 1)) if k > 1 else ("", "")
+        if k > 1:
+            raw = "AND NOT EXISTS (SELECT 1 FROM ed r WHERE r.f % 97 = 0 AND r.area_id = o.area_id AND least(r.u, r.v) = least(o.u, o.v) AND greatest(r.u, r.v) = greatest(o.u, o.v))" if k == 2 else ""
+            before = before if k > 2 else ""
+            parts.append(f"""ed{n} AS (SELECT o.* FROM ed{before} o WHERE NOT EXISTS (SELECT 1 FROM hit{before}x h WHERE h.area_id = o.area_id AND h.f = o.f AND h.i = o.i AND h.j = o.j) {raw}),
+            adj{n} AS (SELECT area_id, u, v, min(weight) AS weight FROM (SELECT area_id, u, v, weight FROM ed{n} UNION ALL SELECT area_id, v, u, weight FROM ed{n}) GROUP BY area_id, u, v),
+            deg{n} AS (SELECT area_id, u AS node, count(*) AS degree FROM adj{n} GROUP BY area_id, u)""")
+            parts.append(re.sub(own, rf"\g<1>{n}", logical()))
+        parts.append(f"""pick{n} AS (SELECT l.* FROM (SELECT *, {EDGE_ID} AS edge_id FROM lge{n}) l JOIN want w ON w.area_id = l.area_id AND w.edge_id = l.edge_id AND w.n = {k}),
+        onp{n} AS (SELECT area_id, u AS node FROM pick{n} UNION SELECT area_id, v FROM pick{n} UNION SELECT g.area_id, node FROM pick{n} x JOIN gl{n} g ON g.area_id = x.area_id AND g.c = x.c),
+        hit{n}x AS (SELECT e.area_id, f, i, j FROM ed{n} e JOIN onp{n} a ON a.area_id = e.area_id AND a.node = e.u JOIN onp{n} b ON b.area_id = e.area_id AND b.node = e.v)""")
+    return query(*parts, select=f"SELECT area_id, count(*) AS edges, round(sum(weight), 2) AS metres FROM ed{n} ANTI JOIN hit{n}x USING (area_id, f, i, j) GROUP BY area_id")
+
+
 DISTANCES = """dd AS (
   WITH RECURSIVE r(area_id, node, d) USING KEY (area_id, node) AS (
     SELECT area_id, node, 0e0 FROM st
@@ -245,6 +266,7 @@ ORACLES: dict[str, str] = {
         onp AS (SELECT area_id, u AS node FROM pick UNION SELECT area_id, v FROM pick UNION SELECT gl.area_id, node FROM pick JOIN gl ON gl.area_id = pick.area_id AND gl.c = pick.c),
         hite AS (SELECT ed.area_id, f, i, j FROM ed JOIN onp a ON a.area_id = ed.area_id AND a.node = ed.u JOIN onp b ON b.area_id = ed.area_id AND b.node = ed.v)""",
         select="SELECT area_id, count(*) AS edges FROM ed ANTI JOIN hite USING (area_id, f, i, j) GROUP BY area_id"),
+    "removals_in_order": removals_in_order(3),
     "shortest_paths": query(*NET, STARTS, logical("st"), DISTANCES, select="SELECT area_id, node, round(d, 2) AS dist FROM dd ANTI JOIN gone USING (area_id, node)"),
     "odd_pairs": query(*NET, select="SELECT area_id, count(*) AS odd, count(*) AS paired, 0::BIGINT AS uneven, true AS bounded FROM deg WHERE degree % 2 = 1 GROUP BY area_id"),
     "covering_route_distance": covering(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routecover.functions import geo
@@ -55,8 +55,6 @@ def removals(spark: SparkSession, sf_dir: str, graph: network.Graph) -> DataFram
 
 
 def connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     f = lines(spark, sf_dir)
     after = F.lead(F.element_at("coords", 1)).over(Window.partitionBy("area_id").orderBy("feature_ord"))
     c = f.withColumn("to", after).where((F.col("feature_id") % 53 == 0) & F.col("to").isNotNull())
@@ -165,6 +163,18 @@ def logical_removal(spark, sf_dir):
     return edits.replay(g, log, prune).edges.groupBy("area_id").agg(F.count("*").alias("edges"))
 
 
+def removals_in_order(spark, sf_dir):
+    """Edges and metres left after a log of each area's first logical edge, raw edges, and its second and third logical edge as they were at first."""
+    g = raw_graph(spark, sf_dir)
+    g = network.Graph(settled(g.nodes), settled(g.edges))
+    order = Window.partitionBy("area_id").orderBy("edge_id")
+    ranked = edits.with_ids(prune(g).edges).select("area_id", "edge_id").withColumn("n", F.row_number().over(order)).where("n <= 3")
+    log = ranked.select("area_id", F.when(F.col("n") == 1, 0).otherwise(2).alias("batch_no"), F.col("n").cast("long").alias("ord"), "edge_id")
+    raw = removals(spark, sf_dir, g).select("area_id", F.lit(1).alias("batch_no"), F.lit(0).cast("long").alias("ord"), "edge_id")
+    left = edits.replay(g, settled(log.unionByName(raw)), prune)
+    return left.edges.groupBy("area_id").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 2).alias("metres"))
+
+
 def snap_nearest_node(spark, sf_dir):
     f = lines(spark, sf_dir)
     v = f.select("area_id", "feature_ord", F.posexplode("coords").alias("i", "c")).select("area_id", F.struct("feature_ord", "i").alias("node_ord"), geo.node_id(geo.micro("c.lng"), geo.micro("c.lat")).alias("node"), "c.lng", "c.lat")
@@ -512,6 +522,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         graph_statistics, removals_unmatched, restored_selections, elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
         nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, covering_route_elevation,
         covering_route_time, windy_model, windy_constraints, windy_from_solution, directed_circuit, saved_selections,
-        ways_read, ways_rejected, geojson_round_trip, height_store,
+        ways_read, ways_rejected, geojson_round_trip, height_store, removals_in_order,
     )
 }
