@@ -146,6 +146,17 @@ def removals_in_order(positions: int) -> str:
     return query(*parts, select=f"SELECT area_id, count(*) AS edges, round(sum(weight), 2) AS metres FROM ed{n} ANTI JOIN hit{n}x USING (area_id, f, i, j) GROUP BY area_id")
 
 
+#: ``lgp(area_id, u, v, pts)``: the points of every logical edge from its lesser end, each raw edge the shortest of its pair.
+LOGICAL_POINTS = """ae AS (SELECT area_id, u, v, arg_min({'ax': xa, 'ay': ya, 'bx': xb, 'by': yb}, (weight, f, i, j)) AS e
+  FROM (SELECT area_id, u, v, weight, f, i, j, xa, ya, xb, yb FROM ed UNION ALL SELECT area_id, v, u, weight, f, i, j, xb, yb, xa, ya FROM ed) GROUP BY area_id, u, v),
+wk AS (
+  WITH RECURSIVE w(area_id, u, c, prev, node, pts) AS (
+    SELECT l.area_id, l.u, l.c, l.u, r.node, [[e.ax, e.ay], [e.bx, e.by]] FROM lge l JOIN runs r ON r.area_id = l.area_id AND r.c = l.c AND r.other = l.u AND NOT r.inside JOIN ae ON ae.area_id = l.area_id AND ae.u = l.u AND ae.v = r.node
+    UNION ALL SELECT w.area_id, w.u, w.c, w.node, ae.v, list_append(w.pts, [e.bx, e.by]) FROM w JOIN gone g ON g.area_id = w.area_id AND g.node = w.node JOIN ae ON ae.area_id = w.area_id AND ae.u = w.node AND ae.v <> w.prev
+  ) SELECT * FROM w ANTI JOIN gone USING (area_id, node)),
+lgp AS (SELECT area_id, u, node AS v, pts FROM wk UNION ALL SELECT l.area_id, l.u, l.v, [[e.ax, e.ay], [e.bx, e.by]] FROM lge l JOIN ae ON ae.area_id = l.area_id AND ae.u = l.u AND ae.v = l.v WHERE l.c IS NULL)"""
+
+
 DISTANCES = """dd AS (
   WITH RECURSIVE r(area_id, node, d) USING KEY (area_id, node) AS (
     SELECT area_id, node, 0e0 FROM st
@@ -266,6 +277,8 @@ ORACLES: dict[str, str] = {
         onp AS (SELECT area_id, u AS node FROM pick UNION SELECT area_id, v FROM pick UNION SELECT gl.area_id, node FROM pick JOIN gl ON gl.area_id = pick.area_id AND gl.c = pick.c),
         hite AS (SELECT ed.area_id, f, i, j FROM ed JOIN onp a ON a.area_id = ed.area_id AND a.node = ed.u JOIN onp b ON b.area_id = ed.area_id AND b.node = ed.v)""",
         select="SELECT area_id, count(*) AS edges FROM ed ANTI JOIN hite USING (area_id, f, i, j) GROUP BY area_id"),
+    "pruned_geojson": query(*NET, logical(), LOGICAL_POINTS, select=f"""SELECT area_id, concat('{{"type":"Feature","id":"', {EDGE_ID}, '","geometry":{{"type":"LineString","coordinates":[',
+        array_to_string(list_transform(pts, lambda p: '[' || p[1] || ',' || p[2] || ']'), ','), ']}},"properties":{{}}}}') AS feature FROM lgp"""),
     "removals_in_order": removals_in_order(3),
     "shortest_paths": query(*NET, STARTS, logical("st"), DISTANCES, select="SELECT area_id, node, round(d, 2) AS dist FROM dd ANTI JOIN gone USING (area_id, node)"),
     "odd_pairs": query(*NET, select="SELECT area_id, count(*) AS odd, count(*) AS paired, 0::BIGINT AS uneven, true AS bounded FROM deg WHERE degree % 2 = 1 GROUP BY area_id"),
