@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from routecover.functions.geo import between, haversine, micro
 from routecover.functions.terrain import SMOOTHING_M, gain_and_loss, step_seconds
+from routecover.operators.scans import scanned
 
 RESPONSE = "results array<struct<value:string>>, value string"
 
@@ -75,27 +76,68 @@ def smoothed(profiled: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id"
     return profiled.withColumn("smooth", F.avg("elev").over(near))
 
 
+def profile_in_slices(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id")) -> DataFrame:
+    """:func:`profile` for routes of any length: steps and distances over range partitions, so no task holds a whole route."""
+    before = scanned(points, keys, ["seq"], previous={"__lat": "lat", "__lng": "lng"})
+    stepped = before.withColumn("step", F.coalesce(haversine("__lat", "__lng", "lat", "lng"), F.lit(0.0))).drop("__lat", "__lng")
+    return scanned(stepped, keys, ["seq"], sums={"dist": F.col("step")})
+
+
+def smoothed_in_stretches(profiled: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id"), window_m: int = SMOOTHING_M, stretch_m: int | None = None) -> DataFrame:
+    """:func:`smoothed` for routes of any length: each stretch of ``stretch_m`` metres (64 windows) is a group, with the rows up to half a window beyond its ends.
+
+    A row is sent to the stretches its window can reach, about one in 64 twice; only a stretch's own rows are returned. A task's work is set by
+    the points in a stretch, not by the route.
+    """
+    half, width = window_m // 2, stretch_m or 64 * max(window_m, 1)
+    cell = lambda d: F.floor(d / width)
+    reach = half + 1  # a metre more than the window, against rounding at the ends of stretches
+    laid = profiled.withColumn("__stretch", F.explode(F.sequence(cell(F.col("dist") - reach), cell(F.col("dist") + reach))))
+    near = Window.partitionBy(*keys, "__stretch").orderBy("dist").rangeBetween(-half, half)
+    return laid.withColumn("smooth", F.avg("elev").over(near)).where(F.col("__stretch") == cell(F.col("dist"))).drop("__stretch")
+
+
 def climb(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id")) -> DataFrame:
-    """Ascent and descent per route, from raw heights in order."""
+    """Ascent and descent per route, from raw heights in order; a route's heights are one array."""
     raw = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "elev"))).alias("h"))
     return raw.withColumn("g", gain_and_loss(F.col("h.elev"))).select(*keys, "g.ascent", "g.descent")
 
 
-def travel_times(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id")) -> DataFrame:
-    """Seconds along each route and back, by smoothed grade (G7, G8), and its metres."""
-    order = Window.partitionBy(*keys).orderBy("seq")
-    steps = smoothed(profile(points, keys), keys).withColumn("rise", F.col("smooth") - F.lag("smooth").over(order)).where("rise is not null")
-    return steps.groupBy(*keys).agg(
+def travel_times(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id"), long_routes: bool = False) -> DataFrame:
+    """Seconds along each route and back, by smoothed grade (G7, G8), and its metres.
+
+    ``long_routes`` takes routes apart into slices and stretches: the same times in more shuffles, for routes that one task can't hold.
+    """
+    if long_routes:
+        level = smoothed_in_stretches(profile_in_slices(points, keys), keys)
+        steps = scanned(level, keys, ["seq"], previous={"__before": "smooth"}).withColumn("rise", F.col("smooth") - F.col("__before"))
+    else:
+        order = Window.partitionBy(*keys).orderBy("seq")
+        steps = smoothed(profile(points, keys), keys).withColumn("rise", F.col("smooth") - F.lag("smooth").over(order))
+    return steps.where("rise is not null").groupBy(*keys).agg(
         F.sum("step").alias("length"), F.sum(step_seconds(F.col("step"), F.col("rise"))).alias("forward"), F.sum(step_seconds(F.col("step"), F.col("rise"), -1)).alias("reverse")
     )
 
 
-def route_metrics(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id")) -> DataFrame:
+def route_metrics(points: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id"), long_routes: bool = False) -> DataFrame:
     """Ascent and descent from raw heights, seconds from smoothed ones (G8); a route of one point takes no time."""
-    times = travel_times(points, keys).select(*keys, F.col("forward").alias("seconds"))
+    times = travel_times(points, keys, long_routes).select(*keys, F.col("forward").alias("seconds"))
     return climb(points, keys).join(times, list(keys), "left").withColumn("seconds", F.coalesce("seconds", F.lit(0.0)))
 
 
+def preferred_metrics(points: DataFrame, modelled: DataFrame, keys: tuple[str, ...] = ("area_id", "route_id"), long_routes: bool = False) -> DataFrame:
+    """``modelled(*keys, ascent, descent, seconds)`` with the measured values in their place where every height is known (G8), and ``measured``.
+
+    A route is measured if it has over one point and each of them was ``sampled``. A measured route that isn't modelled is left out.
+    """
+    counts = missing_samples(points, keys)
+    known = points.join(counts.where("points > 1 and missing = 0").select(*keys), list(keys), "left_semi")
+    found = route_metrics(known, keys, long_routes).select(*keys, F.struct("ascent", "descent", "seconds").alias("m"))
+    both = modelled.join(found, list(keys), "left")
+    values = (F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(c)).alias(c) for c in ("ascent", "descent", "seconds"))
+    return both.select(*keys, *values, F.col("m").isNotNull().alias("measured"))
+
+
 def profile_extent(profiled: DataFrame) -> DataFrame:
     """Per route the least and greatest height, the length, and five height and six distance ticks."""
     e = profiled.groupBy("area_id", "route_id").agg(F.min("elev").alias("low"), F.max("elev").alias("high"), F.max("dist").alias("length"))

@@ -249,6 +249,10 @@ ORACLES: dict[str, str] = {
     "elevation_joined": query(POINTS, HEIGHTS, select="SELECT area_id, feature_id AS route_id, seq, round(elev, 3) AS elev, sampled FROM h"),
     "elevation_profile": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(elev, 3) AS elev, round(dist, 3) AS dist FROM pf"),
     "smoothed_profile": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(avg(elev) OVER (PARTITION BY feature_id ORDER BY dist RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING), 3) AS smooth FROM pf"),
+    "smoothed_stretches": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, seq, round(avg(elev) OVER (PARTITION BY feature_id ORDER BY dist RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING), 3) AS smooth FROM pf"),
+    "preferred_metrics": query(POINTS, HEIGHTS, PROFILE, CLIMB, TIMES, "kn AS (SELECT area_id, feature_id, bool_and(sampled) AS known FROM h GROUP BY area_id, feature_id)",
+        select="""SELECT area_id, feature_id AS route_id, round(CASE WHEN known THEN g.a ELSE 0 END, 3) AS ascent, round(CASE WHEN known THEN g.d ELSE 0 END, 3) AS descent,
+        round(CASE WHEN known THEN forward ELSE length / (6 * exp(-3.5 * 0.05) / 3.6) END, 3) AS seconds, known AS measured FROM tm JOIN cl USING (area_id, feature_id) JOIN kn USING (area_id, feature_id)"""),
     "profile_extent": query(POINTS, HEIGHTS, PROFILE, select="SELECT area_id, feature_id AS route_id, round(min(elev), 3) AS low, round(max(elev), 3) AS high, round(max(dist), 3) AS length, round(max(dist) * 2 / 5, 3) AS tick_3 FROM pf GROUP BY area_id, feature_id"),
     "elevation_gain_loss": query(POINTS, HEIGHTS, CLIMB, select="SELECT area_id, feature_id AS route_id, round(g.a, 3) AS ascent, round(g.d, 3) AS descent FROM cl"),
     "edge_costs": query(POINTS, HEIGHTS, PROFILE, CLIMB, TIMES, select="SELECT area_id, feature_id, round(length, 3) AS length, round(g.a, 3) AS ascent, round(g.d, 3) AS descent, round(forward, 3) AS forward, round(reverse, 3) AS reverse FROM tm JOIN cl USING (area_id, feature_id)"),

@@ -269,6 +269,20 @@ def route_metrics(spark, sf_dir):
     return elevation.route_metrics(heighted(spark, sf_dir)).select("area_id", "route_id", metres("ascent"), metres("descent"), metres("seconds"))
 
 
+def smoothed_stretches(spark, sf_dir):
+    """Smoothed heights of all routes, taken apart into slices and stretches of a kilometre."""
+    p = elevation.profile_in_slices(heighted(spark, sf_dir))
+    return elevation.smoothed_in_stretches(p, window_m=400, stretch_m=1000).select("area_id", "route_id", "seq", metres("smooth"))
+
+
+def preferred_metrics(spark, sf_dir):
+    """Measured climb and seconds of routes whose heights are all stored, else those of level ground; by slices and stretches."""
+    points = settled(heighted(spark, sf_dir))
+    flat = elevation.route_metrics(points.withColumn("elev", F.lit(0.0)))
+    m = elevation.preferred_metrics(points, flat, long_routes=True)
+    return m.select("area_id", "route_id", metres("ascent"), metres("descent"), metres("seconds"), "measured")
+
+
 def asked_distances(spark, sf_dir):
     p = elevation.route_points(lines(spark, sf_dir))
     r = p.select("area_id", "route_id").distinct()
@@ -520,6 +534,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         odd_degree_nodes, degree_histogram, area_graph_totals, components, component_warning, pruned_graph, pruned_geojson, edges_after_removals,
         undo_last_batch, connectors_added, logical_removal, snap_nearest_node, features_within, elevation_parsed, elevation_misses, elevation_batches, missing_samples,
         graph_statistics, removals_unmatched, restored_selections, elevation_joined, elevation_profile, smoothed_profile, profile_extent, elevation_gain_loss, edge_costs, route_metrics, position_at_distance,
+        smoothed_stretches, preferred_metrics,
         nearest_profile_point, route_gpx, display_strings, shortest_paths, route_segments, route_coords, euler_doubled, odd_pairs, covering_route_distance, covering_route_elevation,
         covering_route_time, windy_model, windy_constraints, windy_from_solution, directed_circuit, saved_selections,
         ways_read, ways_rejected, geojson_round_trip, height_store, removals_in_order,
