@@ -2,8 +2,8 @@
 
 Windows are routed to shards by their smallest word gram, so equal windows meet in one shard and every document is
 streamed only past shards that can know it. A shard lays its distinct pieces of text out in document order, builds
-an FM-index over a wavelet matrix of packed bits, and searches every window backwards; the interval
-of a window names all its occurrences, and the least position in it the earliest.
+an FM-index over a wavelet matrix of packed bits, and searches every window of the streamed pieces backwards; the
+interval of a window names all its occurrences, and the least position in it the earliest. Equal pieces are searched once.
 """
 
 from __future__ import annotations
@@ -93,11 +93,12 @@ def _reversed_bits(x: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def earlier_windows(pieces: list[list[bytes]], window: int) -> list[np.ndarray]:
-    """For every piece, in the order of their places, the starts of windows that also start earlier in some piece.
+def first_places(pieces: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(bases, starts, first)``: where each piece begins in the indexed text, where each window does, and where the same words first stand.
 
-    The matching statistic of a window's end is at least ``window`` exactly if its interval is not empty after that many backward
-    steps; it holds at least the window itself, so a search stops once nothing else is left.
+    All windows of all pieces are searched backwards at once. The matching statistic of a window's end is at least ``window`` exactly
+    if its interval is not empty after that many steps; the least place in the interval is the first. An indexed piece finds itself at
+    least, so a search ends once its own place is the only one left.
     """
     numbers: dict[bytes, int] = {}
     text = np.fromiter((numbers.setdefault(w, len(numbers) + 1) if w is not None else 0 for p in pieces for w in (*p, None)), np.int64)
@@ -106,30 +107,66 @@ def earlier_windows(pieces: list[list[bytes]], window: int) -> list[np.ndarray]:
     bases = np.cumsum(sizes + 1) - (sizes + 1)
     count = np.maximum(sizes - window + 1, 0)
     starts = np.repeat(bases - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    first = starts.copy()
     # Windows that have the same interval and go on with the same word are one search from there on.
-    at, group = starts, np.zeros(len(starts), np.int64)
+    who, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
     low, high = np.zeros(1, np.int64), np.full(1, index.n, np.int64)
     wide = len(numbers) + 1
     for back in range(window - 1, -1, -1):
-        states, group = np.unique(group * wide + text[at + back], return_inverse=True)
+        states, group = np.unique(group * wide + text[starts[who] + back], return_inverse=True)
         low, high = index.extend(states % wide, low[states // wide], high[states // wide])
         shared = high - low > 1
         if not shared.all():
             keep = shared[group]
-            at, group = at[keep], (np.cumsum(shared) - 1)[group[keep]]
+            who, group = who[keep], (np.cumsum(shared) - 1)[group[keep]]
             low, high = low[shared], high[shared]
-    found = [np.empty(0, np.int64)] * len(pieces)
-    if len(at):
+    if len(who):
         order = np.argsort(low)  # intervals of one length don't overlap
         edges = np.stack([low[order], high[order]], 1).ravel()
-        earliest = np.empty(len(low), np.int64)
-        earliest[order] = np.minimum.reduceat(np.append(index.suffixes, index.n), edges)[::2]
-        later = at[earliest[group] < at]
-        later.sort()
-        piece = np.searchsorted(bases, later, "right") - 1
-        for k in np.unique(piece):
-            found[k] = later[piece == k] - bases[k]
-    return found
+        least = np.empty(len(low), np.int64)
+        least[order] = np.minimum.reduceat(np.append(index.suffixes, index.n), edges)[::2]
+        first[who] = least[group]
+    return bases, starts, first
+
+
+def earlier_windows(pieces: list[list[bytes]], window: int) -> list[np.ndarray]:
+    """For every piece, in the order of their places, the starts of windows that also start earlier in some piece."""
+    bases, starts, first = first_places(pieces, window)
+    later = starts[first < starts]
+    piece = np.searchsorted(bases, later, "right") - 1
+    cuts = np.searchsorted(piece, np.arange(len(pieces) + 1))
+    return [later[lo:hi] - base for lo, hi, base in zip(cuts[:-1], cuts[1:], bases)]
+
+
+def streamed_ranges(indexed: pd.DataFrame, stream: pd.DataFrame, window: int, at_once: int = 4096) -> pd.DataFrame:
+    """``(doc_id, begin, end)`` of the streamed pieces' windows whose first place in the index is earlier than their own.
+
+    ``indexed(doc_id, start, digest, words)`` are one shard's distinct pieces at their first places, ``stream(doc_id, start, digest)`` the
+    pieces of documents. Pieces of one digest are searched once, and each is judged by its own place.
+    """
+    indexed = indexed.sort_values(["doc_id", "start"], ignore_index=True)
+    bases, starts, first = first_places([w.encode().split() for w in indexed["words"]], window)
+    piece = np.searchsorted(bases, first, "right") - 1
+    first_doc = indexed["doc_id"].to_numpy()[piece]
+    first_start = indexed["start"].to_numpy()[piece] + first - bases[piece]
+    head = np.searchsorted(starts, bases)
+    count = np.diff(np.append(head, len(starts)))
+    which = pd.Index(indexed["digest"]).get_indexer(stream["digest"])
+    docs, begins = stream["doc_id"].to_numpy(), stream["start"].to_numpy().astype(np.int64)
+    out = []
+    for lo in range(0, len(which), at_once):
+        k, doc, begin = (x[lo : lo + at_once] for x in (which, docs, begins))
+        n = count[k]
+        row = np.repeat(np.arange(len(k)), n)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = head[k][row] + j
+        gone = (first_doc[at] < doc[row]) | ((first_doc[at] == doc[row]) & (first_start[at] < begin[row] + j))
+        before, after = np.zeros(len(row), bool), np.zeros(len(row), bool)
+        before[1:] = gone[:-1] & (row[1:] == row[:-1])
+        after[:-1] = before[1:] & gone[1:]
+        opens, closes = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
+        out.append(pd.DataFrame({"doc_id": doc[row[opens]], "begin": begin[row[opens]] + j[opens], "end": begin[row[closes]] + j[closes] + window}))
+    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "begin": [], "end": []})
 
 
 def _batch_pieces(texts: list[bytes], window: int, gram: int, longest: int) -> tuple[np.ndarray, ...]:
@@ -173,14 +210,15 @@ def _batch_pieces(texts: list[bytes], window: int, gram: int, longest: int) -> t
 
 
 def repeated_windows(
-    docs: DataFrame, *, window: int = 20, gram: int = 5, longest: int = 64, shard_words: int = 400_000, hot: int = 20_000
+    docs: DataFrame, *, window: int = 20, gram: int = 5, longest: int = 64, shard_words: int = 400_000, hot: int = 20_000, stream_rows: int = 50_000
 ) -> DataFrame:
     """``(doc_id, begin, end)``: word ranges of ``docs(doc_id, text)`` covered by windows that also start earlier.
 
     Earlier is a smaller doc_id, or the same and an earlier start. A piece is a run of up to ``longest`` windows that
     share their smallest gram of ``gram`` words. Pieces whose gram stands once in all documents can hold no repeat and
-    stay where they are; of equal pieces only the earliest is indexed, and the others are repeats as a whole. A gram with over
-    ``hot`` pieces is routed by whole windows instead, so no shard grows with a group of copies; shards hold about ``shard_words`` words.
+    stay where they are. Of equal pieces the earliest is indexed, and all pieces, copies too, are streamed past their shard's index, which
+    decides every window. A gram with over ``hot`` pieces is routed by whole windows instead; shards hold about ``shard_words`` words. A
+    shard with over ``stream_rows`` streamed pieces is indexed in several tasks, each for a part of the stream, so no task grows with a group of copies.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,23 +264,19 @@ def repeated_windows(
         F.min(F.struct("doc_id", "start")).alias("place"), F.count("*").alias("c"), F.first("words", True).alias("words"), F.first("key").alias("key"), F.first("n").alias("n")
     )
     distinct = written(each, "distinct-pieces")
-    copies = found.select("doc_id", "start", "n", "digest").join(distinct.where("c > 1").select("digest", "place"), "digest").where(F.struct("doc_id", "start") != F.col("place"))
-    copies = copies.select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("n") + window - 1).alias("end"))
     total = distinct.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
-    n_shards = max(1, -(-total // shard_words))
-
-    def index(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "start"])
-        rows = []
-        for name, start, hits in zip(part["doc_id"], part["start"], earlier_windows([w.encode().split() for w in part["words"]], window)):
-            if len(hits):
-                cut = np.flatnonzero(np.diff(hits) > 1) + 1
-                rows += [(name, start + r[0], start + r[-1] + window) for r in np.split(hits, cut)]
-        return pd.DataFrame(rows, columns=["doc_id", "begin", "end"])
-
-    shard = F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard")
-    indexed = distinct.select(shard, "place.doc_id", "place.start", "words").groupBy("shard").applyInPandas(index, "doc_id long, begin int, end int")
-    return indexed.unionByName(copies)
+    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // shard_words)))).alias("shard")
+    parts = F.ceil(F.sum("c") / stream_rows).cast("int")
+    busy = written(distinct.groupBy(shard).agg(parts.alias("parts")).where("parts > 1"), "busy-shards")
+    spread = lambda df: df.join(busy, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    indexed = spread(distinct.select(shard, "place.doc_id", "place.start", "digest", "words")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    stream = spread(found.select(shard, "doc_id", "start", "digest")).withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"))
+
+    def search(pieces: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        return streamed_ranges(pieces, asked, window)
+
+    by = ("shard", "part")
+    return indexed.drop("parts").groupBy(*by).cogroup(stream.drop("parts").groupBy(*by)).applyInPandas(search, "doc_id long, begin int, end int")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -51,6 +53,29 @@ def test_substring_dedup_of_hot_and_random_passages(spark):
         assert {d: len(g) for d, g in gone.items()} == {d: n for d, _, n, _ in plain_repeats(rows, 20)}
 
 
+@pytest.mark.parametrize("stream_rows", [3, 50_000])
+def test_copies_are_streamed_past_the_index(spark, stream_rows):
+    """Large groups of copies, in one part or many: every range comes from the index's search, and each copy loses its windows."""
+    r = random.Random(8)
+    passage = [" ".join(str(r.randrange(10**6)) for _ in range(n)) for n in (20, 45, 130)]
+    own = lambda: " ".join(str(r.randrange(10**6)) for _ in range(r.randrange(30)))
+    rows = [(i, f"{own()} {passage[i % 3]} {own()} {passage[0] if i % 5 == 0 else own()}") for i in range(70)] + [(100 + i, passage[2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {d: set() for d, _ in rows}
+    for x in fm_dedup.repeated_windows(df, window=20, shard_words=150, stream_rows=stream_rows).collect():
+        gone[x.doc_id] |= set(range(x.begin, x.end))
+    assert {d: len(g) for d, g in gone.items()} == {d: n for d, _, n, _ in plain_repeats(rows, 20)}
+
+
+def test_streamed_ranges_by_place():
+    words = "abcdefgh"
+    indexed = pd.DataFrame({"doc_id": [5, 2], "start": [7, 0], "digest": [b"y", b"x"], "words": ["b c d h", " ".join(words[:5])]})
+    stream = pd.DataFrame({"doc_id": [2, 2, 5, 9], "start": [0, 30, 7, 1], "digest": [b"x", b"x", b"y", b"y"]})
+    got = sorted(fm_dedup.streamed_ranges(indexed, stream, 3, at_once=2).itertuples(index=False, name=None))
+    assert got == [(2, 30, 35), (5, 7, 10), (9, 1, 5)]
+    assert len(fm_dedup.streamed_ranges(indexed, stream[:0], 3)) == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), min_size=1, max_size=14), min_size=1, max_size=6), st.integers(2, 5))
 def test_index_finds_earlier_windows(pieces, window):
