@@ -210,7 +210,7 @@ def _batch_pieces(texts: list[bytes], window: int, gram: int, longest: int) -> t
 
 
 def repeated_windows(
-    docs: DataFrame, *, window: int = 20, gram: int = 5, longest: int = 64, shard_words: int = 400_000, hot: int = 20_000, stream_rows: int = 50_000
+    docs: DataFrame, *, window: int = 20, gram: int = 5, longest: int = 64, shard_words: int = 400_000, hot: int = 20_000, stream_rows: int = 200_000
 ) -> DataFrame:
     """``(doc_id, begin, end)``: word ranges of ``docs(doc_id, text)`` covered by windows that also start earlier.
 
