@@ -31,12 +31,12 @@ class Trie:
 
     A node's score needs only those of its ancestors, so a prefix that many pre-tokens share is scored
     once. Of equal scores the split with fewer tokens counts; a byte that no token covers counts as one token of
-    the least score. Past ``max_nodes`` the trie starts anew, and a pre-token of more than 256 bytes is
-    scored without nodes; neither changes a result.
+    the least score. Past ``max_nodes``, or ``max_bytes`` of remembered pre-tokens, the trie starts anew, and a pre-token of more
+    than 256 bytes is scored without nodes; neither changes a result.
     """
 
-    def __init__(self, scores: dict[bytes, float], max_nodes: int = 1_000_000):
-        self.scores, self.max_nodes = scores, max_nodes
+    def __init__(self, scores: dict[bytes, float], max_nodes: int = 1_000_000, max_bytes: int = 64 << 20):
+        self.scores, self.max_nodes, self.max_bytes = scores, max_nodes, max_bytes
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 1.0
         self._start_anew()
@@ -45,6 +45,7 @@ class Trie:
         self.child: dict[int, int] = {}
         self.best: list[tuple[float, int]] = [(0.0, 0)]
         self.terminal: dict[bytes, int] = {}
+        self.kept_bytes = 0
 
     def _forward(self, word: bytes, end: int, before: list[tuple[float, int]]) -> tuple[float, int]:
         """The best of ``word[:end]``, given those of all shorter prefixes; (score, minus the tokens)."""
@@ -64,11 +65,14 @@ class Trie:
         """Tokens of a pre-token."""
         tokens = self.terminal.get(word)
         if tokens is None:
-            tokens = self.terminal[word] = self._insert(word)
+            tokens = self._insert(word)
+            if len(word) <= self.max_bytes:
+                self.terminal[word] = tokens
+                self.kept_bytes += len(word)
         return tokens
 
     def _insert(self, word: bytes) -> int:
-        if len(self.best) > self.max_nodes or len(self.terminal) > self.max_nodes:
+        if max(len(self.best), len(self.terminal)) > self.max_nodes or self.kept_bytes + len(word) > self.max_bytes:
             self._start_anew()
         path = [(0.0, 0)]
         if len(word) > LONG:

@@ -162,3 +162,12 @@ def test_trie_counts(docs, rows, no_docs):
     assert b"".join(PRE_TOKEN.findall(b"  a\n b ")) == b"  a\n b "
     assert count_tokens(no_docs, path).count() == 0
     assert docs.where(F.col("doc_id") == 11).count() == 1 and trie[b"x" * 300] == plain_tokens(b"x" * 300, scores, trie.unknown)
+
+
+def test_trie_keeps_few_bytes():
+    scores = {b"ab": -1.0, b"a": -2.0, b"abc": -1.5}
+    trie, plain = Trie(scores, max_bytes=700), Trie(scores)
+    words = [b"abcab" * k for k in range(1, 200)] + [b"abz" * 90] * 3
+    for w in words + words:
+        assert trie[w] == plain[w]
+        assert trie.kept_bytes == sum(map(len, trie.terminal)) <= 700
