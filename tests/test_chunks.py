@@ -8,11 +8,12 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from routecover.operators import components, filters, network
+from routecover.operators import components, filters, matching, network
 from routecover.operators.crossings import crossings
 from routecover.operators.ranking import list_ends
+from routecover.plans import registry
 from routecover.runtime import chunks, codes
-from tests.test_network import CROSS, NEAR, lines
+from tests.test_network import CHAIN, CROSS, NEAR, lines
 
 
 def test_the_graph_build_leaves_its_pieces_only(spark):
@@ -57,3 +58,22 @@ def test_lists_across_areas_and_circles(spark):
     following = items.where("item % 10 != 9 or area_id = 2").select("area_id", "item", F.when(F.col("item") == 29, 20).otherwise(F.col("item") + 1).cast("long").alias("next"), F.lit(0.5).alias("cost"))
     ends = {r["item"]: (r["end"], r["left"], r["far"]) for r in list_ends(items, following, circles="drop").collect()}
     assert ends == {i: (i // 10 * 10 + 9, 9 - i % 10, (9 - i % 10) * 0.5) for i in range(20)}
+
+
+def test_totals_with_connectors_leave_bare_nodes_out(spark, monkeypatch):
+    g = network.build_graph(lines(spark, [*CHAIN, [(0.5, 0.5), (0.5000001, 0.5)]]))
+    assert g.nodes.count() == 4
+    none = spark.createDataFrame([], "area_id long, conn_ord long, from_lng double, from_lat double, to_lng double, to_lat double")
+    monkeypatch.setattr(registry, "raw_graph", lambda *_: g)
+    monkeypatch.setattr(registry, "connectors", lambda *_: none)
+    assert [(r["nodes"], r["edges"]) for r in registry.connectors_added(spark, "").collect()] == [(3, 2)]
+
+
+def test_areas_without_a_gain_are_looked_through_once(spark, monkeypatch):
+    cost = {(1, 2): 10.0, (3, 4): 10.0, (1, 3): 1.0, (2, 4): 1.0}
+    links = spark.createDataFrame([(a, u, v, c) for a in (0, 1) for (u, v), c in cost.items()], "area_id long, u long, v long, cost double")
+    used = spark.createDataFrame([(0, 1, 2), (0, 3, 4), (1, 1, 3), (1, 2, 4)], "area_id long, u long, v long")
+    seen, cycles = [], matching._better_cycles
+    monkeypatch.setattr(matching, "_better_cycles", lambda left, now: (seen.append({r[0] for r in left.select("area_id").collect()}), cycles(left, now))[1])
+    assert {tuple(r) for r in matching.improved(used, links).collect()} == {(a, *e) for a in (0, 1) for e in ((1, 3), (2, 4))}
+    assert seen == [{0, 1}, {0}]
