@@ -61,16 +61,16 @@ def running_sums(words: list[bytes], first: np.ndarray, n: np.ndarray) -> np.nda
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * POWERS.up[within], dtype=np.uint64)])
 
 
-def half_keys(sums: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Four keys per line, of its first and last h words for h = n // 2 and (n - 1) // 2.
+def half_keys(words: list[bytes]) -> list[int]:
+    """Keys of a line's first and last h words for h = n // 2 and (n - 1) // 2: two if these are equal, else four.
 
     Lines within one edit share at least one: the edit leaves the first or the last half of the shorter one's words as they are.
-    ``sums`` are running sums over all lines' words, ``first`` and ``n`` each line's place and word count there.
+    A half is hashed at once, not word by word.
     """
-    keys = []
-    for h in (n // 2, (n - 1) // 2):
-        keys.append(_mix(sums[first + h] - sums[first], 2 * h))
-        keys.append(_mix((sums[first + n] - sums[first + n - h]) * POWERS.down[n - h], 2 * h + 1))
+    n, keys = len(words), []
+    for h in {n // 2, (n - 1) // 2}:
+        keys.append(xxhash.xxh3_64_intdigest(b" ".join(words[:h]), 2 * h))
+        keys.append(xxhash.xxh3_64_intdigest(b" ".join(words[n - h :]), 2 * h + 1))
     return keys
 
 
@@ -108,7 +108,7 @@ def squeezed(docs: DataFrame, text_col: str) -> DataFrame:
     at = names.index(text_col)
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdCompressor(level=3)
+        codec = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             frames = [None if x is None else codec.compress(x) for x in batch.column(at).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
@@ -127,7 +127,7 @@ def scan_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
             give_back()
 
     def lines_of(names: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        ids, numbers, sizes, digests, words = [], [], [], [], []
+        ids, numbers, sizes, digests, keys, ends = [], [], [], [], [], [0]
         for name, text in zip(names, texts):
             for k, line in enumerate(text.split(b"\n")):
                 cut = line.split()
@@ -136,15 +136,11 @@ def scan_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                     numbers.append(k)
                     sizes.append(len(cut))
                     digests.append(xxhash.xxh3_128_digest(b" ".join(cut)))
-                    words += cut
-        n = np.array(sizes, np.int64)
-        first = np.cumsum(n) - n
-        sums = running_sums(words, first, n)
-        near = n >= near_words
-        keys = np.stack(half_keys(sums, first[near], n[near]), 1)
-        ends = np.concatenate([[0], np.cumsum(near)]) * 4
-        halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel()))
-        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), halves]
+                    if len(cut) >= near_words:
+                        keys += half_keys(cut)
+                    ends.append(len(keys))
+        halves = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
+        columns = [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), halves]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "n", "digest", "halves"])
 
     return docs.mapInArrow(scan, "doc_id long, line int, n int, digest binary, halves array<long>")
@@ -161,7 +157,7 @@ def repeated_lines(docs: DataFrame, *, min_words: int = 1, near_words: int = 4)
     distinct = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"))
     distinct = written(distinct.select("digest", "at.doc_id", "at.line", "halves"), "distinct-lines")
     # Only lines that share a half with another distinct line can have a partner.
-    halves = distinct.select("doc_id", "line", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = distinct.select("doc_id", "line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     wanted = halves.join(shared, "half", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
 

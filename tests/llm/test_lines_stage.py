@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from routecover.llm.line_dedup import half_keys
 from tests.llm.test_dedup import plain_lines
 
 
@@ -33,3 +34,15 @@ def test_a_document_without_words_left_goes(spark):
     rows = [(1, "the same line of words"), (2, "\n\t\n the same line of words\n\r\n\x0b"), (3, "the same line of words\n\u00a0"), (4, "the same line of words\nmore")]
     docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars long")
     assert {x.doc_id for x in corpus_pipeline.lines(spark, docs, "").collect()} == {1, 3, 4}
+
+
+def test_lines_one_edit_apart_share_a_half():
+    r = random.Random(3)
+    for _ in range(2000):
+        a = [bytes([r.randrange(97, 100)]) * r.randint(1, 3) for _ in range(r.randint(1, 9))]
+        b, k = list(a), r.randrange(len(a))
+        b[k : k + 1] = r.choice([[], [b"new"], [a[k], b"new"], [b"new", a[k]]])
+        keys = half_keys(a)
+        assert len(keys) == len(set(keys)) == (2 if len(a) % 2 else 4)
+        assert not b or set(keys) & set(half_keys(b))
+    assert not set(half_keys([b"a", b"b c", b"d", b"e"])) & set(half_keys([b"f", b"b", b"c", b"g"]))
