@@ -11,8 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routecover.llm.texts import strings
-from routecover.llm.tokens import encoder, in_chunks
+from routecover.llm.tokens import byte_chunks, encoder
 
 
 def differencing(sizes: list[int], n_windows: int) -> list[list[int]]:
@@ -101,7 +100,7 @@ def pack(
 
     ``capacity`` is a power of two. A document longer than it gives full sequences of its own; what
     remains of the documents of a task is gathered to about ``group_windows`` windows and dealt by
-    differencing. There is no shuffle, and a task holds one group and one batch of texts. A null or
+    differencing. There is no shuffle, and a task holds one group, one batch of texts as it came, and the ids of a part of it. A null or
     empty text is the end id alone. Rows of equal id are packed as documents of their own, a null id
     stays null, other columns are ignored, and an empty table gives no rows.
     """
@@ -125,9 +124,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), ARROW)], schema=ARROW)
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), strings(batch)
-            for lo, hi in in_chunks(texts):
-                flat, offsets = encoder(vocabulary).encode(texts[lo:hi], end_id)
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in byte_chunks(texts):
+                flat, offsets = encoder(vocabulary).encode(texts.slice(lo, hi - lo), end_id)
                 full = []
                 for k in range(hi - lo):
                     ids = flat[offsets[k] : offsets[k + 1]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from routecover.llm import bitplane, kk_packing
 from routecover.llm.texts import crc_joined
-from routecover.llm.tokens import WordEncoder
+from routecover.llm.tokens import WordEncoder, byte_chunks
 from routecover.llm.trie_counts import PRE_TOKEN, Trie, count_tokens, rank_scores
 
 
@@ -171,3 +172,11 @@ def test_trie_keeps_few_bytes():
     for w in words + words:
         assert trie[w] == plain[w]
         assert trie.kept_bytes == sum(map(len, trie.terminal)) <= 700
+
+
+def test_chunks_are_bounded_by_bytes(vocabulary, encode):
+    texts = pa.array(["é" * 30, None, "a" * 200, "", "漢字" * 10, "b"])
+    assert list(byte_chunks(texts, 100)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(byte_chunks(texts.slice(4), 60)) == [(0, 1), (1, 2)] and list(byte_chunks(texts.slice(6))) == []
+    flat, at = WordEncoder(vocabulary).encode(texts.slice(3, 2), 1)
+    assert flat.tolist() == [1, *encode("漢字" * 10, 1)] and at.tolist() == [0, 1, len(flat)]
