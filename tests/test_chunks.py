@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from routecover.operators import components, filters, matching, network
+from routecover.operators import components, filters, matching, network, ranking
 from routecover.operators.crossings import crossings
 from routecover.operators.ranking import list_ends
 from routecover.plans import registry
@@ -43,6 +44,36 @@ def test_chains_within_a_chunk_need_no_steps_over_all_links(spark, monkeypatch):
     assert {r for r in found if r[0] == 2} == {(2, 7, 7), (2, 3, 3), (2, 5, 3)} and (1, 150, 0) in by_steps and (1, 399, 201) in by_steps
 
 
+def test_chunks_of_a_partition_hold_whole_areas(spark, monkeypatch):
+    pairs = [(a, i, i + 1) for a in range(20) for i in range(40)]
+    random.Random(2).shuffle(pairs)
+    links = spark.createDataFrame(pairs, "area_id long, u long, v long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    monkeypatch.setattr(components, "chunks", partial(chunks, most=50))
+    try:
+        found = components._contracted(links, ["area_id"]).count()
+        ends = {r["component"] for r in components.connected_components(links, ("area_id",)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # 820 nodes, and at most one twice for each border between chunks.
+    assert found <= 820 + 2 * 20 and ends == {0}
+
+
+def test_lists_come_to_chunks_in_order(spark, monkeypatch):
+    follow = ranking._followed
+
+    def checked(batches):
+        held = list(batches)
+        at = [(r["area_id"], r["item"]) for b in held for r in b.to_pylist()]
+        assert at == sorted(at)
+        return follow(iter(held))
+
+    monkeypatch.setattr(ranking, "_followed", checked)
+    items = spark.range(300).select((F.col("id") % 3).alias("area_id"), F.col("id").alias("item")).orderBy(F.rand(1))
+    following = items.where("item < 297").select("area_id", "item", (F.col("item") + 3).alias("next"))
+    assert {r["end"] for r in list_ends(items, following).collect()} == {297, 298, 299}
+
+
 def test_least_linked_and_codes():
     n = 2000
     order = np.random.default_rng(3).permutation(n)
