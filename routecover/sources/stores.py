@@ -95,7 +95,12 @@ def replace_selections(features: DataFrame, removals: DataFrame, saved: DataFram
     kept = held.select("name", F.lit("feature").alias("kind"), F.struct(*(c for c in held.columns if c != "name")).alias("feature"))
     gone = named(removals).join(names.select("name").distinct(), "name", "left_semi").select("name", F.lit("removal").alias("kind"), "batch_no", "edge_id")
     rows = names.select("name", F.lit("saved").alias("kind"), "saved_at").unionByName(kept, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
-    rows.select("name", *SELECTION).write.partitionBy("name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    _replaced(rows, path)
+
+
+def _replaced(rows: DataFrame, path: str) -> None:
+    """Overwrite the partitions of the names in ``rows``. Rows are gathered by name first: else each task would write a file for each name that it meets, tasks times names in all."""
+    rows.select("name", *SELECTION).hint("rebalance", "name").write.partitionBy("name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def delete_selections(names: DataFrame, path: str) -> None:
@@ -103,7 +108,7 @@ def delete_selections(names: DataFrame, path: str) -> None:
     spark = names.sparkSession
     gone = names.select(F.trim("name").alias("name"), F.lit("deleted").alias("kind")).where("name != ''").distinct()
     like = spark.read.parquet(path).limit(0)
-    like.unionByName(gone, allowMissingColumns=True).select("name", *SELECTION).write.partitionBy("name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    _replaced(like.unionByName(gone, allowMissingColumns=True), path)
 
 
 def load_selections(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

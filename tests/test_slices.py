@@ -92,3 +92,14 @@ def test_reports_name_what_matched_nothing(spark):
     points = elevation.with_heights(elevation.route_points(f), spark.createDataFrame([(0, 0, 5.0)], "lng_e7 long, lat_e7 long, elev double"))
     assert tuple(elevation.missing_samples(points).first()) == (0, 1, 2, 1)
     assert filters.flatten_segments(f).count() == 1
+
+
+def test_a_save_writes_a_file_for_each_name(spark, tmp_path):
+    path = tmp_path / "many"
+    rows = spark.range(400).repartition(8).select(F.concat(F.lit("n"), (F.col("id") % 5).cast("string")).alias("name"), F.col("id").alias("feature_id"))
+    gone = rows.select("name", F.lit(0).cast("long").alias("batch_no"), F.col("feature_id").cast("string").alias("edge_id"))
+    stores.replace_selections(rows, gone, rows.select("name").distinct().withColumn("saved_at", F.lit(1)), str(path))
+    stores.delete_selections(rows.select("name").where("name = 'n3'").repartition(4), str(path))
+    assert {p.name: len(list(p.glob("*.parquet"))) for p in path.glob("name=*")} == {f"name=n{i}": 1 for i in range(5)}
+    features, removals = stores.load_selections(spark, str(path))
+    assert features.count() == removals.count() == 320
