@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routecover.functions.geo import distance_to_segment, planar_metres
-from routecover.runtime import cut
+from routecover.runtime import cut, once
 
 
 def snap(points: DataFrame, nodes: DataFrame, *, cell: float = 0.002, max_rounds: int = 40) -> DataFrame:
@@ -43,6 +43,10 @@ def features_within(points: DataFrame, segments: DataFrame, metres: float, *, ce
     per_lng, per_lat = planar_metres("lat")
     reach_x, reach_y = metres / per_lng, metres / per_lat
     asked = points.withColumn("cx", F.explode(F.sequence(at(F.col("lng") - reach_x), at(F.col("lng") + reach_x)))).withColumn("cy", F.explode(F.sequence(at(F.col("lat") - reach_y), at(F.col("lat") + reach_y))))
-    x, y = (lambda c: (F.col(c) - F.col("lng")) * per_lng), (lambda c: (F.col(c) - F.col("lat")) * per_lat)
-    near = distance_to_segment(F.lit(0.0), F.lit(0.0), x("ax"), y("ay"), x("bx"), y("by"))
-    return asked.join(laid, ["area_id", "cx", "cy"]).where(near < metres).select("area_id", "point_id", "feature_id").distinct()
+    x, y = (lambda c: ((F.col(c) - F.col("lng")) * per_lng).alias(c)), (lambda c: ((F.col(c) - F.col("lat")) * per_lat).alias(c))
+    celled = lambda df: df.withColumn("cell", F.shiftleft("cx", 32) + F.col("cy")).drop("cx", "cy")
+    met = celled(asked).join(celled(laid), ["cell", "area_id"])
+    met = met.select("area_id", "point_id", "feature_id", x("ax"), y("ay"), x("bx"), y("by"))
+    # In the join's condition the distance would repeat its parts, too large a method to be compiled.
+    near = once(met, "d", m=distance_to_segment(F.lit(0.0), F.lit(0.0), "ax", "ay", "bx", "by")).where(F.col("d.m") < metres)
+    return near.select("area_id", "point_id", "feature_id").distinct()
