@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from routecover.functions import geo
-from routecover.operators import crossings, edits, elevation, filters, network, scans
+from routecover.operators import crossings, edits, elevation, filters, network, proximity, scans
 from routecover.sources import stores
 
 SEGMENTS = "area_id long, feature_ord long, segment_idx int, ax double, ay double, bx double, by double"
@@ -103,3 +104,60 @@ def test_a_save_writes_a_file_for_each_name(spark, tmp_path):
     assert {p.name: len(list(p.glob("*.parquet"))) for p in path.glob("name=*")} == {f"name=n{i}": 1 for i in range(5)}
     features, removals = stores.load_selections(spark, str(path))
     assert features.count() == removals.count() == 320
+
+
+def test_raw_ids_are_looked_up_by_their_places(spark):
+    g = network.build_graph(spark.createDataFrame([(0, 1, 1, "LineString", [(-0.5, 0.25), (-0.499, 0.25), (0.0, -1.0)], {})], "area_id long, feature_id long, feature_ord long, geom_type string, coords array<struct<lng:double,lat:double>>, properties map<string,string>"))
+    own = [r.edge_id for r in edits.with_ids(g.edges).select("edge_id").collect()]
+    turned = ["|".join(reversed(i.split("|"))) for i in own]
+    odd = [*turned, "0.250,-0.5|0.25,-0.499", "0.25,-0.5", "", "|", "a,b|c,d", "0.25,-0.5,1|0.25,-0.499", "0.25,-0.5|9,9", own[0] + "|"]
+    ids = spark.createDataFrame([(0, i) for i in [*own, *odd]], "area_id long, edge_id string")
+    assert {r.edge_id for r in edits.named_pairs(ids).collect()} == {*own, "0.25,-0.5|9,9"} and len(own) == 2
+    log = ids.withColumn("edge_id", F.concat(F.lit(edits.PHYSICAL), "edge_id"))
+    report = edits.removal_report(g, log)
+    assert {r.edge_id for r in report.where("known").collect()} == set(own) and report.count() == len({*own, *odd})
+    assert edits.remove_raw(g, ids.where(F.col("edge_id").isin(odd))).edges.count() == 2 and edits.remove_raw(g, ids).edges.count() == 0
+    known = g.edges.where("u = 0")
+    # An id's text is no part of the filters on it.
+    plan = edits.with_ids(known).where(F.col("edge_id").startswith("0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("lpad" not in line for line in plan.splitlines() if "Filter" in line)
+
+
+def generated_methods(df):
+    """Bytes of the largest generated method of each compiled stage of a plan, with adaptive planning off."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))]
+
+
+def test_distances_are_small_enough_to_be_compiled(spark):
+    points = spark.createDataFrame([(0, 1, 0.0005, 0.0001)], "area_id long, point_id long, lng double, lat double")
+    segments = spark.createDataFrame([(0, 7, 0, 0, 0.0, 0.0, 0.001, 0.0)], SEGMENTS.replace("feature_ord", "feature_id long, feature_ord"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = proximity.features_within(points, segments, 20.0)
+        sizes = generated_methods(found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # The JVM interprets methods of over 8000 bytes.
+    assert sizes and max(sizes) < 8000 and [tuple(r) for r in found.collect()] == [(0, 1, 7)]
+
+
+def test_first_pairs_and_first_places_need_no_sorted_aggregate(spark):
+    f = spark.createDataFrame([(0, i, i, "LineString", c, {}) for i, c in enumerate([[(0.0, 0.0), (0.002, 0.002)], [(0.0, 0.002), (0.002, 0.0)], [(0.001, 0.0), (0.001, 0.002)], [(0.0010000004, 0.0), (0.0009999996, 0.002)]])], "area_id long, feature_id long, feature_ord long, geom_type string, coords array<struct<lng:double,lat:double>>, properties map<string,string>")
+    s = filters.flatten_segments(f)
+    found = crossings.crossings(s)
+    at = {r.node: (r.a_ord, r.b_ord) for r in found.collect()}
+    assert at[(90_001_000) * 400_000_000 + 180_001_000] == (0, 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        g = network.build_graph(f)
+        plans = [crossings.crossings(s)._jdf.queryExecution().executedPlan().toString(), g.nodes._jdf.queryExecution().executedPlan().toString()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert all("SortAggregate" not in p for p in plans)
+    # Of each place, the end that comes first over all pieces, as both ends of every piece give it.
+    ends = {}
+    for e in network.build_graph(f, split_all=True).edges.union(g.edges).collect():
+        for node, c in ((e.u, e.coords[0]), (e.v, e.coords[1])):
+            ends.setdefault(node, set()).add((c.lat, c.lng))
+    assert {n.node for n in g.nodes.collect()} >= set(at) and all((n.lat, n.lng) in ends[n.node] for n in g.nodes.collect() if n.node in ends)
