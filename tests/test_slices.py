@@ -8,10 +8,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from routecover import runtime
 from routecover.functions import geo
-from routecover.operators import crossings, edits, elevation, filters, network, proximity, scans
+from routecover.operators import costs, crossings, edits, elevation, filters, network, proximity, scans, windy
+from routecover.plans import registry
 from routecover.sources import stores
 
+SF = "/root/testdata/sf0.001"
 SEGMENTS = "area_id long, feature_ord long, segment_idx int, ax double, ay double, bx double, by double"
 
 
@@ -161,3 +164,42 @@ def test_first_pairs_and_first_places_need_no_sorted_aggregate(spark):
         for node, c in ((e.u, e.coords[0]), (e.v, e.coords[1])):
             ends.setdefault(node, set()).add((c.lat, c.lng))
     assert {n.node for n in g.nodes.collect()} >= set(at) and all((n.lat, n.lng) in ends[n.node] for n in g.nodes.collect() if n.node in ends)
+
+
+def test_a_model_without_seconds_needs_no_heights(spark):
+    ways = [(1, 10, [(0.0, 0.0), (0.0003, 0.0), (0.0009, 0.0)]), (1, 11, [(0.5, 0.5)]), (1, 12, [(0.0009, 0.0), (0.0, 0.0)]), (2, 3, [(1.0, 1.0), (1.0, 1.001)])]
+    e = spark.createDataFrame([(a, (o, 0, 0), o, o + 1, 1.0, c) for a, o, c in ways], "area_id long, edge_ord struct<feature_ord:long,segment_idx:int,j:int>, u long, v long, weight double, coords array<struct<lng:double,lat:double>>")
+    stored = spark.createDataFrame([(0, 0, 100.0), (3000, 0, 103.0), (9000, 0, 101.5)], "lng_e7 long, lat_e7 long, elev double")
+    m = windy.windy_model(e, stored)
+    # The edge of one point keeps its number, but has no variable.
+    names = {(1, "e0f"), (1, "e0r"), (1, "e2f"), (1, "e2r"), (2, "e0f"), (2, "e0r")}
+    for t in (m.objective, m.cover, m.bounds, m.ways):
+        assert {(r.area_id, r.var) for r in t.collect()} == names and t.count() == 6
+    walked = windy.traversals(m, m.bounds.select("area_id", "var", F.lit(1.0).alias("value")))
+    assert {tuple(r) for r in walked.collect()} == {(a, *p, 1) for a, o, c in ways if len(c) > 1 for p in ((o, o + 1), (o + 1, o))}
+    assert all("elev" not in t._jdf.queryExecution().optimizedPlan().toString() for t in (m.cover, m.bounds, m.balance, walked))
+    points = elevation.with_heights(elevation.route_points(e.withColumn("route_id", F.col("edge_ord.feature_ord")), "route_id"), stored)
+    times = {(r.area_id, r.route_id): r for r in elevation.travel_times(points).collect()}
+    climbs = {(r.area_id, r.route_id): r for r in elevation.climb(points).collect()}
+    found = costs.edge_metrics(e, stored).collect()
+    assert len(found) == 3
+    for r in found:
+        k = r.area_id, r.edge_ord.feature_ord
+        assert (r.ascent, r.descent) == (climbs[k].ascent, climbs[k].descent) and (r.length, r.forward, r.reverse) == tuple(times[k])[2:]
+    assert {tuple(r.edge_ord): (r.ascent, r.descent) for r in found}[10, 0, 0] == (3.0, 0.0)
+    # One join with the heights, and points are derived and dealt to their edges once.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = costs.edge_metrics(e, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(re.findall("Join", plan)) == 1 and len(re.findall("Generate ", plan)) == 1
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    df = spark.range(1000).select((F.col("id") % 50).alias("k"), "id")
+    monkeypatch.setattr(runtime, "TASK_ROWS", 100)
+    assert runtime.dealt(df, 1000, "k").rdd.getNumPartitions() == 10 and runtime.dealt(df, 100, "k") is df
+    monkeypatch.setattr(runtime, "TASK_ROWS", 60)
+    tasks = {n: len([r for r in registry.QUERIES[n](spark, SF).select(F.spark_partition_id().alias("p")).distinct().collect()]) for n in ("position_at_distance", "nearest_profile_point")}
+    assert min(tasks.values()) > 40
