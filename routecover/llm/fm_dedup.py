@@ -14,13 +14,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routecover.llm.line_dedup import POWERS, _mix, word_hashes
+from routecover.llm.line_dedup import POWERS, _mix, squeezed, word_hashes
 from routecover.llm.texts import byte_texts
 from routecover.llm.tokens import in_chunks
-from routecover.runtime import written
+from routecover.runtime import deleted, settled_at, shuffles_dropped, written
 
 
 class PackedBits:
@@ -228,16 +229,17 @@ def repeated_windows(
                 text, start, n, key, twice = _batch_pieces(texts[lo:hi], window, gram, longest)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(twice)], names=["doc_id", "start", "n", "key", "twice"])
 
-    pieces = written(docs.mapInArrow(scan, "doc_id long, start int, n int, key long, twice boolean"), "pieces")
+    pieces, first_pieces = settled_at(docs.mapInArrow(scan, "doc_id long, start int, n int, key long, twice boolean"), "pieces")
     shared = pieces.groupBy("key").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).where("c > 1 or twice").select("key", (F.col("c") > hot).alias("is_hot"))
     wanted = pieces.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "is_hot")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown: set[bytes] = set()
+        codec = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for name, text, asked in zip(batch.column(0).to_pylist(), byte_texts(batch), batch.column(2).to_pylist()):
-                words = text.split()
+            for name, frame, asked in zip(*(c.to_pylist() for c in batch.columns)):
+                words = codec.decompress(frame).split()
                 for p in asked:
                     single = p["is_hot"]
                     for start in range(p["start"], p["start"] + p["n"]) if single else (p["start"],):
@@ -258,12 +260,13 @@ def repeated_windows(
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "n", "key", "digest", "words"])
 
-    asked = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    found = written(asked.mapInArrow(cut, "doc_id long, start int, n int, key long, digest binary, words string"), "found-pieces")
+    asked = squeezed(docs.select("doc_id", "text"), "text").join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    found = written(asked.mapInArrow(cut, "doc_id long, start int, n int, key long, digest binary, words string"), "found-pieces", compression="zstd")
+    deleted(docs.sparkSession, first_pieces)
     each = found.groupBy("digest").agg(
         F.min(F.struct("doc_id", "start")).alias("place"), F.count("*").alias("c"), F.first("words", True).alias("words"), F.first("key").alias("key"), F.first("n").alias("n")
     )
-    distinct = written(each, "distinct-pieces")
+    distinct = written(each, "distinct-pieces", compression="zstd")
     total = distinct.agg(F.sum(F.col("n") + window - 1)).first()[0] or 0
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // shard_words)))).alias("shard")
     parts = F.ceil(F.sum("c") / stream_rows).cast("int")
@@ -286,14 +289,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     nothing; rows of one id count as one document, so repeated rows keep what the first would. Other columns are ignored.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = written(repeated_windows(picked.where("doc_id is not null and text is not null"), window=window), "ranges")
+    with shuffles_dropped(docs.sparkSession):
+        ranges = written(repeated_windows(picked.where("doc_id is not null and text is not null"), window=window), "ranges")
     ranges = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor()
         for batch in batches:
             sizes, removed, left = [], [], []
-            for text, gone in zip(byte_texts(batch), batch.column(2).to_pylist()):
-                words = text.split()
+            for frame, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = codec.decompress(frame).split() if frame is not None else []
                 keep = np.ones(len(words), bool)
                 for r in gone or ():
                     keep[r["begin"] : r["end"]] = False
@@ -302,5 +307,5 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 left.append(b" ".join(words if not gone else [w for w, k in zip(words, keep.tolist()) if k]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    joined = picked.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
+    joined = squeezed(picked, "text").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, text string")
